@@ -15,8 +15,26 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "labels conversations").split()
 
 
+# Declared, so that opening a table starts no job.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, "
+                "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, "
+                "l_shipdate timestamp_ntz",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+              "o_orderdate timestamp_ntz, o_orderpriority string",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "pages": "page_id bigint, url string, html string",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+}
+
+
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
+    return reader.parquet(f"{folder}/{name}.parquet")
 
 
 def i32(column):
@@ -196,7 +214,9 @@ def measures(spark: SparkSession, folder: str) -> DataFrame:
                  F.concat(F.col("l_quantity").cast("string"), F.lit(" m")).alias("label")).alias("measure"),
         F.lit("").alias("contents"), F.array(F.col("l_tax"), F.col("l_discount")).alias("rect"),
         F.struct(F.concat(F.lit("#00"), flag).alias("stroke")).alias("style"),
-        (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
+        F.concat_ws("/", F.lpad(F.col("l_orderkey").cast("string"), 12, "0"), F.col("l_linenumber").cast("string"),
+                    F.lpad(F.col("l_partkey").cast("string"), 12, "0"),
+                    F.lpad(F.col("l_suppkey").cast("string"), 12, "0")).alias("seq"),
         "l_partkey", "l_suppkey", "l_shipdate")
 
 
@@ -204,7 +224,8 @@ MEASURE = """
 meas AS (SELECT l_orderkey AS doc_id, l_linenumber AS page,
                 CASE WHEN l_suppkey % 3 = 0 THEN '' ELSE 'S-' || l_linestatus END AS subject,
                 CASE l_returnflag WHEN 'A' THEN 'area' WHEN 'N' THEN 'distance' ELSE 'count' END AS kind,
-                l_quantity AS value, '#00' || l_returnflag AS stroke, l_orderkey * 100 + l_linenumber AS seq,
+                l_quantity AS value, '#00' || l_returnflag AS stroke, lpad(CAST(l_orderkey AS VARCHAR), 12, '0') || '/' || l_linenumber || '/' || lpad(CAST(l_partkey AS VARCHAR), 12, '0')
+                || '/' || lpad(CAST(l_suppkey AS VARCHAR), 12, '0') AS seq,
                 l_tax, l_discount FROM lineitem)"""
 
 
