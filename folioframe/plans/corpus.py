@@ -157,11 +157,26 @@ def page_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 PAGE = WRAPPED + """,
-page AS (SELECT doc_id, CAST(n // 20 AS INTEGER) AS page, 595.0 AS width, 842.0 AS height,
+page AS (SELECT doc_id, CAST(n // 20 AS INTEGER) AS page, 595.0::DOUBLE AS width, 842.0::DOUBLE AS height,
                 CAST(90 * (doc_id % 4) AS INTEGER) AS rotation, CAST(sum(strlen(text)) AS BIGINT) AS bytes
          FROM wrapped GROUP BY 1, 2, 5)"""
 
 
+def mixed_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """The same pages on mixed paper: every third one landscape, every seventh small."""
+    m = F.col("doc_id") + F.col("page")
+    return page_table(spark, folder).withColumns({
+        "width": F.when(m % 7 == 2, 300.0).when(m % 3 == 1, 842.0).otherwise(595.0),
+        "height": F.when(m % 7 == 2, 400.0).when(m % 3 == 1, 595.0).otherwise(842.0)})
+
+
+MIXED = PAGE + """,
+mixed AS (SELECT doc_id, page, rotation, bytes,
+                 CASE WHEN (doc_id + page) % 7 = 2 THEN 300.0::DOUBLE WHEN (doc_id + page) % 3 = 1 THEN 842.0 ELSE 595.0 END AS width,
+                 CASE WHEN (doc_id + page) % 7 = 2 THEN 400.0::DOUBLE WHEN (doc_id + page) % 3 = 1 THEN 595.0 ELSE 842.0 END AS height,
+                 count(*) OVER (PARTITION BY doc_id) AS n FROM page)"""
+
+
 # ---------------------------------------------------------------- annotations, replies, measures
 
 STATE_OF_EVENT = {"purchase": "accepted", "error": "rejected", "signup": "completed", "view": "cancelled"}

@@ -325,20 +325,20 @@ pts AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice / 1000
 
 
 @query("measured_shapes", sql(_POINTS, """
-SELECT l_orderkey, l_linenumber, round(round((sqrt(q * q + d * d) + sqrt((p - q) * (p - q) + (d + 1 - d) * (d + 1 - d))) * 0.05, 6), 3) AS distance,
-       round(round((sqrt(q * q + d * d) + sqrt((p - q) * (p - q) + 1) + sqrt(p * p + (d + 1) * (d + 1))) * 0.05, 6), 3) AS perimeter,
-       round(round(abs(q * (d + 1) - p * d) / 2 * 0.05 * 0.05, 6), 3) AS area, round(round(abs(q * (d + 1) - p * d) / 2 * 0.05 * 0.05 * 2, 6), 3) AS volume,
-       round(round(sqrt(q * q + d * d) * 0.05, 6), 3) AS radius,
-       round(round(CASE WHEN t > 180 THEN 360 - t ELSE t END, 6), 3) AS angle
+SELECT l_orderkey, l_linenumber, round((sqrt(q * q + d * d) + sqrt((p - q) * (p - q) + (d + 1 - d) * (d + 1 - d))) * (5.0 / 99.7), 6) AS distance,
+       round((sqrt(q * q + d * d) + sqrt((p - q) * (p - q) + 1) + sqrt(p * p + (d + 1) * (d + 1))) * (5.0 / 99.7), 6) AS perimeter,
+       round(abs(q * (d + 1) - p * d) / 2 * (5.0 / 99.7) * (5.0 / 99.7), 6) AS area, round(abs(q * (d + 1) - p * d) / 2 * (5.0 / 99.7) * (5.0 / 99.7) * 2, 6) AS volume,
+       round(sqrt(q * q + d * d) * (5.0 / 99.7), 6) AS radius,
+       round(CASE WHEN t > 180 THEN 360 - t ELSE t END, 6) AS angle
 FROM (SELECT *, degrees(abs(atan2(0 - d, 0 - q) - atan2(1, p - q))) AS t FROM pts)"""))
 def measured_shapes(spark, folder):
-    """Triangles from the order lines, at a scale of 100 points to 5 m."""
+    """Triangles from the order lines, at a scale of 99.7 points to 5 m."""
     q, p, d = F.col("l_quantity"), F.col("l_extendedprice") / 1000, F.col("l_discount") * 100
     points = F.array(F.array(F.lit(0.0), F.lit(0.0)), F.array(q, d), F.array(p, d + 1))
     shapes = corpus.load(spark, folder, "lineitem").select("l_orderkey", "l_linenumber", points.alias("pts"))
-    factor = M.scale_factor(F.lit(100.0), F.lit(5.0))
+    factor = M.scale_factor(F.lit(99.7), F.lit(5.0))
     return shapes.select("l_orderkey", "l_linenumber", *[
-        F.round(M.value_of(F.lit(k), F.col("pts"), factor, F.lit(2.0)), 3).alias(k)
+        M.value_of(F.lit(k), F.col("pts"), factor, F.lit(2.0)).alias(k)
         for k in ("distance", "perimeter", "area", "volume", "radius", "angle")])
 
 
