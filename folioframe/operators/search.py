@@ -90,10 +90,11 @@ def relaxed_hits(chars: DataFrame, needle: str) -> DataFrame:
 def search(chars: DataFrame, lines: DataFrame, needle: str) -> DataFrame:
     """Boxes of all hits: exact ones, and relaxed ones on pages without an exact hit.
 
-    (doc_id, page, relaxed, hit, part, x0, y0, x1, y1); ``lines`` has the same pages as ``chars``.
+    (doc_id, page, relaxed, hit, part, x0, y0, x1, y1). Both inputs should be cut to the pages of ``gate``
+    first, so that characters of pages without the phrase are never read or built.
     """
-    pages = gate(lines, needle)
-    near_lines = lines.join(pages, ["doc_id", "page"], "left_semi")
+    pages = lines.select("doc_id", "page").distinct()
+    near_lines = lines
     hits = exact_hits(near_lines, needle)
     # Where each line starts in the page text, from the lengths of the lines before it (a page at most).
     ordered = near_lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(

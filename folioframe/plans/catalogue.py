@@ -1,4 +1,4 @@
 """All registered queries: importing the modules fills the registry."""
 
-from folioframe.plans import pages, privacy, review  # noqa: F401
+from folioframe.plans import pages, privacy, review, search  # noqa: F401
 from folioframe.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -104,8 +104,12 @@ span AS (SELECT *, CASE WHEN size > 11 THEN 16 ELSE 0 END AS flags, x0 + size *
 
 def chars(spark: SparkSession, folder: str) -> DataFrame:
     """One row per character of every span, with its box."""
+    return span_chars(spans(spark, folder))
+
+
+def span_chars(placed: DataFrame) -> DataFrame:
     half = F.col("size") * 0.5
-    return (spans(spark, folder)
+    return (placed
             .select("doc_id", "page", "block", "line", "size", "x0", "y0", "y1",
                     F.posexplode(F.regexp_extract_all("text", F.lit("(?s)."), F.lit(0))).alias("seq", "c"))
             .select("doc_id", "page", "block", "line", "seq", "c", (F.col("x0") + half * F.col("seq")).alias("x0"),
