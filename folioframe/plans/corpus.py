@@ -80,11 +80,12 @@ def spans(spark: SparkSession, folder: str) -> DataFrame:
     n = F.col("n")
     k = n % 20
     size = F.when(k == 0, 18.0).when(n % 7 == 3, 12.5).otherwise(11.0)
+    bold = (size > 11) | (n % 9 == 5)
     placed = wrapped(spark, folder).where(F.col("text") != "").select(
         "doc_id", i32(F.floor(n / 20)).alias("page"), i32(F.floor(k / 4)).alias("block"), k.alias("line"),
         F.lit(0).alias("span"), "text", size.alias("size"),
-        F.when(size > 11, F.lit("NOTOAA+NotoSans-Bold")).otherwise(F.lit("NOTOAA+NotoSans")).alias("font"),
-        F.when(size > 11, 16).otherwise(0).alias("flags"), F.lit(0).alias("color"),
+        F.when(bold, F.lit("NOTOAA+NotoSans-Bold")).otherwise(F.lit("NOTOAA+NotoSans")).alias("font"),
+        F.when(bold, 16).otherwise(0).alias("flags"), F.lit(0).alias("color"),
         (60.0 + 10 * (n % 3)).alias("x0"), (40.0 + 183 * F.floor(k / 4) + 14 * (k % 4)).alias("y0"),
         F.lit(1.0).alias("dir_x"), F.lit(0.0).alias("dir_y"), F.lit(None).cast("string").alias("link"))
     return placed.withColumns({"x1": F.col("x0") + F.col("size") * 0.5 * F.length("text"),
@@ -95,10 +96,10 @@ SPANS = WRAPPED + """,
 span0 AS (SELECT doc_id, CAST(n // 20 AS INTEGER) AS page, CAST((n % 20) // 4 AS INTEGER) AS block,
                  CAST(n % 20 AS INTEGER) AS line, 0 AS span, text,
                  CAST(CASE WHEN n % 20 = 0 THEN 18.0 WHEN n % 7 = 3 THEN 12.5 ELSE 11.0 END AS DOUBLE) AS size,
-                 CAST(60 + 10 * (n % 3) AS DOUBLE) AS x0,
+                 n % 9 = 5 AS b9, CAST(60 + 10 * (n % 3) AS DOUBLE) AS x0,
                  CAST(40 + 183 * ((n % 20) // 4) + 14 * ((n % 20) % 4) AS DOUBLE) AS y0
           FROM wrapped WHERE text <> ''),
-span AS (SELECT *, CASE WHEN size > 11 THEN 16 ELSE 0 END AS flags, x0 + size * 0.5 * length(text) AS x1,
+span AS (SELECT *, CASE WHEN size > 11 OR b9 THEN 16 ELSE 0 END AS flags, x0 + size * 0.5 * length(text) AS x1,
                 y0 + size AS y1 FROM span0)"""
 
 
