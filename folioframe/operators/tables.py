@@ -223,19 +223,21 @@ def _typed(cells: DataFrame, numbers: bool) -> DataFrame:
 
 # ---------------------------------------------------------------- tables made of tabs
 
-def text_tables(pieces: DataFrame, merge_gap: float = 10.0) -> DataFrame:
-    """Rows of ``merge_baselines`` that hold tabs, two or more in a row, as table cells.
+def _page_rows(pieces: DataFrame) -> DataFrame:
+    """The rows of a page in order of height: n, whether the row belongs to a table made of tabs, its cells.
 
-    Out: (doc_id, page, tbl, row, col, x, text): the text between tabs, at the last column whose start is not
-    more than 10 pt to its right. Row order is (y0, x0) of the page.
+    A table is a run of two or more rows with tabs. Everything is derived in one pass over the pages.
     """
     keys = ["doc_id", "page", "block", "row"]
-    item = F.struct("pos", "text", "x0", "size")
+    item = F.struct("pos", "text", "x0")
     lines = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("ps"), F.min("y0").alias("y0"), F.min("x0").alias("x0"))
-    lines = lines.withColumn("tabs", F.exists("ps", lambda p: p["text"] == "\t"))
+    whole = lines.withColumns({
+        "tabs": F.exists("ps", lambda p: p["text"] == "\t"),
+        "line": F.array_join(F.transform("ps", lambda p: p["text"]), "")}).where(strip(F.col("line")) != "")
     order = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "block", "row")
-    flagged = lines.withColumn("n", F.row_number().over(order)).withColumn("k", F.sum(F.when(F.col("tabs"), 0).otherwise(1)).over(order))
-    tabular = flagged.where("tabs").withColumn("size_", F.count("*").over(Window.partitionBy("doc_id", "page", "k"))).where(F.col("size_") >= 2)
+    ranked = whole.withColumn("n", F.row_number().over(order) - 1).withColumn(
+        "k", F.sum(F.when(F.col("tabs"), 0).otherwise(1)).over(order))
+    counted = ranked.withColumn("run", F.count_if(F.col("tabs")).over(Window.partitionBy("doc_id", "page", "k")))
 
     def split(cells, p):
         last = F.try_element_at(cells, F.lit(-1))
@@ -248,17 +250,31 @@ def text_tables(pieces: DataFrame, merge_gap: float = 10.0) -> DataFrame:
             F.when(is_open, F.array_append(head, grown)).otherwise(F.array_append(cells, fresh)))
 
     kind = F.array().cast("array<struct<x:double,text:string,open:boolean>>")
-    rows = tabular.select("doc_id", "page", "k", "n", F.explode(F.aggregate("ps", kind, split)).alias("c"))
-    cells = rows.select("doc_id", "page", "k", "n", F.col("c.x").alias("x"), strip(F.col("c.text")).alias("text"))
-    anchors = cells.groupBy("doc_id", "page", "k").agg(F.array_sort(F.collect_set("x")).alias("xs")).select(
-        "doc_id", "page", "k", F.aggregate("xs", F.array().cast("array<double>"), lambda acc, x: F.when(
-            (F.size(acc) > 0) & (x - F.try_element_at(acc, F.lit(-1)) < merge_gap), acc).otherwise(F.array_append(acc, x))).alias("xs"))
-    ids = Window.partitionBy("doc_id", "page").orderBy("k")
-    inside = Window.partitionBy("doc_id", "page", "k").orderBy("n")
-    col = F.greatest(F.size(F.filter("xs", lambda a: a <= F.col("x") + merge_gap)) - 1, F.lit(0))
-    return cells.join(anchors, ["doc_id", "page", "k"]).select(
-        "doc_id", "page", (F.dense_rank().over(ids) - 1).alias("tbl"), (F.dense_rank().over(inside) - 1).alias("row"),
-        col.alias("col"), "x", "text")
+    cells = F.transform(F.aggregate("ps", kind, split), lambda c: F.struct(c["x"].alias("x"), strip(c["text"]).alias("text")))
+    return counted.withColumn("tabular", F.col("tabs") & (F.col("run") >= 2)).select(
+        "doc_id", "page", "n", "k", "tabular", "line", F.when(F.col("tabular"), cells).alias("cells"))
+
+
+def text_tables(pieces: DataFrame, merge_gap: float = 10.0) -> DataFrame:
+    """Rows of ``merge_baselines`` that hold tabs, two or more in a row, as table cells.
+
+    Out: (doc_id, page, tbl, row, col, x, text, n): the text between tabs, at the last column whose start is not
+    more than 10 pt to its right; n is the row's place on the page.
+    """
+    return _tab_cells(_page_rows(pieces).where("tabular"), merge_gap)
+
+
+def _tab_cells(rows: DataFrame, merge_gap: float = 10.0) -> DataFrame:
+    table = Window.partitionBy("doc_id", "page", "k")
+    page = Window.partitionBy("doc_id", "page").orderBy("k")
+    starts = F.flatten(F.collect_list(F.transform("cells", lambda c: c["x"])).over(table))
+    anchors = F.aggregate("xs", F.array().cast("array<double>"), lambda acc, x: F.when(
+        (F.size(acc) > 0) & (x - F.try_element_at(acc, F.lit(-1)) < merge_gap), acc).otherwise(F.array_append(acc, x)))
+    placed = rows.withColumns({"tbl": F.dense_rank().over(page) - 1, "row": F.row_number().over(table.orderBy("n")) - 1,
+                               "xs": starts}).withColumn("xs", F.array_sort(F.array_distinct("xs"))).withColumn("xs", anchors)
+    col = F.greatest(F.size(F.filter("xs", lambda a: a <= F.col("c.x") + merge_gap)) - 1, F.lit(0))
+    return placed.select("doc_id", "page", "tbl", "row", "n", "xs", F.explode("cells").alias("c")).select(
+        "doc_id", "page", "tbl", "row", col.alias("col"), F.col("c.x").alias("x"), F.col("c.text").alias("text"), "n")
 
 
 def typed_text_tables(cells: DataFrame, numbers: bool = True) -> DataFrame:
@@ -278,41 +294,30 @@ def sheet_rows(pieces: DataFrame, mode: str = "page") -> DataFrame:
     ``page`` gives a sheet per page, ``single`` one sheet per document with a banner before each further page,
     ``tables`` a sheet per table made of tabs.
     """
-    tables = text_tables(pieces)
+    rows = _page_rows(pieces)
+    tabbed = typed_text_tables(_tab_cells(rows.where("tabular")))
+    page_name = F.concat(F.lit("ページ"), (F.col("page") + 1).cast("string"))
+    cells = ["doc_id", "sheet", "row", "col", "kind", "text", "value", "format"]
     if mode == "tables":
-        name = F.concat(F.lit("ページ"), (F.col("page") + 1).cast("string"), F.lit("-表"), (F.col("tbl") + 1).cast("string"))
-        return typed_text_tables(tables).withColumn("sheet", name).select("doc_id", "sheet", "row", "col", "kind", "text", "value", "format")
-    keys = ["doc_id", "page", "block", "row"]
-    item = F.struct("pos", "text")
-    lines = pieces.groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda p: p["text"]), "").alias("line"), F.min("y0").alias("y0"),
-        F.min("x0").alias("x0"), F.bool_or(F.col("text") == "\t").alias("tabs"))
-    order = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "block", "row")
-    placed = lines.where(strip(F.col("line")) != "").withColumn("n", F.row_number().over(order) - 1).withColumn(
-        "k", F.sum(F.when(F.col("tabs"), 0).otherwise(1)).over(order)).withColumn(
-        "run", F.count_if(F.col("tabs")).over(Window.partitionBy("doc_id", "page", "k")))
-    single = placed.where(~F.col("tabs") | (F.col("run") < 2)).select(
-        "doc_id", "page", F.col("n").alias("row"), F.lit(0).alias("col"), strip(F.translate("line", "\t", " ")).alias("text"))
-    plain = _typed(single, False).withColumn("kind", F.lit("s"))
-    # A table starts at the row its first line has on the page.
-    starts = placed.where(F.col("tabs") & (F.col("run") >= 2)).groupBy("doc_id", "page", "k").agg(F.min("n").alias("start"))
-    starts = starts.withColumn("tbl", F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy("k")) - 1)
-    tabbed = typed_text_tables(tables).join(starts, ["doc_id", "page", "tbl"]).select(
-        "doc_id", "page", (F.col("start") + F.col("row")).alias("row"), "col", "text", "kind", "value", "format")
-    cells = plain.select(*tabbed.columns).unionByName(tabbed)
+        name = F.concat(page_name, F.lit("-表"), (F.col("tbl") + 1).cast("string"))
+        return tabbed.withColumn("sheet", name).select(*cells)
+    null = F.lit(None)
+    plain = rows.where(~F.col("tabular")).select(
+        "doc_id", "page", F.col("n").alias("row"), F.lit(0).alias("col"), F.lit("s").alias("kind"),
+        strip(F.translate("line", "\t", " ")).alias("text"), null.cast("double").alias("value"), null.cast("string").alias("format"))
+    every = plain.unionByName(tabbed.withColumn("row", F.col("n")).select(*plain.columns))
     if mode == "page":
-        return cells.withColumn("sheet", F.concat(F.lit("ページ"), (F.col("page") + 1).cast("string"))).drop("page")
+        return every.withColumn("sheet", page_name).select(*cells)
     # One sheet: pages follow each other, two rows (blank, banner) before every page but the first.
-    height = placed.groupBy("doc_id", "page").agg((F.max("n") + 1).alias("h"))
+    height = rows.groupBy("doc_id", "page").agg((F.max("n") + 1).alias("h"))
     stacked = running(height, ["doc_id"], "page", {"_end": ("sum", F.col("h") + 2)}).select(
         "doc_id", "page", (F.col("_end") - F.col("h") - 2).alias("at"))
-    moved = cells.join(stacked, ["doc_id", "page"]).withColumn("row", F.col("row") + F.col("at"))
+    moved = every.join(stacked, ["doc_id", "page"]).withColumn("row", F.col("row") + F.col("at"))
     banner = stacked.where(F.col("at") > 0).select(
-        "doc_id", "page", (F.col("at") - 1).alias("row"), F.lit(0).alias("col"),
-        F.concat(F.lit("— ページ "), (F.col("page") + 1).cast("string"), F.lit(" —")).alias("text"), F.lit("s").alias("kind"),
-        F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("format"))
-    every = moved.select(*banner.columns).unionByName(banner)
-    return every.withColumn("sheet", F.lit("Sheet")).drop("page")
+        "doc_id", "page", (F.col("at") - 1).alias("row"), F.lit(0).alias("col"), F.lit("s").alias("kind"),
+        F.concat(F.lit("— ページ "), (F.col("page") + 1).cast("string"), F.lit(" —")).alias("text"),
+        null.cast("double").alias("value"), null.cast("string").alias("format"))
+    return moved.select(*banner.columns).unionByName(banner).withColumn("sheet", F.lit("Sheet")).select(*cells)
 
 
 # ---------------------------------------------------------------- sheets that already are tables
@@ -429,15 +434,20 @@ def list_markers(paras: DataFrame, levels: DataFrame) -> DataFrame:
     valued = marked.join(begin, part).withColumn("value", (head + F.col("_o") - F.col("_begin")).cast("int"))
     latest = {f"_at{n}": ("max", F.when(lvl == n, F.struct("seq", "value", F.col(f"_up{n}").alias("u")))) for n in deep}
     carried = running(valued.select(*paras.columns, "defs", "value", *[f"_up{n}" for n in deep]), keys, "seq", latest)
-    marker = F.col("defs")[lvl]["template"]
+    counts = []
     for n in deep:
         definition = F.col("defs")[F.lit(n)]
         reset = F.coalesce(definition["start"], F.lit(1)) - 1
         alive = F.col(f"_at{n}").isNotNull() & (F.col(f"_at{n}.u") == F.col(f"_up{n}"))
         count = F.when(alive & (lvl >= n), F.col(f"_at{n}.value")).when(
             (F.col(f"_up{n}") > 0) | (lvl < n), F.when(reset == 0, 1).otherwise(reset)).otherwise(reset + 1)
-        label = format_number(count, F.coalesce(definition["fmt"], F.lit("decimal")))
-        marker = F.replace(marker, F.lit(f"%{n + 1}"), label)
+        counts.append(F.struct(F.lit(f"%{n + 1}").alias("sign"), count.alias("count"),
+                               F.coalesce(definition["fmt"], F.lit("decimal")).alias("fmt")))
+    template = F.col("defs")[lvl]["template"]
+    carried = carried.withColumns({"_template": template, "_counts": F.filter(
+        F.array(*counts), lambda c: F.contains(template, c["sign"]))})
+    marker = F.aggregate("_counts", F.col("_template"),
+                         lambda text, c: F.replace(text, c["sign"], format_number(c["count"], c["fmt"])))
     bullet = F.col("defs")[lvl]["fmt"] == "bullet"
     sign = bullet_character(F.col("defs")[lvl]["template"], F.lit(None).cast("string"))
     return carried.select(*paras.columns, "value", F.when(bullet, sign).otherwise(marker).alias("marker"))

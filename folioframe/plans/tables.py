@@ -17,8 +17,10 @@ boxes AS (SELECT doc_id, ln, c, 50 + 100 * c + CASE WHEN ln % 2 = 1 THEN 0.4 ELS
                  CASE WHEN ln % 2 = 1 AND c = 0 THEN 250 ELSE 150 + 100 * c END AS x1, 70 + 20 * ln AS y1
           FROM ord, (SELECT unnest([0, 1, 2, 3]) AS c) WHERE NOT (ln % 2 = 1 AND c = 1)),
 edge AS (SELECT doc_id, e, dense_rank() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS k FROM (SELECT doc_id, ln AS e FROM ord UNION SELECT doc_id, ln + 1 FROM ord)),
-gr AS (SELECT b.doc_id, e.k AS r0, f.k AS r1, c AS c0, c + CASE WHEN ln % 2 = 1 AND c = 0 THEN 2 ELSE 1 END AS c1, ln, b.x0, b.y0, b.x1, b.y1
-       FROM boxes b JOIN edge e ON e.doc_id = b.doc_id AND e.e = b.ln JOIN edge f ON f.doc_id = b.doc_id AND f.e = b.ln + 1)"""
+ev AS (SELECT doc_id, bool_or(ln % 2 = 0) AS he FROM ord GROUP BY 1),
+gr AS (SELECT b.doc_id, e.k AS r0, f.k AS r1, CASE WHEN he OR c = 0 THEN c ELSE c - 1 END AS c0,
+              CASE WHEN he AND ln % 2 = 1 AND c = 0 THEN 2 WHEN he OR c = 0 THEN c + 1 ELSE c END AS c1, c, he, ln, b.x0, b.y0, b.x1, b.y1
+       FROM boxes b JOIN ev USING (doc_id) JOIN edge e ON e.doc_id = b.doc_id AND e.e = b.ln JOIN edge f ON f.doc_id = b.doc_id AND f.e = b.ln + 1)"""
 
 
 def _cellboxes(spark, folder):
@@ -54,10 +56,10 @@ def ruled_grid(spark, folder):
 _CELL_TEXT = _CELLS + """,
 cv AS (SELECT *, doc_id * 10 + ln AS money, try_cast('2024-' || lpad('' || (ln % 12 + 1), 2, '0') || '-' || lpad('' || (doc_id % 31 + 1), 2, '0') AS DATE) AS dt FROM gr),
 ct AS (SELECT doc_id, r0 AS row, c0 AS col,
-   CASE c0 WHEN 0 THEN '¥' || format('{:,}', money) WHEN 1 THEN '(' || (doc_id % 1000) || ')' WHEN 2 THEN ln || '.5%' ELSE '2024/' || (ln % 12 + 1) || '/' || (doc_id % 31 + 1) END AS text,
-   CASE WHEN c0 = 3 AND dt IS NULL THEN 's' ELSE 'n' END AS kind,
-   CASE c0 WHEN 0 THEN money WHEN 1 THEN -(doc_id % 1000) WHEN 2 THEN (ln + 0.5) / 100 ELSE date_diff('day', DATE '1899-12-30', dt) END::DOUBLE AS value,
-   CASE c0 WHEN 0 THEN CASE WHEN money >= 1000 THEN '"¥"#,##0' ELSE '"¥"0' END WHEN 1 THEN '0' WHEN 2 THEN '0.0%' ELSE CASE WHEN dt IS NOT NULL THEN 'yyyy/m/d' END END AS format FROM cv)"""
+   CASE c WHEN 0 THEN '¥' || format('{:,}', money) WHEN 1 THEN '(' || (doc_id % 1000) || ')' WHEN 2 THEN ln || '.5%' ELSE '2024/' || (ln % 12 + 1) || '/' || (doc_id % 31 + 1) END AS text,
+   CASE WHEN c = 3 AND dt IS NULL THEN 's' ELSE 'n' END AS kind,
+   CASE c WHEN 0 THEN money WHEN 1 THEN -(doc_id % 1000) WHEN 2 THEN (ln + 0.5) / 100 ELSE date_diff('day', DATE '1899-12-30', dt) END::DOUBLE AS value,
+   CASE c WHEN 0 THEN CASE WHEN money >= 1000 THEN '"¥"#,##0' ELSE '"¥"0' END WHEN 1 THEN '0' WHEN 2 THEN '0.0%' ELSE CASE WHEN dt IS NOT NULL THEN 'yyyy/m/d' END END AS format FROM cv)"""
 
 
 def _ruled(spark, folder):
@@ -89,7 +91,7 @@ def nearest_cells(spark, folder):
 
 
 @query("cell_fills", sql(_CELLS, """
-SELECT doc_id, r0, c0, CASE WHEN (ln + c0) % 3 = 0 THEN 'FF8000' ELSE '3366CC' END AS fill FROM gr WHERE (ln + c0) % 3 <> 2"""))
+SELECT doc_id, r0, c0, CASE WHEN (ln + c) % 3 = 0 THEN 'FF8000' ELSE '3366CC' END AS fill FROM gr WHERE (ln + c) % 3 <> 2"""))
 def cell_fills(spark, folder):
     """Filled boxes under two cells of three; where a second one lies on top, its colour counts."""
     boxes = _cellboxes(spark, folder)
@@ -106,7 +108,7 @@ def cell_fills(spark, folder):
     return T.cell_fills(T.grid(boxes.drop("ln", "c")), drawings.drop("ln", "c")).select("doc_id", "r0", "c0", "fill")
 
 
-@query("covered_cells", sql(_CELLS, "SELECT doc_id, r0 AS row, 1 AS col FROM gr WHERE ln % 2 = 1 AND c0 = 0"))
+@query("covered_cells", sql(_CELLS, "SELECT doc_id, r0 AS row, 1 AS col FROM gr WHERE he AND ln % 2 = 1 AND c = 0"))
 def covered_cells(spark, folder):
     return T.covered_cells(T.merges(T.grid(_cellboxes(spark, folder))), ["doc_id"], below=5000)
 
@@ -157,13 +159,14 @@ SELECT o_orderkey, r AS row, c AS col, CASE WHEN c < 26 THEN chr(CAST(65 + c AS
 def sheet_references(spark, folder):
     """References written from numbers and read back; order dates through day serials and back."""
     r, c = F.col("o_orderkey") % 5000, F.col("o_custkey") % 600
-    letters = H.column_letters(c)
-    ref = F.concat(F.lit("$"), letters, F.lit("$"), (r + 1).cast("string"))
-    box = H.parse_range(F.concat(ref, F.lit(":"), H.column_letters(c + 1), (r + 3).cast("string")))
-    ts = H.serial_to_timestamp(H.timestamp_to_serial(F.col("o_orderdate")))
-    return corpus.load(spark, folder, "orders").select(
-        "o_orderkey", H.parse_ref(ref)["row"].alias("row"), H.parse_ref(ref)["col"].alias("col"), letters.alias("letters"),
-        box["r1"].alias("r1"), box["c1"].alias("c1"), F.date_format(ts, "yyyy-MM-dd HH:mm:ss").alias("back"))
+    written = corpus.load(spark, folder, "orders").select(
+        "o_orderkey", r.alias("r"), c.alias("c"), H.column_letters(c).alias("letters"), H.column_letters(c + 1).alias("next"),
+        H.timestamp_to_serial(F.col("o_orderdate")).alias("serial")).withColumn("ref", F.concat(
+            F.lit("$"), "letters", F.lit("$"), (F.col("r") + 1).cast("string"))).withColumn("area", F.concat(
+                "ref", F.lit(":"), "next", (F.col("r") + 3).cast("string")))
+    read = written.withColumns({"at": H.parse_ref(F.col("ref")), "box": H.parse_range(F.col("area"))})
+    return read.select("o_orderkey", "at.row", "at.col", "letters", "box.r1", "box.c1", F.date_format(
+        H.serial_to_timestamp(F.col("serial")), "yyyy-MM-dd HH:mm:ss").alias("back"))
 
 
 # ---------------------------------------------------------------- tables made of tabs
@@ -183,7 +186,7 @@ anc AS (SELECT doc_id, page, tbl, min(x) AS a FROM cel GROUP BY 1, 2, 3
 @query("text_tables", "WITH RECURSIVE " + _TAB.strip() + """
 SELECT doc_id, page, tbl, row, greatest((SELECT count(*) FROM anc a WHERE a.doc_id = c.doc_id AND a.page = c.page AND a.tbl = c.tbl AND a.a <= c.x + 10) - 1, 0) AS col, x, text FROM cel c""")
 def text_tables(spark, folder):
-    return T.text_tables(_rows(spark, folder))
+    return T.text_tables(_rows(spark, folder)).drop("n")
 
 
 _SHEET = _TAB + """,
