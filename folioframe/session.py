@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -13,6 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     # The cp932 branch of the text reader needs the full set of JVM charsets.
     "spark.sql.legacy.javaCharsets": "true",
+    # Bytes that do not fit a charset become U+FFFD, which the text reader looks for.
+    "spark.sql.legacy.codingErrorAction": "true",
 }
 
 ROCKSDB_PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -45,6 +48,11 @@ def checkpoint_root(spark: SparkSession) -> str:
     return folder
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint folder, for files a job writes and reads back."""
+    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def cut_lineage(df):
     """Materialise an iterative step in the shared checkpoint folder, so a lost executor costs one step only."""
     spark = df.sparkSession
