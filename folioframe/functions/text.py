@@ -23,6 +23,7 @@ BULLET = (r"^(?:[・•●○▪■◆◇★☆※\-–—‣◦▶▷]|[（(]?\
 BULLET_OR_ROMAN = BULLET[:-1] + r"|[ⅠⅡⅢⅣⅤⅥⅦⅧⅨⅩ][\.．、]?)"
 # What str.split() and str.strip() take as white space.
 SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
 
 
 def fold_width(text: Column) -> Column:
@@ -35,11 +36,11 @@ def digits_of(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(text, F.lit(SPACES))
 
 
 def without_space(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+", "")
+    return F.translate(text, SPACES, "")
 
 
 def squeeze(text: Column) -> Column:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from folioframe.functions.text import BULLET_OR_ROMAN, squeeze, starts_like_item, strip
 from folioframe.operators.scale import running
+from folioframe.session import cut_lineage
 
 
 def by_page(df: DataFrame) -> DataFrame:
@@ -81,26 +82,34 @@ def merge_baselines(spans: DataFrame) -> DataFrame:
     vertical = F.abs(F.coalesce("dir_y", F.lit(0.0))) > 0.7 if "dir_y" in spans.columns else F.lit(False)
     item = F.struct("x0", "line", "span", "text", "size", "y0", "x1", "y1")
     lines = by_page(spans.where(F.col("text") != "").withColumn("_v", vertical)).groupBy("doc_id", "page", "block", "line").agg(
-        F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"),
-        F.bool_or("_v").alias("v"), F.array_sort(F.collect_list(item)).alias("ss"))
-    kind = ("array<struct<v:boolean,y0:double,y1:double,"
-            "ss:array<struct<x0:double,line:int,span:int,text:string,size:double,y0:double,x1:double,y1:double>>>>")
+        F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.bool_or("_v").alias("v"), F.collect_list(item).alias("ss"))
+    # The walk carries only the heights of the rows and the row of each line; the spans stay where they are.
+    kind = "struct<rows:array<struct<v:boolean,y0:double,y1:double>>,at:array<int>>"
+    begin = F.struct(F.array().alias("rows"), F.array().alias("at")).cast(kind)
 
-    def add(rows, ln):
+    def add(acc, ln):
         def joins(r):
             height = F.least(r["y1"] - r["y0"], ln["y1"] - ln["y0"])
             return ~r["v"] & (height > 0) & (F.least(r["y1"], ln["y1"]) - F.greatest(r["y0"], ln["y0"]) > height * 0.6)
 
-        at = F.when(ln["v"], 0).otherwise(F.array_position(F.transform(rows, joins), F.lit(True)))
-        grown = F.transform(rows, lambda r, i: F.when(i + 1 == at, _struct(
-            v=r["v"], y0=F.least(r["y0"], ln["y0"]), y1=F.greatest(r["y1"], ln["y1"]), ss=F.concat(r["ss"], ln["ss"]))).otherwise(r))
-        return F.when(at > 0, grown).otherwise(F.array_append(rows, _struct(v=ln["v"], y0=ln["y0"], y1=ln["y1"], ss=ln["ss"])))
+        found = F.when(ln["v"], 0).otherwise(F.array_position(F.transform(acc["rows"], joins), F.lit(True)).cast("int"))
+        own = _struct(v=ln["v"], y0=ln["y0"], y1=ln["y1"])
+        grown = F.transform(acc["rows"], lambda r, i: F.when(i + 1 == found, _struct(
+            v=r["v"], y0=F.least(r["y0"], ln["y0"]), y1=F.greatest(r["y1"], ln["y1"]))).otherwise(r))
+        return F.when(found > 0, _struct(rows=grown, at=F.array_append(acc["at"], found))).otherwise(_struct(
+            rows=F.array_append(acc["rows"], own), at=F.array_append(acc["at"], F.size(acc["rows"]) + 1)))
 
     blocks = lines.groupBy("doc_id", "page", "block").agg(F.array_sort(F.collect_list(
         F.struct("line", "v", "y0", "y1", "ss"))).alias("ls"))
-    rows = blocks.select("doc_id", "page", "block", F.posexplode(F.aggregate("ls", F.array().cast(kind), add)).alias("row", "r"))
-    placed = rows.select("doc_id", "page", "block", "row", F.col("r.v").alias("vertical"),
-                         F.when(F.col("r.v"), F.col("r.ss")).otherwise(F.array_sort("r.ss")).alias("ss"))
+    heights = F.transform("ls", lambda r: _struct(v=r["v"], y0=r["y0"], y1=r["y1"]))
+    walked = blocks.withColumn("at", F.aggregate(heights, begin, add)["at"])
+    rows = walked.select("doc_id", "page", "block", F.explode(F.arrays_zip("at", "ls")).alias("z")).groupBy(
+        "doc_id", "page", "block", (F.col("z.at") - 1).alias("row")).agg(
+        F.bool_or("z.ls.v").alias("vertical"), F.array_sort(F.flatten(F.collect_list("z.ls.ss"))).alias("by_x"),
+        F.array_sort(F.flatten(F.collect_list(F.transform("z.ls.ss", lambda s: F.struct(
+            s["span"].alias("k"), s.alias("s")))))).alias("by_span"))
+    placed = rows.select("doc_id", "page", "block", "row", "vertical", F.when(
+        F.col("vertical"), F.transform("by_span", lambda r: r["s"])).otherwise(F.col("by_x")).alias("ss"))
 
     def with_gap(s, i):
         own = _struct(text=s["text"], size=s["size"], x0=s["x0"], y0=s["y0"], x1=s["x1"], y1=s["y1"])
@@ -230,35 +239,36 @@ def outline_lines(lines: DataFrame) -> DataFrame:
 
 
 def standalone_bold(lines: DataFrame, body: DataFrame) -> DataFrame:
-    """Adds ``alone``: short bold lines of body size with air above and nothing else on their baseline.
+    """(doc_id, page, at) of short bold lines of body size with air above and nothing else on their baseline.
 
-    The comparison runs over the lines of one page, held as an array.
+    Candidates are few; each meets the lines of its own page once.
     """
-    pages = lines.join(body, "doc_id").groupBy("doc_id", "page").agg(
-        F.first("body").alias("body"), F.collect_list(F.struct("at", "text", "size", "bold", "y0", "y1", "plausible")).alias("ls"))
-
-    def judged(ln):
-        short = ln["bold"] & (F.abs(ln["size"] - F.col("body")) <= F.col("body") * 0.04) & F.length(ln["text"]).between(2, 30)
-        crowded = F.exists("ls", lambda o: (o["at"] != ln["at"]) & (F.abs(o["y0"] - ln["y0"]) < ln["size"] * 0.5))
-        top = F.array_max(F.transform(F.filter("ls", lambda o: o["y1"] <= ln["y0"] + 1), lambda o: o["y1"]))
-        air = ln["y0"] - F.coalesce(top, F.lit(0.0)) >= ln["size"] * 0.9
-        return _struct(**{f: ln[f] for f in ("at", "text", "size", "bold", "y0", "y1", "plausible")},
-                       alone=ln["plausible"] & short & ~ln["text"].rlike(_QUESTION_LABEL) & ~crowded & air)
-
-    return pages.select("doc_id", "page", "body", F.explode(F.transform("ls", judged)).alias("l")).select("doc_id", "page", "body", "l.*")
+    fit = lines.join(body, "doc_id").where(
+        F.col("plausible") & F.col("bold") & (F.abs(F.col("size") - F.col("body")) <= F.col("body") * 0.04)
+        & F.length("text").between(2, 30) & ~F.col("text").rlike(_QUESTION_LABEL)).select("doc_id", "page", "at", "size", "y0")
+    other = lines.select("doc_id", "page", F.col("at").alias("o_at"), F.col("y0").alias("o_y0"), F.col("y1").alias("o_y1"))
+    crowded = (F.col("o_at") != F.col("at")) & (F.abs(F.col("o_y0") - F.col("y0")) < F.col("size") * 0.5)
+    seen = fit.join(other, ["doc_id", "page"]).groupBy("doc_id", "page", "at", "size", "y0").agg(
+        F.bool_or(crowded).alias("crowded"), F.max(F.when(F.col("o_y1") <= F.col("y0") + 1, F.col("o_y1"))).alias("top"))
+    return seen.where(~F.col("crowded") & (F.col("y0") - F.coalesce("top", F.lit(0.0)) >= F.col("size") * 0.9)).select("doc_id", "page", "at")
 
 
 def auto_outline(lines: DataFrame, pages: DataFrame, limit: int = 500) -> DataFrame:
     """A table of contents guessed from the text: (doc_id, seq, level, title, page), pages from one.
 
     Headings stand out by size or weight; text on many pages is a running header; where too few headings turn
-    up, each page gives its most prominent line.
+    up, each page gives its most prominent line. The lines that can be headings are used five times and so
+    written once to the checkpoint folder.
     """
-    judged = standalone_bold(outline_lines(lines), body_size_by_lines(lines))
-    counts = pages.groupBy("doc_id").agg(F.count("*").alias("pages"))
+    rows = outline_lines(lines)
+    body = body_size_by_lines(lines)
+    alone = standalone_bold(rows, body).withColumn("alone", F.lit(True))
+    judged = cut_lineage(rows.where("plausible").join(body, "doc_id").join(alone, ["doc_id", "page", "at"], "left").select(
+        "doc_id", "page", "at", "text", "size", "bold", "y0", "body", F.coalesce("alone", F.lit(False)).alias("alone")))
+    counts = cut_lineage(pages.groupBy("doc_id").agg(F.count("*").alias("pages")))
     size, body = F.col("size"), F.col("body")
     large = (size >= body * 1.18) | (F.col("bold") & (size >= body * 1.04) & (F.length("text") <= 40)) | F.col("alone")
-    heads = judged.where(F.col("plausible") & large)
+    heads = judged.where(large)
     often = heads.select("doc_id", "text", "page").distinct().groupBy("doc_id", "text").agg(F.count("*").alias("seen")).join(
         counts, "doc_id").where(F.col("seen") > F.greatest(F.lit(2.0), F.col("pages") * 0.25)).select("doc_id", "text")
     kept = heads.join(often, ["doc_id", "text"], "left_anti")
@@ -267,10 +277,10 @@ def auto_outline(lines: DataFrame, pages: DataFrame, limit: int = 500) -> DataFr
         F.coalesce("n", F.lit(0)) < F.greatest(F.lit(3.0), F.col("pages") * 0.15)).select("doc_id")
     cols = ["doc_id", "page", "at", "text", "size", "y0"]
     normal = kept.join(few, "doc_id", "left_anti").select(*cols)
-    slides = judged.where("plausible").join(few, "doc_id", "left_semi").groupBy("doc_id", "page").agg(
+    slides = judged.join(few, "doc_id", "left_semi").groupBy("doc_id", "page").agg(
         F.min_by(F.struct("at", "text", "y0"), F.struct(-size, F.col("y0"), F.col("at"))).alias("t"), F.first("body").alias("body")
     ).select("doc_id", "page", "t.at", "t.text", (body + 99).alias("size"), "t.y0")
-    found = normal.select(*cols).unionByName(slides.select(*cols))
+    found = normal.unionByName(slides.select(*cols))
     ranks = found.groupBy("doc_id").agg(F.slice(F.sort_array(F.collect_set("size"), asc=False), 1, 3).alias("rank"))
     level = F.array_position("rank", F.col("size"))
     in_page = Window.partitionBy("doc_id", "page").orderBy("y0", "at")

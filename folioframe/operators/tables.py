@@ -212,13 +212,14 @@ def ruled_cells(cellboxes: DataFrame, spans: DataFrame, numbers: bool = True) ->
 
 
 def _typed(cells: DataFrame, numbers: bool) -> DataFrame:
-    found = F.when(~F.contains("text", F.lit("\n")), recognise(F.col("text"))) if numbers else F.lit(None)
+    """kind n (number or date), s (text) or e (empty); text of several lines stays text."""
+    plain = F.when(F.col("text") == "", "e").otherwise("s")
     if not numbers:
-        return cells.withColumns({"kind": F.when(F.col("text") == "", "e").otherwise("s"), "value": F.lit(None).cast("double"),
-                                  "format": F.lit(None).cast("string")})
-    return cells.withColumn("_f", found).withColumns({
-        "kind": F.when(F.col("_f.kind").isNotNull(), "n").when(F.col("text") == "", "e").otherwise("s"),
-        "value": F.col("_f.value"), "format": F.col("_f.format")}).drop("_f")
+        return cells.withColumns({"kind": plain, "value": F.lit(None).cast("double"), "format": F.lit(None).cast("string")})
+    one_line = cells.withColumn("_one", F.when(~F.contains("text", F.lit("\n")), F.col("text")))
+    found = recognise(one_line, "_one", "_f_")
+    return found.withColumns({"kind": F.when(F.col("_f_kind").isNotNull(), "n").otherwise(plain), "value": F.col("_f_value"),
+                              "format": F.col("_f_format")}).drop("_one", "_f_kind", "_f_value", "_f_format")
 
 
 # ---------------------------------------------------------------- tables made of tabs

@@ -148,9 +148,7 @@ SELECT l_orderkey, l_linenumber, text, CASE WHEN k = 3 THEN 'date' WHEN k IN (4,
  CASE k WHEN 0 THEN CASE WHEN p >= 999.995 THEN '"¥"#,##0.00' ELSE '"¥"0.00' END WHEN 1 THEN CASE WHEN p >= 999.995 THEN '#,##0.00' ELSE '0.00' END
         WHEN 2 THEN '0.0%' WHEN 3 THEN 'yyyy/m/d' WHEN 5 THEN '0' WHEN 6 THEN '0.00' END AS format FROM t"""))
 def recognised_values(spark, folder):
-    f = H.recognise(F.col("text"))
-    return _values(spark, folder).select("l_orderkey", "l_linenumber", "text", f["kind"].alias("kind"),
-                                         (F.round(f["value"], 6) + F.lit(0.0)).alias("value"), f["format"].alias("format"))
+    return H.recognise(_values(spark, folder)).withColumn("value", F.round("value", 6) + F.lit(0.0))
 
 
 @query("sheet_references", """
