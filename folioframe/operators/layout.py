@@ -101,13 +101,21 @@ def merge_baselines(spans: DataFrame) -> DataFrame:
 
     blocks = lines.groupBy("doc_id", "page", "block").agg(F.array_sort(F.collect_list(
         F.struct("line", "v", "y0", "y1", "ss"))).alias("ls"))
-    heights = F.transform("ls", lambda r: _struct(v=r["v"], y0=r["y0"], y1=r["y1"]))
-    walked = blocks.withColumn("at", F.aggregate(heights, begin, add)["at"])
-    rows = walked.select("doc_id", "page", "block", F.explode(F.arrays_zip("at", "ls")).alias("z")).groupBy(
-        "doc_id", "page", "block", (F.col("z.at") - 1).alias("row")).agg(
-        F.bool_or("z.ls.v").alias("vertical"), F.array_sort(F.flatten(F.collect_list("z.ls.ss"))).alias("by_x"),
-        F.array_sort(F.flatten(F.collect_list(F.transform("z.ls.ss", lambda s: F.struct(
-            s["span"].alias("k"), s.alias("s")))))).alias("by_span"))
+    # Neighbours with one and the same height go to one row in any case, so the walk takes one step for them all.
+    boxed = blocks.withColumn("hs", F.transform("ls", lambda r: _struct(v=r["v"], y0=r["y0"], y1=r["y1"])))
+
+    def turns(i):
+        h, p = F.get("hs", i), F.get("hs", i - 1)
+        return (i == 0) | h["v"] | (h["y1"] <= h["y0"]) | (h["y0"] != p["y0"]) | (h["y1"] != p["y1"])
+
+    runs = boxed.withColumn("st", F.filter(F.sequence(F.lit(0), F.size("ls") - 1), turns))
+    walked = runs.withColumn("at", F.aggregate(F.transform("st", lambda i: F.get("hs", i)), begin, add)["at"])
+    row = F.get("at", F.size(F.filter("st", lambda i: i <= F.col("i"))) - 1) - 1
+    rows = walked.select("doc_id", "page", "block", "st", "at", F.posexplode("ls").alias("i", "l")).groupBy(
+        "doc_id", "page", "block", row.alias("row")).agg(
+        F.bool_or("l.v").alias("vertical"), F.array_sort(F.flatten(F.collect_list("l.ss"))).alias("by_x"),
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("l.v"), F.struct("i", F.array_sort(F.transform(
+            "l.ss", lambda s: F.struct(s["span"].alias("k"), s.alias("s")))).alias("ss"))))), lambda r: r["ss"])).alias("by_span"))
     placed = rows.select("doc_id", "page", "block", "row", "vertical", F.when(
         F.col("vertical"), F.transform("by_span", lambda r: r["s"])).otherwise(F.col("by_x")).alias("ss"))
 

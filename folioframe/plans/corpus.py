@@ -127,13 +127,13 @@ chars AS (SELECT doc_id, page, block, line, seq, substr(text, seq + 1, 1) AS c,
 def words(spark: SparkSession, folder: str) -> DataFrame:
     """Every visual line cut at its spaces into word spans; a wide gap before each sixth word makes columns."""
     def word(text, i):
-        before = F.array_join(F.slice(F.col("parts"), 1, i), " ")
-        offset = F.when(i == 0, 0).otherwise(F.length(before) + 1)
-        left = F.col("x0") + F.col("size") * 0.5 * offset + 20.0 * F.floor(i / 6)
+        left = F.col("x0") + F.col("size") * 0.5 * F.get(F.col("offsets"), i) + 20.0 * F.floor(i / 6)
         return F.struct(text.alias("text"), left.alias("x0"),
                         (left + F.col("size") * 0.5 * F.length(text)).alias("x1"))
 
-    return (spans(spark, folder).withColumn("parts", F.split("text", " "))
+    offsets = F.aggregate("parts", F.array(F.lit(0)),
+                          lambda acc, w: F.array_append(acc, F.element_at(acc, -1) + F.length(w) + 1))
+    return (spans(spark, folder).withColumn("parts", F.split("text", " ")).withColumn("offsets", offsets)
             .select("doc_id", "page", "block", "line", "size", "font", "flags", "color", "y0", "y1",
                     F.posexplode(F.transform("parts", word)).alias("span", "w"))
             .select("doc_id", "page", "block", "line", "span", "w.text", "font", "size", "flags", "color",
