@@ -10,6 +10,7 @@ from folioframe.functions.geometry import overlap_fraction
 from folioframe.functions.sheet import format_number, parse_ref, recognise
 from folioframe.functions.text import bullet_character, strip
 from folioframe.operators.scale import bands, points_in_boxes, running
+from folioframe.session import cut_lineage
 
 BOX = ["x0", "y0", "x1", "y1"]
 
@@ -296,6 +297,8 @@ def sheet_rows(pieces: DataFrame, mode: str = "page") -> DataFrame:
     ``tables`` a sheet per table made of tabs.
     """
     rows = _page_rows(pieces)
+    if mode != "tables":
+        rows = cut_lineage(rows)  # used two or three times below: worked out once, kept in the checkpoint folder
     tabbed = typed_text_tables(_tab_cells(rows.where("tabular")))
     page_name = F.concat(F.lit("ページ"), (F.col("page") + 1).cast("string"))
     cells = ["doc_id", "sheet", "row", "col", "kind", "text", "value", "format"]

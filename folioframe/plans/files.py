@@ -168,15 +168,22 @@ def edit_sessions(spark, folder):
     return E.typing_sessions(corpus.edit_events(spark, folder), "6 hours").select("doc_id", "edits", "first_seq", "last_seq")
 
 
-@query("edit_sessions_stream")
+@query("edit_sessions_stream", sql(_SESSIONS.format(gap=SIX_HOURS), """
+SELECT doc_id, count(*) AS edits, min(seq) AS first_seq, max(seq) AS last_seq FROM ses GROUP BY doc_id, k
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM edit) - INTERVAL 1 HOUR"""))
 def edit_sessions_stream(spark, folder):
-    return E.to_table(E.typing_sessions(_edit_stream(spark, folder), "6 hours", "1 hour"), name="sessions")
+    """The sessions the stream has closed: those that end before its watermark, an hour behind the last edit."""
+    closed = E.to_table(E.typing_sessions(_edit_stream(spark, folder), "6 hours", "1 hour"), name="sessions")
+    return closed.select("doc_id", "edits", "first_seq", "last_seq")
 
 
-@query("save_points", sql(corpus.EDIT + """,
+_SAVES = corpus.EDIT + """,
 gap AS (SELECT *, ts + CASE WHEN seq % 4 = 0 THEN INTERVAL 8 HOUR ELSE INTERVAL 4 HOUR END AS till FROM edit),
 run AS (SELECT *, max(till) OVER (PARTITION BY doc_id ORDER BY ts, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before_till FROM gap),
-ses AS (SELECT *, sum(CASE WHEN ts < before_till THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ts, seq) AS k FROM run)""", """
+ses AS (SELECT *, sum(CASE WHEN ts < before_till THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY ts, seq) AS k FROM run)"""
+
+
+@query("save_points", sql(_SAVES, """
 SELECT doc_id, strftime(max(till), '%Y-%m-%d %H:%M:%S') AS saved_at, max(seq) AS seq, max_by(after, seq) AS after, count(*) AS edits FROM ses GROUP BY doc_id, k"""))
 def save_points(spark, folder):
     """Saves after four quiet hours, or eight where the editor was busy."""
@@ -184,10 +191,11 @@ def save_points(spark, folder):
     return E.save_points(edits, "4 hours", "8 hours").withColumn("saved_at", F.date_format("saved_at", "yyyy-MM-dd HH:mm:ss"))
 
 
-@query("save_points_stream")
+@query("save_points_stream", sql(_SAVES, """
+SELECT doc_id, max(seq) AS seq, count(*) AS edits FROM ses GROUP BY doc_id, k HAVING max(till) <= (SELECT max(ts) FROM edit) - INTERVAL 1 HOUR"""))
 def save_points_stream(spark, folder):
     edits = _edit_stream(spark, folder).withColumn("busy", F.col("seq") % 4 == 0)
-    return E.to_table(E.save_points(edits, "4 hours", "8 hours", "1 hour"), name="saves")
+    return E.to_table(E.save_points(edits, "4 hours", "8 hours", "1 hour"), name="saves").select("doc_id", "seq", "edits")
 
 
 @query("ordered_requests_stream", "SELECT conv_id AS doc_id, turn AS seq, role AS op, CAST(turn AS VARCHAR) AS annot_id, md5(text) AS after FROM conversations")
@@ -207,7 +215,9 @@ def latest_marks_stream(spark, folder):
     return E.current_marks(E.to_table(E.latest_state(_edit_stream(spark, folder)), name="latest"))
 
 
-@query("expired_drafts_stream")
+@query("expired_drafts_stream", """
+SELECT user_id AS doc_id, arg_max(event_id, (epoch_ms(ts), event_id)) AS seq, max(epoch_ms(ts)) AS saved_ms FROM events GROUP BY 1
+HAVING max(ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def expired_drafts_stream(spark, folder):
     """Drafts of documents without a save for a day, as the stream's time passes their limit."""
     return E.to_table(E.expired_drafts(_edit_stream(spark, folder), days=1), name="expired")
