@@ -209,7 +209,7 @@ def annots(spark: SparkSession, folder: str) -> DataFrame:
 ANNOT = """
 annot AS (SELECT user_id AS doc_id, CAST(event_id AS VARCHAR) AS id, CAST(event_id % 30 AS INTEGER) AS page,
                  (['highlight','freetext','note','square','ink','polygon','stamp','redact','popup','underline'])[event_id % 10 + 1] AS type,
-                 (event_id % 50) * 10.0 AS x0, (event_id % 37) * 20.0 AS y0,
+                 (event_id % 50) * 10.0::DOUBLE AS x0, (event_id % 37) * 20.0::DOUBLE AS y0,
                  CASE WHEN event_id % 10 = 1 THEN 'Box ' || event_id ELSE '' END AS text, props AS contents,
                  'u' || (user_id % 7) AS author,
                  CASE WHEN event_id % 4 = 0 THEN '' ELSE 'topic ' || (event_id % 11) END AS subject, ts AS created,

@@ -216,7 +216,7 @@ def latest_marks_stream(spark, folder):
 
 
 @query("expired_drafts_stream", """
-SELECT user_id AS doc_id, arg_max(event_id, (epoch_ms(ts), event_id)) AS seq, max(epoch_ms(ts)) AS saved_ms FROM events GROUP BY 1
+SELECT user_id AS doc_id, arg_max(event_id, (epoch_us(ts) // 1000, event_id)) AS seq, max(epoch_us(ts) // 1000) AS saved_ms FROM events GROUP BY 1
 HAVING max(ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def expired_drafts_stream(spark, folder):
     """Drafts of documents without a save for a day, as the stream's time passes their limit."""

@@ -90,6 +90,16 @@ def comment_list_capped(spark, folder):
         "doc_id", "id", F.col("_rank").alias("rank"))
 
 
+@query("comment_list_by_author", sql(corpus.ANNOT, f"""
+SELECT doc_id, id, rank FROM (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY author, page, y0, event_id) AS rank FROM annot)
+WHERE rank <= 40"""))
+def comment_list_by_author(spark, folder):
+    """The first forty rows of every comment list, sorted by author in Japanese collation."""
+    marks = corpus.annots(spark, folder)
+    return review.capped(marks, ["doc_id"], [*review.comment_order("author"), F.col("event_id")], 40).select(
+        "doc_id", "id", F.col("_rank").alias("rank"))
+
+
 @query("report_positions", sql(corpus.ANNOT, """
 SELECT doc_id, page, count(*) AS marks, min(y0) AS first_y, max_by(id, (y0, x0, event_id)) AS last_id FROM annot GROUP BY 1, 2"""))
 def report_positions(spark, folder):
@@ -417,6 +427,24 @@ def form_values_read(spark, folder):
     return forms.read_values(texts)
 
 
+@query("detected_fields", """
+WITH d AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS ln FROM lineitem),
+r AS (SELECT doc_id, ln, (doc_id + ln) % 3 <> 0 AS rule FROM d)
+SELECT doc_id, 50.0::DOUBLE AS x0, CASE WHEN rule THEN 82 ELSE 90 END + 30.0::DOUBLE * ln AS y0, 250.0::DOUBLE AS x1, CASE WHEN rule THEN 100 ELSE 110 END + 30.0::DOUBLE * ln AS y1 FROM r""")
+def detected_fields(spark, folder):
+    """Rules and boxes of a paper form per order: a box under a rule is the same field, short strokes are none."""
+    rows = corpus.load(spark, folder, "lineitem").select(F.col("l_orderkey").alias("doc_id"), F.col("l_linenumber").alias("ln")).distinct()
+    y = 100 + 30.0 * F.col("ln")
+
+    def drawing(x0, y0, w, h):
+        return F.struct(F.lit(x0).alias("x0"), y0.alias("y0"), F.lit(x0 + w).alias("x1"), (y0 + h).alias("y1"))
+
+    rule = F.when((F.col("doc_id") + F.col("ln")) % 3 != 0, drawing(50.0, y, 200.0, 1.0))
+    shapes = F.array_compact(F.array(rule, drawing(50.0, y - 10, 200.0, 20.0), drawing(400.0, y, 30.0, 1.0)))
+    drawings = rows.select("doc_id", F.lit(0).alias("page"), F.explode(shapes).alias("s")).select("doc_id", "page", "s.*")
+    return forms.detect(drawings).select("doc_id", "x0", "y0", "x1", "y1")
+
+
 @query("signature_state", sql(corpus.FIELD, """
 SELECT doc_id, count(*) AS fields, count(value) AS signed FROM field WHERE type = 'signature' GROUP BY 1"""))
 def signature_state(spark, folder):

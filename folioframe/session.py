@@ -12,6 +12,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # Sessions of a busy document are joined inside each task before the shuffle.
+    "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
     # The cp932 branch of the text reader needs the full set of JVM charsets.
     "spark.sql.legacy.javaCharsets": "true",
     # Bytes that do not fit a charset become U+FFFD, which the text reader looks for.
