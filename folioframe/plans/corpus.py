@@ -34,7 +34,8 @@ SCHEMAS = {
 
 def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     reader = spark.read.schema(SCHEMAS[name]) if name in SCHEMAS else spark.read
-    return reader.parquet(f"{folder}/{name}.parquet")
+    table = reader.parquet(f"{folder}/{name}.parquet")
+    return spread(table, "l_orderkey", "l_linenumber") if name == "lineitem" else table
 
 
 def i32(column):
