@@ -41,11 +41,18 @@ def collate(fields: DataFrame, names: list[str] | None = None) -> DataFrame:
     return wide.na.fill("", names)
 
 
+# Fixed values.
+CSV_HEADER = ["フィールド名", "種別", "値", "ページ", "必須", "読み取り専用"]
+
+
 def csv_lines(fields: DataFrame) -> DataFrame:
+    """The form data CSV: a header per document and one line per field, with the keys to sort by."""
+    head = fields.select("doc_id").distinct().select(
+        "doc_id", F.lit(-1).alias("page"), F.lit(-1).alias("seq"), F.lit(",".join(CSV_HEADER)).alias("line"))
     flag = {c: F.when(F.col(c), "○").otherwise("") for c in ("required", "read_only")}
-    return fields.select("doc_id", "page", "seq", csv_line(
+    return head.unionByName(fields.select("doc_id", "page", "seq", csv_line(
         F.col("name"), F.col("type"), F.coalesce("value", F.lit("")), F.col("page") + 1, flag["required"],
-        flag["read_only"]).alias("line"))
+        flag["read_only"]).alias("line")))
 
 
 def fdf_lines(fields: DataFrame, names: DataFrame) -> DataFrame:

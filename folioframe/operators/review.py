@@ -137,6 +137,11 @@ def quoted_text(annots: DataFrame, chars: DataFrame) -> DataFrame:
 # into one row.
 
 
+# Fixed values.
+CSV_HEADER = ["ページ", "種類", "作成者", "主題", "状態", "チェック済", "本文", "対象テキスト", "返信数", "色", "作成日時",
+              "x0", "y0", "x1", "y1"]
+
+
 def _csv_values() -> list[Column]:
     blank = F.lit("")
 
@@ -246,9 +251,14 @@ def summary_lines(annots: DataFrame, replies: DataFrame, names: DataFrame) -> Da
 
 
 def csv_lines(annots: DataFrame) -> DataFrame:
-    """The comment CSV: one line per mark, with the keys to sort by."""
-    return _numbered(annots).select("doc_id", "page", "_y", "_x", "id", F.lit(0).alias("part"), F.lit(0).alias("pos"),
-                                    csv_line(*_csv_values()).alias("line"))
+    """The comment CSV: a header per document and one line per mark, with the keys to sort by."""
+    zero, blank = F.lit(0.0), F.lit("")
+    part, pos = F.lit(0).alias("part"), F.lit(0).alias("pos")
+    head = annots.select("doc_id").distinct().select(
+        "doc_id", F.lit(-1).alias("page"), zero.alias("_y"), zero.alias("_x"), blank.alias("id"), part, pos,
+        F.lit(",".join(CSV_HEADER)).alias("line"))
+    return head.unionByName(_numbered(annots).select(
+        "doc_id", "page", "_y", "_x", "id", part, pos, csv_line(*_csv_values()).alias("line")))
 
 
 # ---------------------------------------------------------------- change detection

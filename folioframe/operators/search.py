@@ -49,7 +49,7 @@ def exact_hits(lines: DataFrame, needle: str) -> DataFrame:
     words = needle.split()
     glue = rf"(?:{SPACE}+)"
     soft = r"(?:-\n)?"
-    pattern = "(?i)" + glue.join(soft.join(quote(c) for c in w) for w in words)
+    pattern = "(?iu)" + glue.join(soft.join(quote(c) for c in w) for w in words)
     hits = texts.where(F.col("t").rlike(pattern)).select("doc_id", "page", F.posexplode(find_all(F.col("t"), pattern)).alias("hit", "h"))
     return hits.select("doc_id", "page", "hit", "h.start", "h.end", F.col("h.value").alias("text"))
 

@@ -60,3 +60,25 @@ def detail_csv(items: DataFrame) -> DataFrame:
         csv_line(F.col("page") + 1, F.coalesce("subject", F.lit("")), F.coalesce(m["kind"], F.lit("count")),
                  F.coalesce(m["value"], F.lit(1.0)), F.coalesce(m["unit"], F.lit("")), F.coalesce(m["label"], F.lit("")),
                  F.coalesce("contents", F.lit(""))).alias("line"))
+
+
+# Fixed values.
+SUMMARY_HEADER = ["分類", "種別", "個数", "合計", "単位", "ページ", "色"]
+DETAIL_HEADER = ["ページ", "分類", "種別", "値", "単位", "表示", "コメント"]
+
+
+def report_csv(items: DataFrame) -> DataFrame:
+    """The take-off file of each document as sorted lines (doc_id, part, label, page, y, seq, line).
+
+    Parts: 0 header, 1 summary, 2 blank line and second header, 3 details.
+    """
+    kept = _keep(items)
+    blank = F.lit("")
+    no_row = [F.lit(0).alias("page"), F.lit(0.0).alias("y"), blank.alias("seq")]
+    rows = summary_csv(summarise(items, ["doc_id"])).select("doc_id", F.lit(1).alias("part"), "label", *no_row, "line")
+    heads = kept.select("doc_id").distinct().select("doc_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("part"), F.lit("0").alias("label"), F.lit(",".join(SUMMARY_HEADER)).alias("line")),
+        F.struct(F.lit(2).alias("part"), F.lit("0").alias("label"), blank.alias("line")),
+        F.struct(F.lit(2).alias("part"), F.lit("1").alias("label"), F.lit(",".join(DETAIL_HEADER)).alias("line")))).alias("h"))
+    details = detail_csv(items).select("doc_id", F.lit(3).alias("part"), blank.alias("label"), "page", "y", F.col("seq").cast("string").alias("seq"), "line")
+    return heads.select("doc_id", "h.part", "h.label", *no_row, "h.line").unionByName(rows).unionByName(details)

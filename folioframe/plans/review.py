@@ -164,7 +164,7 @@ SELECT doc_id, page, y0 AS y, x0 AS x, id,
        (page + 1) || ',' || {_TYPE_SQL} || ',' || author || ',' || subject || ',' || {_STATE_SQL} || ',' || CASE WHEN checked THEN '✓' ELSE '' END
        || ',"' || replace(CASE WHEN text = '' THEN contents ELSE text || chr(10) || contents END, '"', '""') || '",,0,' || stroke || ','
        || strftime(created, '%Y-%m-%dT%H:%M:%S') || ',' || printf('%.1f', x0) || ',' || printf('%.1f', y0) || ',' || printf('%.1f', x0 + 40) || ',' || printf('%.1f', y0 + 12) AS line
-FROM annot"""))
+FROM annot UNION ALL SELECT DISTINCT doc_id, -1, 0, 0, '', 'ページ,種類,作成者,主題,状態,チェック済,本文,対象テキスト,返信数,色,作成日時,x0,y0,x1,y1' FROM annot"""))
 def comments_csv(spark, folder):
     lines = review.csv_lines(_report_inputs(spark, folder)[0])
     return lines.select("doc_id", "page", F.col("_y").alias("y"), F.col("_x").alias("x"), "id", "line")
@@ -330,6 +330,16 @@ def takeoff_summary_csv(spark, folder):
     return takeoff.summary_csv(takeoff.summarise(corpus.measures(spark, folder))).select("line")
 
 
+@query("takeoff_report_csv", sql(corpus.MEASURE, f"""
+SELECT doc_id, 0 AS part, '0' AS label, 0 AS page, 0.0::DOUBLE AS y, '分類,種別,個数,合計,単位,ページ,色' AS line FROM meas GROUP BY 1
+UNION ALL SELECT doc_id, 1, label, 0, 0, label || ',' || kind || ',' || count || ',' || total || ',' || unit || ',' || pages || ',' || colour FROM ({_ROWS.format(by='doc_id, ')})
+UNION ALL SELECT doc_id, 2, '0', 0, 0, '' FROM meas GROUP BY 1
+UNION ALL SELECT doc_id, 2, '1', 0, 0, 'ページ,分類,種別,値,単位,表示,コメント' FROM meas GROUP BY 1
+UNION ALL SELECT doc_id, 3, '', page, l_discount, (page + 1) || ',' || subject || ',' || kind || ',' || value || ',m,' || value || ' m,' FROM meas"""))
+def takeoff_report_csv(spark, folder):
+    return takeoff.report_csv(corpus.measures(spark, folder)).drop("seq")
+
+
 _POINTS = """
 pts AS (SELECT l_orderkey, l_linenumber, l_quantity AS q, l_extendedprice / 1000 AS p, l_discount * 100 AS d FROM lineitem)"""
 
@@ -392,7 +402,8 @@ def form_upsert(spark, folder):
 
 @query("form_csv", sql(corpus.FIELD, """
 SELECT doc_id, page, seq, name || ',' || type || ',' || coalesce(value, '') || ',' || (page + 1) || ',' || CASE WHEN required THEN '○' ELSE '' END || ','
-       || CASE WHEN read_only THEN '○' ELSE '' END AS line FROM field"""))
+       || CASE WHEN read_only THEN '○' ELSE '' END AS line FROM field
+UNION ALL SELECT DISTINCT doc_id, -1, -1, 'フィールド名,種別,値,ページ,必須,読み取り専用' FROM field"""))
 def form_csv(spark, folder):
     return forms.csv_lines(corpus.fields(spark, folder))
 

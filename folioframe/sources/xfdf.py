@@ -33,7 +33,7 @@ def _numbers(text: Column, sep: str = ",") -> Column:
 def to_marks(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     """Elements as marks of the model. ``nodes`` needs doc_id; pages that do not exist drop their marks.
 
-    Replies come back as notes of their own, as the reference does.
+    Replies come back as notes of their own.
     """
     h = F.col("height")
     rect = _numbers(F.coalesce("rect", F.lit("0,0,0,0")))
