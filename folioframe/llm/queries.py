@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm import byte_bpe, language, licenses, mixing, ngram_join, quality, token_files, toxicity
+from folioframe.llm import byte_bpe, fingerprints, language, licenses, mixing, nearest, ngram_join, quality, token_files, toxicity
 from folioframe.session import cut_lineage, scratch_folder
 
 QUERIES: dict = {}
@@ -26,6 +26,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+@query("op1_nearest_vectors")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest.search(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query("op2_language_id")
 def op2(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
@@ -82,3 +87,15 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_license_scans")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@query("op10_document_fingerprints")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = fingerprints.with_next(table(spark, folder, "documents"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(F.substring("text", F.lit(1), F.length("text") - half), F.substring("next", F.lit(1), half))
+    rows = docs.withColumns({"n_chars": F.length("text").cast("long"), "edited": edited})
+    rows = rows.withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256))
+    found = fingerprints.compare(rows, ["part", "row"], "text", ["edited", "next"])
+    return found.select("doc_id", "n_chars", "edited_sha256", F.col("print_text").alias("fingerprint"),
+                        F.col("print_edited").alias("edited_fingerprint"), "near_edited", "near_next")
