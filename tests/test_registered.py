@@ -14,7 +14,7 @@ SAMPLE = ["pii_hits_masked", "thread_replies", "takeoff_by_document", "form_fdf"
 
 
 def test_every_oracle_has_a_query():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry_gives_rows(spark):
