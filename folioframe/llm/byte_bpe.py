@@ -21,7 +21,7 @@ from pyspark.sql import types as T
 
 from folioframe.llm.batches import binary, from_binary, gather, sliced, split, texts_of, with_columns
 
-_CACHED = 600_000
+_CACHED, _SLICE = 400_000, 2 << 20
 #: Unicode white space, as the pattern's \s takes it.
 _BLANK = [chr(c) for c in [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
 
@@ -71,11 +71,13 @@ class Encoder:
 
     def pieces(self, words: list[str]) -> list[bytes]:
         """Ids of each word with a space before it; a full cache takes no more words."""
-        new = [w for w in words if w not in self.known]
-        fresh = dict(zip(new, self.plain([f" {w}" for w in new])))
+        out = list(map(self.known.get, words))
+        new = [i for i, ids in enumerate(out) if ids is None]
+        for i, ids in zip(new, self.plain([f" {words[i]}" for i in new])):
+            out[i] = ids
         if len(self.known) < _CACHED:
-            self.known.update(fresh)
-        return [self.known.get(w) or fresh[w] for w in words]
+            self.known.update((words[i], out[i]) for i in new)
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         values, codes, starts = split(texts, " ")
@@ -150,7 +152,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", packed: b
         return with_columns(part, n_tokens=pa.array(np.diff(ends)), ids=column, **more)
 
     kept = df.drop(*added)
-    return kept.mapInArrow(sliced(text, work), T.StructType([*kept.schema, *[T.StructField(k, v) for k, v in added.items()]]))
+    return kept.mapInArrow(sliced(text, work, size=_SLICE), T.StructType([*kept.schema, *[T.StructField(k, v) for k, v in added.items()]]))
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
