@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -133,3 +134,27 @@ def rolling(symbols: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray
         ends = starts[1:] - k
         valid[ends[ends >= starts[:-1]]] = False
     return mixed(h), valid
+
+
+class Pieces:
+    """Ids of distinct strings: those seen first stay in flat arrays, ``limit`` of them at most; others are encoded anew."""
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], limit: int):
+        self.encode, self.limit = encode, limit
+        self.values, self.ids, self.offsets = pa.array([], pa.string()), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def of(self, values: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, offsets, entry of each value): the ids of entry e are ``ids[offsets[e]:offsets[e + 1]]``."""
+        entry = pc.index_in(values, value_set=self.values)
+        new = pc.is_null(entry)
+        fresh = values.filter(new)
+        lists = self.encode(fresh.to_pylist())
+        ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), dtype=np.uint32)])
+        offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(x) for x in lists], dtype=np.int64)])
+        at = np.empty(len(values), dtype=np.int64)
+        missing = new.to_numpy(zero_copy_only=False)
+        at[~missing] = entry.drop_null().to_numpy(zero_copy_only=False)
+        at[missing] = len(self.values) + np.arange(len(fresh))
+        if len(self.values) < self.limit:
+            self.values, self.ids, self.offsets = pa.concat_arrays([self.values, fresh]), ids, offsets
+        return ids, offsets, at

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.batches import binary, from_binary, gather, sliced, split, texts_of, with_columns
+from folioframe.llm.batches import Pieces, binary, from_binary, gather, sliced, split, texts_of, with_columns
 
 _CACHED, _SLICE = 400_000, 2 << 20
 #: Unicode white space, as the pattern's \s takes it.
@@ -52,7 +52,7 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Encoder:
-    """The library's model of one rank file, with the ids of pieces seen before."""
+    """The library's model of one rank file, with the ids of words seen before."""
 
     def __init__(self, path: str, pattern: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -64,24 +64,14 @@ class Encoder:
         self.model = Tokenizer(models.BPE(vocab={name(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.model.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        self.known: dict[str, bytes] = {}
+        self.pieces = Pieces(lambda words: self.plain([f" {w}" for w in words]), _CACHED)
 
-    def plain(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype="<u4").tobytes() for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def pieces(self, words: list[str]) -> list[bytes]:
-        """Ids of each word with a space before it; a full cache takes no more words."""
-        out = list(map(self.known.get, words))
-        new = [i for i, ids in enumerate(out) if ids is None]
-        for i, ids in zip(new, self.plain([f" {words[i]}" for i in new])):
-            out[i] = ids
-        if len(self.known) < _CACHED:
-            self.known.update((words[i], out[i]) for i in new)
-        return out
+    def plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         values, codes, starts = split(texts, " ")
-        words, blank = values.to_pylist(), pa.array(["", *_BLANK])
+        blank = pa.array(["", *_BLANK])
         opens, closes = (~pc.is_in(pc.utf8_slice_codeunits(values, *ends), value_set=blank).to_numpy(zero_copy_only=False)
                          for ends in ((0, 1), (-1, None)))
         bad = np.zeros(len(codes), dtype=bool)
@@ -90,18 +80,17 @@ class Encoder:
         bad[inner] = ~opens[codes[inner]]
         bad[:-1][inner[1:]] |= ~closes[codes[:-1][inner[1:]]]
         whole = np.add.reduceat(bad, starts[:-1]) > 0
-        # Piece numbers after the distinct words: the first word of each text without a space, or the text as a whole.
+        # The first word of each text stands without a space, or for the text as a whole.
         use = inner & ~np.repeat(whole, np.diff(starts))
         needed = np.unique(codes[use])
-        first = [texts[i].as_py() if whole[i] else words[codes[starts[i]]] for i in range(len(texts))]
-        parts = [b""] * len(words)
-        for c, ids in zip(needed, self.pieces([words[c] for c in needed])):
-            parts[c] = ids
-        parts += self.plain(first)
-        data = np.frombuffer(b"".join(parts), dtype="<u4")
-        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
-        order = codes.astype(np.int64)
-        order[starts[:-1]] = len(words) + np.arange(len(texts))
+        data, offsets, entry = self.pieces.of(values.take(pa.array(needed)))
+        first = self.plain(pc.if_else(pa.array(whole), texts, values.take(pa.array(codes[starts[:-1]]))).to_pylist())
+        place = np.zeros(len(values), dtype=np.int64)
+        place[needed] = entry
+        order = place[codes]
+        order[starts[:-1]] = len(offsets) - 1 + np.arange(len(texts))
+        data = np.concatenate([data, np.array([i for ids in first for i in ids], dtype=np.uint32)])
+        offsets = np.concatenate([offsets, offsets[-1] + np.cumsum([len(ids) for ids in first], dtype=np.int64)])
         keep = use.copy()
         keep[starts[:-1]] = True
         ids, ends = gather(data, offsets, order[keep])

@@ -24,23 +24,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from folioframe.llm.batches import binary, from_binary, gather, sliced, split, texts_of, with_columns, without_empty
+from folioframe.llm.batches import Pieces, binary, from_binary, gather, sliced, split, texts_of, with_columns, without_empty
 from folioframe.llm.order import part_count, range_bounds, range_part
 
 BLOCK, HEAD, PERCENTILES = 256, 8, (50, 75, 90, 95, 100)
-_CACHED, _TOKENS, _SLICE = 600_000, 1 << 18, 6 << 20
+_CACHED, _TOKENS, _SLICE = 500_000, 1 << 18, 6 << 20
 
 
 # ---------------------------------------------------------------- ids of a text
 
-def _stem(word: str) -> tuple[str, ...]:
-    """A word in parts whose ids stand side by side: a full stop or comma after a letter is a token run of its own, and
-    letters A to Z are lower-cased by the tokenizer itself."""
-    end = (word[-1],) if word[-1] in ".," and word[-2:-1].isalpha() else ()
-    body = word[:-1] if end else word
-    return (body.lower() if body.isascii() and body.isalpha() else body, *end)
-
-
 class Words:
     """A tokenizer file of the tokenizers library whose white space never carries an id: words are encoded once a slice."""
 
@@ -48,34 +40,15 @@ class Words:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model, self.known = Tokenizer.from_file(path), {}
-
-    def plain(self, words: list[str]) -> dict[str, bytes]:
-        found = self.model.encode_batch_fast(words, add_special_tokens=False)
-        return {w: np.asarray(e.ids, dtype="<u4").tobytes() for w, e in zip(words, found)}
-
-    def pieces(self, words: list[str]) -> list[bytes]:
-        """Ids of each word. Forms not seen yet share the ids of their stem; a full cache takes no more words."""
-        out = list(map(self.known.get, words))
-        new = {i: _stem(words[i]) for i, ids in enumerate(out) if ids is None}
-        stems = {s: ids for parts in new.values() for s in parts if (ids := self.known.get(s)) is not None}
-        fresh = self.plain(list({s for parts in new.values() for s in parts} - stems.keys()))
-        stems |= fresh
-        for i, parts in new.items():
-            out[i] = b"".join(stems[s] for s in parts)
-        if len(self.known) < _CACHED:
-            self.known |= fresh
-            self.known.update((words[i], out[i]) for i in new)
-        return out
+        model = Tokenizer.from_file(path)
+        self.pieces = Pieces(lambda found: [e.ids for e in model.encode_batch_fast(found, add_special_tokens=False)], _CACHED)
 
     def encode(self, texts: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``last`` behind it, and where each text begins and the last ends."""
         values, codes, starts = without_empty(*split(pc.replace_substring(texts, "\n", " "), " "))
-        parts = [*self.pieces(values.to_pylist()), np.array([last], dtype="<u4").tobytes()]
-        data = np.frombuffer(b"".join(parts), dtype="<u4")
-        offsets = np.concatenate([[0], np.cumsum([len(p) // 4 for p in parts])]).astype(np.int64)
-        order = np.insert(codes.astype(np.int64), starts[1:], len(values))
-        ids, ends = gather(data, offsets, order)
+        data, offsets, entry = self.pieces.of(values)
+        order = np.insert(entry[codes], starts[1:], len(offsets) - 1)
+        ids, ends = gather(np.append(data, np.uint32(last)), np.append(offsets, len(data) + 1), order)
         return ids, ends[starts + np.arange(len(starts))]
 
 
