@@ -27,8 +27,8 @@ from pyspark.sql.window import Window
 from folioframe.llm.batches import Pieces, binary, from_binary, gather, sliced, split, texts_of, with_columns, without_empty
 from folioframe.llm.order import part_count, range_bounds, range_part
 
-BLOCK, HEAD, PERCENTILES = 256, 8, (50, 75, 90, 95, 100)
-_CACHED, _TOKENS, _SLICE = 500_000, 1 << 18, 6 << 20
+BLOCK, HEAD, PERCENTILES = 256, 8, (75, 90, 100)
+_CACHED, _TOKENS, _SLICE = 700_000, 1 << 18, 10 << 20
 
 
 # ---------------------------------------------------------------- ids of a text
@@ -95,7 +95,7 @@ def _pack(ids: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], list[np.ndarr
     width = np.zeros(len(count), dtype=np.int64)
     for percentile in PERCENTILES:
         w = bits[np.arange(len(count)), (count * percentile + 99) // 100 - 1].astype(np.int64)
-        size = (count * w + 7) // 8 + ((bits > w[:, None]) & (bits < 99)).sum(axis=1) * (1 + wide)
+        size = (count * w + 7) // 8 + (np.count_nonzero(bits > w.astype(np.uint8)[:, None], axis=1) - BLOCK + count) * (1 + wide)
         width, best = np.where(size < best, w, width), np.minimum(size, best)
     high = rest.astype(np.int64) >> width[:, None]
     odd = (high > 0).sum(axis=1)
@@ -103,8 +103,11 @@ def _pack(ids: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], list[np.ndarr
     for w in np.unique(width[width > 0]).tolist():
         rows = np.flatnonzero(width == w)
         low_bits = (rest[rows] & np.uint32((1 << w) - 1)).astype(">u2" if w <= 16 else ">u4")
-        flags = np.unpackbits(low_bits.view(np.uint8), axis=1).reshape(len(rows), BLOCK, -1)
-        body = np.packbits(flags[:, :, flags.shape[2] - w:].reshape(len(rows), -1), axis=1)
+        if w == 16:  # whole bytes need no bit work
+            body = low_bits.view(np.uint8)
+        else:
+            flags = np.unpackbits(low_bits.view(np.uint8), axis=1).reshape(len(rows), BLOCK, -1)
+            body = np.packbits(flags[:, :, flags.shape[2] - w:].reshape(len(rows), -1), axis=1)
         for row, line, n in zip(rows.tolist(), body, ((count[rows] * w + 7) // 8).tolist()):
             packed[row] = line[:n].tobytes()
     blocks = []
@@ -119,6 +122,19 @@ def _pack(ids: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], list[np.ndarr
             [np.cumsum(sizes[a:b]) - sizes[a:b] for a, b in zip(first[:-1], first[1:])])
 
 
+def _numbers(rows: np.ndarray, w: int) -> np.ndarray:
+    """The numbers of w bits, highest bit first, that the bytes of each row hold: the 8 bytes around each number, shifted."""
+    if w == 16:
+        return np.ascontiguousarray(rows[:, : rows.shape[1] // 2 * 2]).view(">u2")
+    wide = np.pad(rows, ((0, 0), (0, 8)))
+    bit = np.arange(rows.shape[1] * 8 // w) * w
+    words = np.zeros((len(rows), len(bit)), dtype=np.uint64)
+    for k in range((w + 14) // 8):  # bytes that a number can lie in
+        words = words << np.uint64(8) | wide[:, bit // 8 + k]
+    spare = ((w + 14) // 8 * 8 - bit % 8 - w).astype(np.uint64)
+    return (words >> spare) & np.uint64((1 << w) - 1)
+
+
 def unpack(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of the blocks that begin at the bytes ``at``, one after the other, and where each block begins and the last ends."""
     if not len(at):
@@ -133,8 +149,7 @@ def unpack(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         rows = np.flatnonzero(width == w)
         most = int(size[rows].max())
         take = np.minimum(at[rows][:, None] + HEAD + np.arange(most), len(raw) - 1)
-        flags = np.unpackbits(raw[take], axis=1)[:, : most * 8 // int(w) * int(w)].reshape(len(rows), -1, int(w))
-        values = sum(flags[:, :, k].astype(np.int64) << (int(w) - 1 - k) for k in range(int(w)))
+        values = _numbers(raw[take], int(w))
         valid = np.arange(values.shape[1])[None, :] < count[rows][:, None]
         to = ends[:-1][rows][:, None] + np.arange(values.shape[1])
         out[to[valid]] = values[valid]
