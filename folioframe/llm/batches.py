@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_ROWS, SLICE_BYTES = 4096, 4 << 20
+SLICE_ROWS, SLICE_BYTES = 4096, 1 << 20
 
 
 def slices(batch: pa.RecordBatch, column: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -30,6 +30,7 @@ def sliced(column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], size:
         for batch in batches:
             for part in slices(batch, column, size=size):
                 yield work(part)
+            pa.default_memory_pool().release_unused()  # a worker lives on between stages
     return run
 
 

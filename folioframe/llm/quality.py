@@ -25,7 +25,7 @@ from folioframe.llm.batches import points, rolling, run_sums, sliced, split, tex
 
 LABELLERS = ("shouting", "tails", "symbols", "bars", "echoes", "narrow", "prose", "sentences", "variety")
 _GOOD = np.array([n in ("prose", "sentences", "variety") for n in LABELLERS])
-BUCKETS, PER_CLASS, THRESHOLD, SLICE = 1 << 11, 3000, 0.3, 2 << 20
+BUCKETS, PER_CLASS, THRESHOLD, SLICE = 1 << 11, 3000, 0.3, 1 << 20
 _ORDINARY = ".,;:'\"-?!()’“”"
 
 
@@ -195,16 +195,17 @@ def _fit(model: Model, rows: pa.Table) -> Model:
     order = np.lexsort((p, *x[:, -64:].T[::8]))  # whatever order the rows came in
     x, p = x[order], p[order]
     scale = x.std(axis=0) + 1e-4
-    z = np.sqrt(x / scale)
-    del x
+    x /= scale
+    z = np.sqrt(x, out=x)
     mean = z.mean(axis=0)
     weight = np.where(p < 0.5, 0.5 / (p < 0.5).mean(), 0.5 / (p >= 0.5).mean()) / len(p)
     w, b, past, past_b = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(300):
-        error = weight * (1 / (1 + np.exp(-np.clip(z @ w - mean @ w + b, -30, 30))) - p)
-        g, gb = error @ z - error.sum() * mean + 1e-3 * w, error.sum()
+        error = weight * (1 / (1 + np.exp(-np.clip(z @ w.astype(np.float32) - mean @ w + b, -30, 30))) - p)
+        g, gb = error.astype(np.float32) @ z - error.sum() * mean + 1e-3 * w, error.sum()
         past, past_b = past + g * g, past_b + gb * gb
         w, b = w - 0.1 * g / np.sqrt(past), b - 0.1 * gb / np.sqrt(past_b)
+    w = w.astype(np.float64)
     model.weights, model.bias = np.stack([w, 1 / scale]), float(b - mean @ w)
     return model
 

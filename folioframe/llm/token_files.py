@@ -28,7 +28,7 @@ from folioframe.llm.batches import Pieces, binary, from_binary, gather, sliced,
 from folioframe.llm.order import part_count, range_bounds, range_part
 
 BLOCK, HEAD, PERCENTILES = 256, 8, (75, 90, 100)
-_CACHED, _TOKENS, _SLICE = 700_000, 1 << 18, 10 << 20
+_CACHED, _TOKENS, _SLICE = 700_000, 1 << 17, 6 << 20
 
 
 # ---------------------------------------------------------------- ids of a text
@@ -222,4 +222,4 @@ def decoded(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
 
     schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField(key, table.schema[key].dataType),
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return table.select("seq", key, "payload", "block_starts").mapInArrow(sliced("payload", work), schema)
+    return table.select("seq", key, "payload", "block_starts").mapInArrow(sliced("payload", work, size=_SLICE // 4), schema)
