@@ -20,7 +20,7 @@ from folioframe.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
-BLOCK, SHARD_DOCS, SEED, BROADCAST_ROWS = 32, 4096, "mix", 50_000
+BLOCK, SHARD_DOCS, SEED, BROADCAST_ROWS = 8, 4096, "mix", 50_000
 #: A prime above the number of blocks of any shard: times it, modulo their number, permutes the blocks.
 _PRIME = 2147483647
 
