@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
-SLICE_ROWS, SLICE_BYTES = 4096, 1 << 20
+SLICE_ROWS, SLICE_BYTES, BATCH_BYTES = 4096, 1 << 20, "8m"
 
 
 def slices(batch: pa.RecordBatch, column: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -30,10 +32,24 @@ def sliced(column: str, work: Callable[[pa.RecordBatch], pa.RecordBatch], size:
         for batch in batches:
             for part in slices(batch, column, size=size):
                 yield work(part)
-            pa.default_memory_pool().release_unused()  # a worker lives on between stages
+        give_back()
     return run
 
 
+def give_back() -> None:
+    """Return unused memory to the system: a worker lives on between stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library
+    if trim:
+        trim(0)
+
+
+def mapped(df: DataFrame, function, schema) -> DataFrame:
+    """``df.mapInArrow`` with batches of a few megabytes: of these the JVM and the worker hold several at a time."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df.mapInArrow(function, schema)
+
+
 def with_columns(part: pa.RecordBatch, **columns) -> pa.RecordBatch:
     """The slice with columns added, or replaced where the name is there already."""
     names = [n for n in part.schema.names if n not in columns]

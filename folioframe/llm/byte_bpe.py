@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.batches import Pieces, binary, from_binary, gather, sliced, split, texts_of, with_columns
+from folioframe.llm.batches import Pieces, binary, from_binary, gather, mapped, sliced, split, texts_of, with_columns
 
 _CACHED, _SLICE = 400_000, 2 << 20
 #: Unicode white space, as the pattern's \s takes it.
@@ -141,7 +141,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", packed: b
         return with_columns(part, n_tokens=pa.array(np.diff(ends)), ids=column, **more)
 
     kept = df.drop(*added)
-    return kept.mapInArrow(sliced(text, work, size=_SLICE), T.StructType([*kept.schema, *[T.StructField(k, v) for k, v in added.items()]]))
+    return mapped(kept, sliced(text, work, size=_SLICE), T.StructType([*kept.schema, *[T.StructField(k, v) for k, v in added.items()]]))
 
 
 def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
@@ -176,7 +176,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             for start in range(0, batch.num_rows, 256):
                 yield work(batch.slice(start, 256))
 
-    return work_df.mapInArrow(run, T.StructType([*work_df.schema, T.StructField(out, T.BinaryType())])).drop("_ids")
+    return mapped(work_df, run, T.StructType([*work_df.schema, T.StructField(out, T.BinaryType())])).drop("_ids")
 
 
 def decode_parts(parts: list[list[int]], path: str) -> list[str]:

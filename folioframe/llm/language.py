@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from folioframe.llm.batches import points, rolling, run_sums, sliced, texts_of, with_columns
+from folioframe.llm.batches import points, rolling, run_sums, mapped, sliced, texts_of, with_columns
 
 BUCKETS, ORDERS, PER_LANG, SLICE = 1 << 16, (1, 2, 3), 1500, 1 << 20
 
@@ -78,7 +78,7 @@ def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
 
     chosen = sample(rows.select(F.col(key).alias("_key"), F.col(text).alias(text), F.col(lang).cast("string").alias(lang)),
                     lang, F.col("_key").cast("string"), per_lang)
-    counts = (chosen.select(text, lang).mapInArrow(sliced(text, count, size=SLICE), "lang string, bucket int, n bigint")
+    counts = (mapped(chosen.select(text, lang), sliced(text, count, size=SLICE), "lang string, bucket int, n bigint")
               .groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow())
     names = sorted(set(counts.column("lang").to_pylist()))
     table = np.zeros((BUCKETS, len(names)))
@@ -113,5 +113,5 @@ def predict(df: DataFrame, names: list[str], logs: np.ndarray, text: str = "text
         return with_columns(part, **{out: pa.array([p or "und" for p in pred], pa.string()), score: pa.array(np.round(likely, 12))})
 
     kept = df.drop(out, score)
-    return kept.mapInArrow(sliced(text, work, size=SLICE),
+    return mapped(kept, sliced(text, work, size=SLICE),
                            T.StructType([*kept.schema, T.StructField(out, T.StringType()), T.StructField(score, T.DoubleType())]))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.batches import binary, gram_hashes, mixed, sliced, texts_of, without_empty
+from folioframe.llm.batches import binary, gram_hashes, mixed, mapped, sliced, texts_of, without_empty
 from folioframe.llm.components import components
 from folioframe.session import cut_lineage
 
@@ -81,7 +81,7 @@ def classes(df: DataFrame, key: str, text: str, words: int, bands: int, rows: in
 
     schema = T.StructType([T.StructField("text_key", T.BinaryType()), T.StructField(key, df.schema[key].dataType),
                            T.StructField("bands", T.ArrayType(T.LongType()))])
-    signed = keyed(df.select(key, text), text).mapInArrow(sliced(text, sign), schema)
+    signed = mapped(keyed(df.select(key, text), text), sliced(text, sign), schema)
     return signed.groupBy("text_key").agg(F.min(key).alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
 
 
@@ -151,7 +151,7 @@ def linked(df: DataFrame, signed: DataFrame, key: str = "doc_id", text: str = "t
 
     schema = T.StructType([f for f in rows.schema if f.name != "text"] + [T.StructField("grams", T.BinaryType())])
     blocks = F.ceil(F.col("b.n") / block).cast("int")
-    spread = (rows.mapInArrow(sliced("text", gram_sets), schema)
+    spread = (mapped(rows, sliced("text", gram_sets), schema)
               .select("text_key", "copies", "grams", F.transform("buckets", lambda b: b["bucket"]).alias("all"), F.explode("buckets").alias("b"))
               .withColumn("own", F.pmod(F.xxhash64("text_key"), blocks).cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))

@@ -21,11 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.batches import points, rolling, run_sums, sliced, split, texts_of, with_columns, without_empty
+from folioframe.llm.batches import points, rolling, run_sums, mapped, sliced, split, texts_of, with_columns, without_empty
 
 LABELLERS = ("shouting", "tails", "symbols", "bars", "echoes", "narrow", "prose", "sentences", "variety")
 _GOOD = np.array([n in ("prose", "sentences", "variety") for n in LABELLERS])
-BUCKETS, PER_CLASS, THRESHOLD, SLICE = 1 << 11, 3000, 0.3, 1 << 20
+BUCKETS, PER_CLASS, THRESHOLD, SLICE = 1 << 11, 3000, 0.3, 1 << 19
 _ORDINARY = ".,;:'\"-?!()’“”"
 
 
@@ -156,7 +156,7 @@ def train(df: DataFrame, text: str = "text", per_class: int = PER_CLASS) -> Mode
 
     # The hash stands for the text: it picks the sample and finds its rows again.
     hashed = df.select(text).where(F.coalesce(text, F.lit("")) != "").withColumn("_h", F.xxhash64(F.lit("quality"), text))
-    voted = hashed.mapInArrow(sliced(text, vote, size=SLICE), "pattern bigint, _h bigint")
+    voted = mapped(hashed, sliced(text, vote, size=SLICE), "pattern bigint, _h bigint")
     spread = 1 << 20  # slots of the hash; the counts of slots tell how far up to go for a sample of the wanted size
     rows = voted.groupBy("pattern").agg(F.count("*").alias("n")).toArrow()
     if not rows.num_rows:
@@ -176,7 +176,7 @@ def train(df: DataFrame, text: str = "text", per_class: int = PER_CLASS) -> Mode
 
     # Texts that no share could take are left out before they reach Python.
     near = hashed.where(F.pmod("_h", F.lit(spread)) < int(max(share) * spread) + 1)
-    return _fit(model, near.mapInArrow(sliced(text, pick, size=SLICE), "text string, p double").toArrow())
+    return _fit(model, mapped(near, sliced(text, pick, size=SLICE), "text string, p double").toArrow())
 
 
 def _fit(model: Model, rows: pa.Table) -> Model:
@@ -238,4 +238,4 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
         return with_columns(part, **{out: pa.array(rate(texts_of(part, text), sent.value))})
 
     kept = df.drop(out)
-    return kept.mapInArrow(sliced(text, work, size=SLICE), T.StructType([*kept.schema, T.StructField(out, T.DoubleType())]))
+    return mapped(kept, sliced(text, work, size=SLICE), T.StructType([*kept.schema, T.StructField(out, T.DoubleType())]))

@@ -24,11 +24,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from folioframe.llm.batches import Pieces, binary, from_binary, gather, sliced, split, texts_of, with_columns, without_empty
+from folioframe.llm.batches import Pieces, binary, from_binary, gather, mapped, sliced, split, texts_of, with_columns, without_empty
 from folioframe.llm.order import part_count, range_bounds, range_part
 
 BLOCK, HEAD, PERCENTILES = 256, 8, (75, 90, 100)
-_CACHED, _TOKENS, _SLICE = 700_000, 1 << 17, 6 << 20
+_CACHED, _TOKENS, _SLICE = 700_000, 1 << 17, 8 << 20
 
 
 # ---------------------------------------------------------------- ids of a text
@@ -184,7 +184,7 @@ def write(df: DataFrame, folder: str, path: str, end_id: int, key: str = "doc_id
                            T.StructField("block_starts", T.ArrayType(T.IntegerType()))])
     ordered = (df.select(range_part(F.col(key), bounds).alias("part"), key, text).repartition(parts, "part")
                .sortWithinPartitions("part", F.col(key).asc_nulls_first(), F.coalesce(text, F.lit(""))))
-    (ordered.mapInArrow(sliced(text, work, size=_SLICE), schema).withColumn("seq", F.monotonically_increasing_id())
+    (mapped(ordered, sliced(text, work, size=_SLICE), schema).withColumn("seq", F.monotonically_increasing_id())
      .write.option("compression", "none").parquet(folder))
 
 
@@ -222,4 +222,4 @@ def decoded(spark: SparkSession, folder: str, key: str = "doc_id") -> DataFrame:
 
     schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField(key, table.schema[key].dataType),
                            T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
-    return table.select("seq", key, "payload", "block_starts").mapInArrow(sliced("payload", work, size=_SLICE // 4), schema)
+    return mapped(table.select("seq", key, "payload", "block_starts"), sliced("payload", work, size=_SLICE // 4), schema)

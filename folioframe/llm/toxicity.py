@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.batches import points, rolling, run_sums, sliced, split, texts_of, with_columns, without_empty
+from folioframe.llm.batches import points, rolling, run_sums, mapped, sliced, split, texts_of, with_columns, without_empty
 from folioframe.llm.language import sample
 
 BUCKETS, DIM, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 4
@@ -196,4 +196,4 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
         return with_columns(part, **{out: pa.array(np.round(p, 9))})
 
     kept = df.drop(out)
-    return kept.mapInArrow(sliced(text, work), T.StructType([*kept.schema, T.StructField(out, T.DoubleType())]))
+    return mapped(kept, sliced(text, work), T.StructType([*kept.schema, T.StructField(out, T.DoubleType())]))
