@@ -214,12 +214,12 @@ def heading_levels(blocks: DataFrame, body: DataFrame) -> DataFrame:
                                                                level.cast("int").alias("level"))
 
 
-def structure_tags(blocks: DataFrame, body: DataFrame) -> DataFrame:
-    """H1 / H2 / P of each block by its size against the body of the document; text as stored, 120 signs."""
+def structure_tags(blocks: DataFrame, body: DataFrame, cut: int | None = None) -> DataFrame:
+    """H1 / H2 / P of each block by its size against the body of the document; ``cut`` shortens the texts."""
     text = strip(block_text(""))
     tag = F.when(F.col("any_size") >= F.col("body") * 1.4, "H1").when(F.col("any_size") >= F.col("body") * 1.15, "H2").otherwise("P")
     return blocks.join(body, "doc_id").where(text != "").select("doc_id", "page", "block", tag.alias("tag"),
-                                                                F.left(text, F.lit(120)).alias("text"))
+                                                                (F.left(text, F.lit(cut)) if cut else text).alias("text"))
 
 
 def pick_titles(blocks: DataFrame, body: DataFrame, pages: DataFrame) -> DataFrame:
@@ -261,11 +261,11 @@ def standalone_bold(lines: DataFrame, body: DataFrame) -> DataFrame:
     return seen.where(~F.col("crowded") & (F.col("y0") - F.coalesce("top", F.lit(0.0)) >= F.col("size") * 0.9)).select("doc_id", "page", "at")
 
 
-def auto_outline(lines: DataFrame, pages: DataFrame, limit: int = 500) -> DataFrame:
+def auto_outline(lines: DataFrame, pages: DataFrame, limit: int | None = None) -> DataFrame:
     """A table of contents guessed from the text: (doc_id, seq, level, title, page), pages from one.
 
     Headings stand out by size or weight; text on many pages is a running header; where too few headings turn
-    up, each page gives its most prominent line. The lines that can be headings are used five times and so
+    up, each page gives its most prominent line. ``limit`` keeps the first entries of a document only. The lines that can be headings are used five times and so
     written once to the checkpoint folder.
     """
     rows = outline_lines(lines)
@@ -297,7 +297,7 @@ def auto_outline(lines: DataFrame, pages: DataFrame, limit: int = 500) -> DataFr
     step = 1 << 20
     numbered = running(ordered.withColumn("_pos", F.col("page").cast("bigint") * step + F.col("_k")), ["doc_id"], "_pos",
                        {"seq": ("sum", F.lit(1))}, width=4096 * step)
-    return numbered.where(F.col("seq") <= limit).select(
+    return (numbered.where(F.col("seq") <= limit) if limit else numbered).select(
         "doc_id", F.col("seq").cast("int").alias("seq"), F.when(level > 0, level).otherwise(3).cast("int").alias("level"),
         F.col("text").alias("title"), (F.col("page") + 1).alias("page"))
 
@@ -555,11 +555,12 @@ def reading_order(elements: DataFrame, pages: DataFrame) -> DataFrame:
         "doc_id", "page", F.col("k.n").alias("element"), "position")
 
 
-def block_order(blocks: DataFrame) -> DataFrame:
-    """Blocks as a screen reader takes them: native order, blank ones counted but left out; text of 120 signs."""
+def block_order(blocks: DataFrame, cut: int | None = None) -> DataFrame:
+    """Blocks as a screen reader takes them: native order, blank ones counted but left out; ``cut`` shortens the texts."""
+    text = strip(F.col("b.text"))
     pages = by_page(blocks).groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("bs"))
     return pages.select("doc_id", "page", F.posexplode("bs").alias("i", "b")).where(strip(F.col("b.text")) != "").select(
-        "doc_id", "page", (F.col("i") + 1).alias("order"), F.left(strip(F.col("b.text")), F.lit(120)).alias("text"))
+        "doc_id", "page", (F.col("i") + 1).alias("order"), (F.left(text, F.lit(cut)) if cut else text).alias("text"))
 
 
 def merge_line_rects(rects: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioframe.functions.labels import (MANAGED_TYPES, TEXT_MARKUP, body_text, lookup, state_label, type_label,
                                          STATE_LABELS)
@@ -103,9 +104,11 @@ def comment_order(mode: str = "page") -> list[Column]:
     return ([keys[mode]] if mode in keys else []) + by_page
 
 
-def capped(df: DataFrame, keys: list[str], order: list[Column], n: int = 400) -> DataFrame:
-    """The first n rows of every list, as shown on screen; each task keeps n rows before the shuffle."""
-    return first_per_key(df, keys, order, n)
+def ranked(df: DataFrame, keys: list[str], order: list[Column], n: int | None = None) -> DataFrame:
+    """Every row with its place in its list (``_rank``); with ``n`` only the first rows, as on a screen, cut before the shuffle."""
+    if n:
+        return first_per_key(df, keys, order, n)
+    return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
 
 
 # ---------------------------------------------------------------- the words under a mark

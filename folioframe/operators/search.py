@@ -47,6 +47,8 @@ def exact_hits(lines: DataFrame, needle: str) -> DataFrame:
     texts = lines.groupBy("doc_id", "page").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("line", "text"))), lambda r: r["text"]), "\n").alias("t"))
     words = needle.split()
+    if not words:  # a blank phrase is found nowhere
+        texts, words = texts.where(F.lit(False)), ["-"]
     glue = rf"(?:{SPACE}+)"
     soft = r"(?:-\n)?"
     pattern = "(?iu)" + glue.join(soft.join(quote(c) for c in w) for w in words)
@@ -136,13 +138,13 @@ def _joined(item: Column) -> Column:
 
 
 def hit_contexts(hits: DataFrame, chars: DataFrame, needle: str, before: int = 24, after: int = 70,
-                 limit: int = 400) -> DataFrame:
+                 limit: int | None = None) -> DataFrame:
     """The words round each hit, from the same line band: context, offset and length of the hit in it.
 
-    The band is the middle of the box, so neighbouring lines do not leak in. The first ``limit`` hits of a
-    document get a context, as in the result list; each task cuts to that number before the shuffle.
+    The band is the middle of the box, so neighbouring lines do not leak in. Every hit gets a context; with
+    ``limit`` only the first ones of each document, as in a result list on screen.
     """
-    listed = first_per_key(hits, ["doc_id"], [F.col("page"), F.col("hit"), F.col("part")], limit, "rank")
+    listed = first_per_key(hits, ["doc_id"], [F.col("page"), F.col("hit"), F.col("part")], limit, "rank") if limit else hits
     inset = (F.col("y1") - F.col("y0")) * 0.3
     ids = ["hit", "part", "hx0", "hx1"]
     bands = listed.select("doc_id", "page", "hit", "part", F.col("x0").alias("hx0"), F.col("x1").alias("hx1"),

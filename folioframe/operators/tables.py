@@ -195,10 +195,9 @@ def merges(cells: DataFrame) -> DataFrame:
         "doc_id", "page", "tbl", "r0", "c0", (F.col("r1") - 1).alias("r1"), (F.col("c1") - 1).alias("c1"))
 
 
-def covered_cells(spanned: DataFrame, keys: list[str], below: int | None = None) -> DataFrame:
-    """Every cell under a merge (keys, r0, c0, r1, c1) but its anchor; merges of ``below`` cells or more stay whole."""
-    size = (F.col("r1") - F.col("r0") + 1) * (F.col("c1") - F.col("c0") + 1)
-    rows = (spanned if below is None else spanned.where(size < below)).withColumn("row", F.explode(F.sequence("r0", "r1")))
+def covered_cells(spanned: DataFrame, keys: list[str]) -> DataFrame:
+    """Every cell under a merge (keys, r0, c0, r1, c1) but its anchor."""
+    rows = spanned.withColumn("row", F.explode(F.sequence("r0", "r1")))
     every = rows.withColumn("col", F.explode(F.sequence("c0", "c1")))
     return every.where((F.col("row") != F.col("r0")) | (F.col("col") != F.col("c0"))).select(*keys, "row", "col").distinct()
 

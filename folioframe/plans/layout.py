@@ -167,7 +167,7 @@ def page_body_sizes(spark, folder):
 
 @query("structure_tags", sql(_BODY, """
 SELECT doc_id, tag, count(*) AS elements, CAST(sum(length(text)) AS BIGINT) AS signs FROM (
- SELECT doc_id, CASE WHEN size >= body * 1.4 THEN 'H1' WHEN size >= body * 1.15 THEN 'H2' ELSE 'P' END AS tag, substr(trim(text), 1, 120) AS text FROM (
+ SELECT doc_id, CASE WHEN size >= body * 1.4 THEN 'H1' WHEN size >= body * 1.15 THEN 'H2' ELSE 'P' END AS tag, trim(text) AS text FROM (
   SELECT doc_id, page, block, string_agg(text, '' ORDER BY line) AS text, max(size) AS size FROM span GROUP BY 1, 2, 3) JOIN b1 USING (doc_id) WHERE trim(text) <> '') GROUP BY 1, 2"""))
 def structure_tags(spark, folder):
     spans = _spans(spark, folder)
@@ -217,7 +217,7 @@ def _outline(spark, folder):
 
 @query("auto_outline", sql(_OUTLINE, """
 SELECT * FROM (SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, line) AS INTEGER) AS seq, least(dr, 3) AS level, t AS title, page + 1 AS page FROM lv
-WHERE prv IS NULL OR prv <> t) WHERE seq <= 500"""))
+WHERE prv IS NULL OR prv <> t)"""))
 def auto_outline(spark, folder):
     return _outline(spark, folder)
 

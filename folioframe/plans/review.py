@@ -81,22 +81,20 @@ def managed_marks(spark, folder):
 
 
 @query("comment_list_capped", sql(corpus.ANNOT, """
-SELECT doc_id, id, rank FROM (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(state, ''), page, y0, event_id) AS rank FROM annot)
-WHERE rank <= 40"""))
+SELECT doc_id, id, rank FROM (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(state, ''), page, y0, event_id) AS rank FROM annot)"""))
 def comment_list_capped(spark, folder):
-    """The first forty rows of every comment list, sorted by state."""
+    """Every row of every comment list with its rank, sorted by state."""
     marks = corpus.annots(spark, folder)
-    return review.capped(marks, ["doc_id"], [*review.comment_order("state"), F.col("event_id")], 40).select(
+    return review.ranked(marks, ["doc_id"], [*review.comment_order("state"), F.col("event_id")]).select(
         "doc_id", "id", F.col("_rank").alias("rank"))
 
 
 @query("comment_list_by_author", sql(corpus.ANNOT, f"""
-SELECT doc_id, id, rank FROM (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY author, page, y0, event_id) AS rank FROM annot)
-WHERE rank <= 40"""))
+SELECT doc_id, id, rank FROM (SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY author, page, y0, event_id) AS rank FROM annot)"""))
 def comment_list_by_author(spark, folder):
-    """The first forty rows of every comment list, sorted by author in Japanese collation."""
+    """Every row of every comment list with its rank, sorted by author in Japanese collation."""
     marks = corpus.annots(spark, folder)
-    return review.capped(marks, ["doc_id"], [*review.comment_order("author"), F.col("event_id")], 40).select(
+    return review.ranked(marks, ["doc_id"], [*review.comment_order("author"), F.col("event_id")]).select(
         "doc_id", "id", F.col("_rank").alias("rank"))
 
 

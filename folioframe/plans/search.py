@@ -91,7 +91,7 @@ SELECT doc_id, page, hit, part, bb || w || aa AS context, length(bb) AS at, leng
   SELECT *, CASE WHEN fb = '' THEN '' ELSE CASE WHEN regexp_matches(rb, '^\s') THEN ' ' ELSE '' END || fb || CASE WHEN rb LIKE '% ' THEN ' ' ELSE '' END END AS one_b,
          CASE WHEN fa = '' THEN '' ELSE CASE WHEN regexp_matches(ra, '^\s') THEN ' ' ELSE '' END || fa || CASE WHEN ra LIKE '% ' THEN ' ' ELSE '' END END AS one_a FROM (
    SELECT doc_id, page, hit, part, a, b, lt, substr(lt, 1, a) AS rb, substr(lt, b + 1) AS ra, trim(regexp_replace(substr(lt, 1, a), '\s+', ' ', 'g')) AS fb,
-          trim(regexp_replace(substr(lt, b + 1), '\s+', ' ', 'g')) AS fa, row_number() OVER (PARTITION BY doc_id ORDER BY page, hit, part) AS rn FROM exact) WHERE rn <= 400))"""))
+          trim(regexp_replace(substr(lt, b + 1), '\s+', ' ', 'g')) AS fa FROM exact)))"""))
 def search_contexts(spark, folder):
     near = _gated(spark, folder, NEEDLE)
     chars = corpus.span_chars(near)

@@ -110,7 +110,7 @@ def cell_fills(spark, folder):
 
 @query("covered_cells", sql(_CELLS, "SELECT doc_id, r0 AS row, 1 AS col FROM gr WHERE he AND ln % 2 = 1 AND c = 0"))
 def covered_cells(spark, folder):
-    return T.covered_cells(T.merges(T.grid(_cellboxes(spark, folder))), ["doc_id"], below=5000)
+    return T.covered_cells(T.merges(T.grid(_cellboxes(spark, folder))), ["doc_id"])
 
 
 @query("accepted_tables", """

@@ -41,10 +41,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a folder of our own only where none is set."""
+    """The shared folder of the cluster; a folder of our own only where none is set and all tasks run on this machine."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     folder = tempfile.mkdtemp(prefix="folioframe-checkpoint-")
     spark.conf.set("spark.checkpoint.dir", folder)
     return folder
