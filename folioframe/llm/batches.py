@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-SLICE_ROWS, SLICE_BYTES, BATCH_BYTES = 4096, 1 << 20, "8m"
+SLICE_ROWS, SLICE_BYTES, BATCH_BYTES = 4096, 1 << 20, "4m"
 
 
 def slices(batch: pa.RecordBatch, column: str, rows: int = SLICE_ROWS, size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -153,6 +153,12 @@ def rolling(symbols: np.ndarray, starts: np.ndarray, n: int) -> tuple[np.ndarray
     return mixed(h), valid
 
 
+def encoded(model, strings: list[str], step: int = 2000) -> list[list[int]]:
+    """Ids of strings by a model of the tokenizers library; its large results live for ``step`` strings at a time."""
+    return [e.ids for a in range(0, len(strings), step)
+            for e in model.encode_batch_fast(strings[a: a + step], add_special_tokens=False)]
+
+
 class Pieces:
     """Ids of distinct strings: those seen first stay in flat arrays, ``limit`` of them at most; others are encoded anew."""
 

@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.batches import Pieces, binary, from_binary, gather, mapped, sliced, split, texts_of, with_columns
+from folioframe.llm.batches import Pieces, binary, encoded, from_binary, gather, give_back, mapped, sliced, split, texts_of, with_columns
 
-_CACHED, _SLICE = 400_000, 2 << 20
+_CACHED, _SLICE = 200_000, 1 << 20
 #: Unicode white space, as the pattern's \s takes it.
 _BLANK = [chr(c) for c in [*range(9, 14), 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]]
 
@@ -67,7 +67,7 @@ class Encoder:
         self.pieces = Pieces(lambda words: self.plain([f" {w}" for w in words]), _CACHED)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast(texts, add_special_tokens=False)]
+        return encoded(self.model, texts)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         values, codes, starts = split(texts, " ")
@@ -173,8 +173,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                yield work(batch.slice(start, 256))
+            for start in range(0, batch.num_rows, 128):
+                yield work(batch.slice(start, 128))
+        give_back()
 
     return mapped(work_df, run, T.StructType([*work_df.schema, T.StructField(out, T.BinaryType())])).drop("_ids")
 

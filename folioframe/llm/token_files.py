@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from folioframe.llm.batches import Pieces, binary, from_binary, gather, mapped, sliced, split, texts_of, with_columns, without_empty
+from folioframe.llm.batches import Pieces, binary, encoded, from_binary, gather, mapped, sliced, split, texts_of, with_columns, without_empty
 from folioframe.llm.order import part_count, range_bounds, range_part
 
 BLOCK, HEAD, PERCENTILES = 256, 8, (75, 90, 100)
@@ -41,7 +41,7 @@ class Words:
         from tokenizers import Tokenizer
 
         model = Tokenizer.from_file(path)
-        self.pieces = Pieces(lambda found: [e.ids for e in model.encode_batch_fast(found, add_special_tokens=False)], _CACHED)
+        self.pieces = Pieces(lambda found: encoded(model, found), _CACHED)
 
     def encode(self, texts: pa.Array, last: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each with ``last`` behind it, and where each text begins and the last ends."""
