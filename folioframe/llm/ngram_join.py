@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -90,6 +90,11 @@ def keyed(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("text_key", F.unhex(F.md5(F.col(text))))
 
 
+def named(key: str) -> Column:
+    """A key as a text that is never null, to join on."""
+    return F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))
+
+
 def kept_buckets(signed: DataFrame) -> DataFrame:
     """(text_key, buckets): for each class the buckets that hold others too, as (bucket, members), least bucket first."""
     members = signed.select(F.explode("bands").alias("bucket"), "text_key")
@@ -139,10 +144,10 @@ def linked(df: DataFrame, signed: DataFrame, key: str = "doc_id", text: str = "t
     """(text_key, root, links): for classes with similar others, some least class that each is connected with and the number
     of documents of other classes that it is similar to; several rows a class."""
     wanted = kept_buckets(signed).join(signed.select("text_key", "rep", "copies"), "text_key")
-    texts = keyed(df.select(F.col(key).alias("rep"), text), text).where(F.col("text_key").isNotNull())
-    same = wanted.alias("w").join(texts.alias("t"), F.col("w.text_key").eqNullSafe(F.col("t.text_key"))
-                                  & F.col("w.rep").eqNullSafe(F.col("t.rep")))
-    rows = same.select("w.text_key", "w.copies", "w.buckets", F.col(f"t.{text}").alias("text")).dropDuplicates(["text_key"])
+    texts = keyed(df.select(named(key).alias("_id"), F.col(text).alias("text")), "text")
+    # The rows of a key and text lie together after the join, so that leaving out repeated ones needs no other shuffle.
+    rows = (wanted.withColumn("_id", named("rep")).drop("rep").join(texts, ["text_key", "_id"])
+            .dropDuplicates(["text_key", "_id"]).select("text_key", "copies", "buckets", "text"))
 
     def gram_sets(part):
         hashes, ends = shingles(texts_of(part, "text"), words)
@@ -212,9 +217,8 @@ def first_of_groups(df: DataFrame, key: str = "doc_id", text: str = "text", **ho
     """The rows of ``df`` that stay when one document of each group stays: the one with the least key; of repeated rows one.
     Rows with a null or blank text all stay."""
     found = groups(df, key, text, **how)
-    stay = found.where(F.col("text_key") == F.col("first_key")).select(F.col("text_key").alias("_key"), F.col("rep").alias("_rep"))
-    rows = keyed(df, text).withColumnRenamed("text_key", "_tk")
+    stay = found.where(F.col("text_key") == F.col("first_key")).select(F.col("text_key").alias("_tk"), named("rep").alias("_id"))
+    rows = keyed(df, text).withColumnRenamed("text_key", "_tk").withColumn("_id", named(key))
     blank = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", "")) == ""
-    kept = (rows.where(~blank).join(stay, F.col("_tk").eqNullSafe(F.col("_key")) & F.col(key).eqNullSafe(F.col("_rep")))
-            .dropDuplicates(["_key", "_rep"]))
+    kept = rows.where(~blank).join(stay, ["_tk", "_id"]).dropDuplicates(["_tk", "_id"])
     return kept.select(*df.columns).unionByName(df.where(blank))
