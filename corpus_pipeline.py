@@ -17,6 +17,9 @@ from folioframe.session import cut_lineage, prepare, scratch_folder
 #: SQL cannot train the models; the stages are tested against brute force and labels in tests/llm.
 ORACLE_SQL = None
 
+#: Words of a block of the mix: longer than in ``mixing``, so that a document taken in part keeps whole passages.
+MIX_BLOCK = 64
+
 
 def _packed(docs: DataFrame, *known: str) -> DataFrame:
     """The known columns, and all others in one column ``_others``, so that their names cannot clash."""
@@ -50,8 +53,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes: a row for each whole take, one with the picked blocks of a document."""
     sizes = cut_lineage(mixing.sized(docs.select("doc_id", "text", "source")).drop("text"))
-    mixed = mixing.mix(mixing.sized(_packed(docs, "doc_id", "text", "source")), mixing.quotas(sizes))
-    rows = mixing.taken_rows(mixed, ["doc_id", "text", "source", "_others"])
+    mixed = mixing.mix(mixing.sized(_packed(docs, "doc_id", "text", "source")), mixing.quotas(sizes, block=MIX_BLOCK), block=MIX_BLOCK)
+    rows = mixing.taken_rows(mixed, ["doc_id", "text", "source", "_others"], block=MIX_BLOCK)
     return _unpacked(rows, docs.columns, **({"n_chars": F.length("text").cast("long")} if "n_chars" in docs.columns else {}))
 
 
