@@ -61,7 +61,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids (``ids``, little-endian unsigned 32-bit integers), their number, and whether decoding gives the text back."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = byte_bpe.decode(byte_bpe.encode(_packed(docs, "doc_id", "text"), path, public_tokenizers.PATTERN, packed=True), path)
+    decoded = byte_bpe.encode_decode(_packed(docs, "doc_id", "text"), path, public_tokenizers.PATTERN)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_tokens", "ids", "round_trip")]
     return decoded.select("doc_id", *[F.col(f"_others.`{c}`").alias(c) for c in others], "n_tokens", "ids",
                           (F.col("decoded") == F.coalesce("text", F.lit("")).cast("binary")).alias("round_trip"))

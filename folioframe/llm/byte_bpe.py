@@ -148,6 +148,29 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.astype(np.int32)))
 
 
+def bytes_of(ids: np.ndarray, ends: np.ndarray, path: str) -> pa.Array:
+    """The bytes of the tokens of each text; an id without a token gives none."""
+    data, offsets = token_bytes(path)
+    values = ids.astype(np.int64)
+    known = np.where((values >= 0) & (values < len(offsets) - 1), values, len(offsets) - 1)
+    raw, stops = gather(data, np.append(offsets, offsets[-1]), known)
+    return binary(raw, stops[ends])
+
+
+def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "decoded") -> DataFrame:
+    """``encode`` with packed ids, and ``decode`` of these ids into ``out``, in one pass: one worker a task holds the model,
+    and texts go to it once."""
+    def work(part):
+        ids, ends = encoder(path, pattern).encode(texts_of(part, text))
+        packed = binary(ids.astype("<u4"), ends)
+        values, at = from_binary(packed, "<u4")
+        return with_columns(part, n_tokens=pa.array(np.diff(ends)), ids=packed, **{out: bytes_of(values, at, path)})
+
+    kept = df.drop("n_tokens", "ids", out)
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField(out, T.BinaryType())]
+    return mapped(kept, sliced(text, work, size=_SLICE), T.StructType([*kept.schema, *added]))
+
+
 def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the bytes of the tokens (``out``), from ids as an array or packed; null ids and ids without a token give none.
 
@@ -165,11 +188,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
             rows = [r or [] for r in part.column(name).to_pylist()]
             values = np.array([v for r in rows for v in r], dtype=np.int64)
             ends = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int64)
-        data, offsets = token_bytes(path)
-        values = values.astype(np.int64)
-        known = np.where((values >= 0) & (values < len(offsets) - 1), values, len(offsets) - 1)
-        raw, stops = gather(data, np.append(offsets, offsets[-1]), known)
-        return with_columns(part, **{out: binary(raw, stops[ends])})
+        return with_columns(part, **{out: bytes_of(values, ends, path)})
 
     def run(batches):
         for batch in batches:
