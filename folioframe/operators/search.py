@@ -37,10 +37,10 @@ def gate(lines: DataFrame, needle: str) -> DataFrame:
     return texts.where(F.contains("flat", F.lit(target)) | plain).select("doc_id", "page")
 
 
-def exact_hits(lines: DataFrame, needle: str) -> DataFrame:
+def exact_hits(lines: DataFrame, needle: str, match_case: bool = False) -> DataFrame:
     """Exact hits per visual line or across line ends: (doc_id, page, hit, start, end).
 
-    The definition: case is ignored, a run of blanks (a line end is one) equals one space, a hyphen at a line
+    The definition: case is ignored unless ``match_case``, a run of blanks (a line end is one) equals one space, a hyphen at a line
     end is ignored together with the line end; hits do not overlap. ``start`` and ``end`` count characters of
     the page text in which lines are joined by one line feed.
     """
@@ -51,7 +51,7 @@ def exact_hits(lines: DataFrame, needle: str) -> DataFrame:
         texts, words = texts.where(F.lit(False)), ["-"]
     glue = rf"(?:{SPACE}+)"
     soft = r"(?:-\n)?"
-    pattern = "(?iu)" + glue.join(soft.join(quote(c) for c in w) for w in words)
+    pattern = ("" if match_case else "(?iu)") + glue.join(soft.join(quote(c) for c in w) for w in words)
     hits = texts.where(F.col("t").rlike(pattern)).select("doc_id", "page", F.posexplode(find_all(F.col("t"), pattern)).alias("hit", "h"))
     return hits.select("doc_id", "page", "hit", "h.start", "h.end", F.col("h.value").alias("text"))
 
@@ -89,17 +89,10 @@ def relaxed_hits(chars: DataFrame, needle: str) -> DataFrame:
         "doc_id", "page", "hit", "part", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
-def search(chars: DataFrame, lines: DataFrame, needle: str) -> DataFrame:
-    """Boxes of all hits: exact ones, and relaxed ones on pages without an exact hit.
-
-    (doc_id, page, relaxed, hit, part, x0, y0, x1, y1). Both inputs should be cut to the pages of ``gate``
-    first, so that characters of pages without the phrase are never read or built.
-    """
-    pages = lines.select("doc_id", "page").distinct()
-    near_lines = lines
-    hits = exact_hits(near_lines, needle)
+def exact_boxes(chars: DataFrame, lines: DataFrame, hits: DataFrame) -> DataFrame:
+    """Boxes of exact hits, one for each line that a hit touches: (doc_id, page, hit, part, x0, y0, x1, y1)."""
     # Where each line starts in the page text, from the lengths of the lines before it (a page at most).
-    ordered = near_lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(
+    ordered = lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(
         F.struct("line", F.length("text").alias("n")))).alias("ls"))
     starts = ordered.select("doc_id", "page", F.explode(F.aggregate(
         "ls", F.array().cast("array<struct<line:int,at:int,next:int>>"),
@@ -111,14 +104,24 @@ def search(chars: DataFrame, lines: DataFrame, needle: str) -> DataFrame:
              .select("doc_id", "page", "hit", F.col("l.s.line").alias("line"),
                      F.greatest(F.col("h.start") - F.col("l.s.at"), F.lit(0)).alias("a"),
                      (F.col("h.end") - F.col("l.s.at")).alias("b")))
-    exact = (parts.alias("p").join(chars.alias("c"), ["doc_id", "page", "line"])
-             .where((F.col("c.seq") >= F.col("p.a")) & (F.col("c.seq") < F.col("p.b")))
-             .groupBy("doc_id", "page", "hit", "line").agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"),
-                                                           F.max("x1").alias("x1"), F.max("y1").alias("y1")))
-    exact = exact.select("doc_id", "page", F.lit(False).alias("relaxed"), "hit", F.col("line").alias("part"), "x0", "y0", "x1", "y1")
-    rest = pages.join(hits.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
+    return (parts.alias("p").join(chars.alias("c"), ["doc_id", "page", "line"])
+            .where((F.col("c.seq") >= F.col("p.a")) & (F.col("c.seq") < F.col("p.b")))
+            .groupBy("doc_id", "page", "hit", F.col("line").alias("part"))
+            .agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")))
+
+
+def search(chars: DataFrame, lines: DataFrame, needle: str) -> DataFrame:
+    """Boxes of all hits: exact ones, and relaxed ones on pages without an exact hit.
+
+    (doc_id, page, relaxed, hit, part, x0, y0, x1, y1). Both inputs should be cut to the pages of ``gate``
+    first, so that characters of pages without the phrase are never read or built.
+    """
+    hits = exact_hits(lines, needle)
+    rest = lines.select("doc_id", "page").distinct().join(hits.select("doc_id", "page").distinct(), ["doc_id", "page"], "left_anti")
     loose = relaxed_hits(chars.join(rest, ["doc_id", "page"], "left_semi"), needle)
-    return exact.unionByName(loose.select("doc_id", "page", F.lit(True).alias("relaxed"), "hit", "part", "x0", "y0", "x1", "y1"))
+    order = ["doc_id", "page", "relaxed", "hit", "part", "x0", "y0", "x1", "y1"]
+    return (exact_boxes(chars, lines, hits).withColumn("relaxed", F.lit(False)).select(*order)
+            .unionByName(loose.withColumn("relaxed", F.lit(True)).select(*order)))
 
 
 def text_in(chars: DataFrame, boxes: DataFrame, ids: list[str]) -> DataFrame:

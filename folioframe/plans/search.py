@@ -67,6 +67,11 @@ def search_exact(spark, folder):
     return S.exact_hits(_lines(spark, folder), NEEDLE)
 
 
+@query("search_match_case", sql(_HITS.replace("(?i)", ""), """SELECT doc_id, page, hit, start, start + length(text) AS "end", text FROM hits"""))
+def search_match_case(spark, folder):
+    return S.exact_hits(_lines(spark, folder), NEEDLE, match_case=True)
+
+
 @query("search_relaxed", sql(corpus.CHARS + ",\nallp AS (SELECT DISTINCT doc_id, page FROM span)," + _relaxed_sql(LOOSE, "allp"),
                              "SELECT * FROM loose"))
 def search_relaxed(spark, folder):
@@ -95,7 +100,7 @@ SELECT doc_id, page, hit, part, bb || w || aa AS context, length(bb) AS at, leng
 def search_contexts(spark, folder):
     near = _gated(spark, folder, NEEDLE)
     chars = corpus.span_chars(near)
-    return S.hit_contexts(S.search(chars, near, NEEDLE).where(~F.col("relaxed")), chars, NEEDLE)
+    return S.hit_contexts(S.exact_boxes(chars, near, S.exact_hits(near, NEEDLE)), chars, NEEDLE)
 
 
 @query("search_highlights", sql(_ALL_HITS, """
@@ -121,7 +126,7 @@ SELECT e.doc_id, e.page, hit, part, 'for some' AS text, (SELECT min_by(s.size, s
    AND s.x0 < e.x1 AND s.x1 > e.x0 AND s.y0 < e.y1 AND s.y1 > e.y0 AND trim(s.text) <> '') AS size FROM exact e"""))
 def search_replace(spark, folder):
     near = _gated(spark, folder, NEEDLE)
-    hits = S.search(corpus.span_chars(near), near, NEEDLE).where(~F.col("relaxed"))
+    hits = S.exact_boxes(corpus.span_chars(near), near, S.exact_hits(near, NEEDLE))
     return S.replace_in_spans(hits, near, "for some").select("doc_id", "page", "hit", "part", "text", "size")
 
 
