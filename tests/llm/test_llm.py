@@ -67,6 +67,12 @@ def test_byte_bpe_equals_the_reference_library(docs, empty, reference_encoding):
         whole, at = reference_encoding.decode_with_offsets(r["ids"]) if text else ("", [])
         assert whole == text and all(a <= b < e for a, b, e in zip(r["char_starts"], at, r["char_ends"]))
     assert byte_bpe.encode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    assert byte_bpe.encode_decode(empty, RANKS, public_tokenizers.PATTERN).count() == 0
+    packed = byte_bpe.encode(docs, RANKS, public_tokenizers.PATTERN, packed=True)
+    two = byte_bpe.decode(packed, RANKS).select("text", "n_tokens", "ids", "decoded")
+    one = byte_bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN).select("text", "n_tokens", "ids", "decoded")
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+    assert one.where(F.col("decoded") != F.coalesce("text", F.lit("")).cast("binary")).isEmpty()
 
 
 def test_byte_bpe_random_blanks_and_signs(reference_encoding):
