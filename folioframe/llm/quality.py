@@ -3,7 +3,7 @@
 Nine heuristic labellers overlap: each votes bad, votes good, or stays silent on a text. The counts of their vote patterns
 over all texts (``2 ** 9`` rows at most) go to the driver, where expectation-maximisation estimates how often each labeller
 speaks on good and on bad texts, hence its accuracy, and gives every pattern the posterior that a text is good. A seeded
-sample of ``PER_CLASS`` texts a side at most, with posteriors as soft labels, trains a linear scorer over hashed
+sample of ``PER_CLASS`` distinct texts a side at most, weighed by their copies, with posteriors as soft labels, trains a linear scorer over hashed
 character-class trigrams and word echoes; the scorer, not the pattern, decides on every text.
 
 Null and empty texts hold nothing to judge: score 0.5, which is kept (rejected is a score below ``THRESHOLD``). If the
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioframe.llm.batches import points, rolling, run_sums, mapped, sliced, split, texts_of, with_columns, without_empty
+from folioframe.session import cut_lineage
 
 LABELLERS = ("shouting", "tails", "symbols", "bars", "echoes", "narrow", "prose", "sentences", "variety")
 _GOOD = np.array([n in ("prose", "sentences", "variety") for n in LABELLERS])
@@ -154,34 +155,58 @@ def train(df: DataFrame, text: str = "text", per_class: int = PER_CLASS) -> Mode
     def vote(part):
         return pa.RecordBatch.from_arrays([pa.array(votes(read(texts_of(part, text)))), part.column("_h")], names=["pattern", "_h"])
 
-    # The hash stands for the text: it picks the sample and finds its rows again.
+    # The hash stands for the text: it brings copies together, picks the sample and finds its texts again.
     hashed = df.select(text).where(F.coalesce(text, F.lit("")) != "").withColumn("_h", F.xxhash64(F.lit("quality"), text))
     voted = mapped(hashed, sliced(text, vote, size=SLICE), "pattern bigint, _h bigint")
-    spread = 1 << 20  # slots of the hash; the counts of slots tell how far up to go for a sample of the wanted size
-    rows = voted.groupBy("pattern").agg(F.count("*").alias("n")).toArrow()
+    distinct = cut_lineage(voted.groupBy("pattern", "_h").agg(F.count("*").alias("n")))
+    rows = distinct.groupBy("pattern").agg(F.sum("n").alias("n")).toArrow()
     if not rows.num_rows:
         return Model()
     patterns, counts = rows.column("pattern").to_numpy(), rows.column("n").to_numpy().astype(float)
     rates, accuracy, good = estimate(patterns, counts)
     model = Model(None, 0.0, rates, dict(zip(LABELLERS, accuracy.round(6).tolist())), good)
-    belief = posterior((patterns[:, None] >> np.arange(len(LABELLERS))) & 1, rates, good)
-    share = [min(1.0, per_class / max(counts[side].sum(), 1)) for side in (belief < 0.5, belief >= 0.5)]
-
-    def pick(part):
-        found = votes(read(texts_of(part, text)))
-        p = posterior((found[:, None] >> np.arange(len(LABELLERS))) & 1, rates, good)
-        slot = part.column("_h").to_numpy(zero_copy_only=False) % spread
-        keep = pa.array(slot < np.where(p < 0.5, share[0], share[1]) * spread)
-        return pa.RecordBatch.from_arrays([part.column(text), pa.array(p)], names=["text", "p"]).filter(keep)
-
-    # Texts that no share could take are left out before they reach Python.
-    near = hashed.where(F.pmod("_h", F.lit(spread)) < int(max(share) * spread) + 1)
-    return _fit(model, mapped(near, sliced(text, pick, size=SLICE), "text string, p double").toArrow())
-
-
-def _fit(model: Model, rows: pa.Table) -> Model:
-    """Logistic regression with soft labels on relative frequencies, each feature divided by its spread."""
-    texts, p = rows.column("text").combine_chunks(), rows.column("p").to_numpy()
+    belief = lambda found: posterior((found[:, None] >> np.arange(len(LABELLERS))) & 1, rates, good)
+    poor = F.col("pattern").isin(patterns[belief(patterns) < 0.5].tolist())
+    picks = [draw(distinct.where(side), per_class) for side in (poor, ~poor)]
+    h, pattern, n = (np.concatenate(x) for x in zip(*picks))
+
+    def once(batches):
+        seen = set()
+        for batch in batches:
+            keep = []
+            for x in batch.column("_h").to_pylist():
+                keep.append(x not in seen)
+                seen.add(x)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    wanted = df.sparkSession.createDataFrame([(x,) for x in h.tolist()], "_h bigint")
+    # A task sends on one copy of a text at most, so that what meets under a hash is one row a task.
+    found = mapped(hashed.join(F.broadcast(wanted), "_h", "left_semi").select(F.col(text).alias("text"), "_h"), once, "text string, _h bigint")
+    texts = found.groupBy("_h").agg(F.first("text").alias("text")).toArrow()
+    order = np.argsort(h)
+    at = order[np.searchsorted(h, texts.column("_h").to_numpy(), sorter=order)]
+    texts = texts.column("text").combine_chunks().take(pa.array(np.argsort(at)))
+    at = np.sort(at)  # whatever order the rows came in
+    return _fit(model, texts, belief(pattern[at]), n[at])
+
+
+def draw(distinct: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, patterns and weights of a sample of ``size`` distinct texts at most, from (pattern, _h, n).
+
+    Priority sampling: texts with the highest n / u stay, u a uniform number that the hash gives, and each weighs n or the
+    priority of the first one left out, whichever is more, so that sums over the sample estimate sums over all rows. If all
+    texts fit, each weighs its number of copies. The mean weight is scaled to 1.
+    """
+    u = (F.shiftrightunsigned("_h", 11) + 0.5) / float(1 << 53)
+    rows = distinct.withColumn("_priority", F.col("n") / u).orderBy(F.col("_priority").desc(), "_h").limit(size + 1).toArrow()
+    h, pattern, n, priority = (rows.column(c).to_numpy() for c in ("_h", "pattern", "n", "_priority"))
+    order = np.lexsort((h, -priority))
+    weight = np.maximum(n[order[:size]].astype(float), priority[order[size]] if len(h) > size else 0.0)
+    return h[order[:size]], pattern[order[:size]], weight / max(weight.mean(), 1e-300) if len(weight) else weight
+
+
+def _fit(model: Model, texts: pa.Array, p: np.ndarray, n: np.ndarray) -> Model:
+    """Logistic regression with soft labels on relative frequencies, each feature divided by its spread; a text counts ``n``-fold."""
     if not len(p) or (p < 0.5).all() or (p >= 0.5).all():
         return model
     x = np.zeros((len(p), BUCKETS), dtype=np.float32)
@@ -192,13 +217,12 @@ def _fit(model: Model, rows: pa.Table) -> Model:
             used = buckets < BUCKETS
             counts = np.bincount(owner[used] * BUCKETS + buckets[used], minlength=(len(starts) - 1) * BUCKETS).reshape(-1, BUCKETS)
             x[a: a + len(counts)] += counts / np.maximum(np.diff(starts), 1)[:, None]
-    order = np.lexsort((p, *x[:, -64:].T[::8]))  # whatever order the rows came in
-    x, p = x[order], p[order]
-    scale = x.std(axis=0) + 1e-4
+    part = (n / n.sum()).astype(np.float32)
+    scale = np.sqrt(part @ np.square(x - part @ x)) + np.float32(1e-4)
     x /= scale
     z = np.sqrt(x, out=x)
-    mean = z.mean(axis=0)
-    weight = np.where(p < 0.5, 0.5 / (p < 0.5).mean(), 0.5 / (p >= 0.5).mean()) / len(p)
+    mean = part @ z
+    weight = part * np.where(p < 0.5, 0.5 / part[p < 0.5].sum(), 0.5 / part[p >= 0.5].sum())
     w, b, past, past_b = np.zeros(BUCKETS), 0.0, np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(300):
         error = weight * (1 / (1 + np.exp(-np.clip(z @ w.astype(np.float32) - mean @ w + b, -30, 30))) - p)

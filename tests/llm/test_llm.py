@@ -175,6 +175,22 @@ def test_quality_of_odd_rows(docs, empty):
     assert quality.score(empty, quality.train(empty)).count() == 0
 
 
+def test_quality_sample_is_of_distinct_texts(spark, monkeypatch):
+    """One poor text makes up most of the poor side: its other texts are still drawn, and copies never go to the driver twice."""
+    rnd = random.Random(7)
+    word = lambda: "".join(rnd.choice(("la", "to", "ri", "ne", "su")) for _ in range(rnd.randint(1, 4)))
+    good = [" ".join(word() for _ in range(12)).capitalize() + ". " + " ".join(word() for _ in range(9)) + "." for _ in range(400)]
+    shout = lambda: " ".join(word().upper() + rnd.choice(("|||", "###", "!!!")) for _ in range(15))
+    poor = [shout() for _ in range(40)]
+    table = spark.createDataFrame([(t,) for t in good + poor + [poor[0]] * 800], "text string").repartition(6)
+    sizes, fit = [], quality._fit
+    monkeypatch.setattr(quality, "_fit", lambda model, sample, *more: sizes.append(len(sample)) or fit(model, sample, *more))
+    model = quality.train(table, per_class=20)
+    assert sizes == [40] and model.weights is not None
+    rows = quality.score(table, model).collect()
+    assert np.mean([(r["score"] >= quality.THRESHOLD) == (r["text"] not in set(poor)) for r in rows]) > 0.97
+
+
 def test_expectation_maximisation_finds_accuracies():
     rng = np.random.default_rng(3)
     y = rng.random(20_000) < 0.8
