@@ -59,14 +59,14 @@ lines AS (SELECT doc_id, generate_subscripts(parts, 1) - 1 AS ln, unnest(parts)
 
 
 def wrapped(spark: SparkSession, folder: str) -> DataFrame:
-    """(doc_id, n, ln, text): every line cut into pieces of 80 characters, numbered through the document."""
+    """(doc_id, n, ln, piece, text): every line cut into pieces of 80 characters, numbered through the document and the line."""
     def pieces(line, ln):
         cut = F.when(line == "", F.array(line)).otherwise(F.regexp_extract_all(line, F.lit(r"(?s).{1,80}"), F.lit(0)))
-        return F.transform(cut, lambda piece: F.struct(ln.alias("ln"), piece.alias("text")))
+        return F.transform(cut, lambda piece, i: F.struct(ln.alias("ln"), i.alias("piece"), piece.alias("text")))
 
     return (documents(spark, folder)
             .select("doc_id", F.posexplode(F.flatten(F.transform(F.split("text", "\n"), pieces))).alias("n", "piece"))
-            .select("doc_id", "n", "piece.ln", "piece.text"))
+            .select("doc_id", "n", "piece.ln", "piece.piece", "piece.text"))
 
 
 WRAPPED = LINES + """,

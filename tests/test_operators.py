@@ -244,3 +244,17 @@ def test_requests_come_out_in_order(spark, data):
     out = catalogue.QUERIES["ordered_requests_stream"](spark, data)
     assert out.count() == spark.read.parquet(f"{data}/conversations.parquet").count()
     assert edits.current_marks is not None
+
+
+def test_personal_data_across_visual_lines_is_redacted(spark, tmp_path):
+    """A card number and an address that the 80-character layout cuts in two, and one address that it leaves whole."""
+    from folioframe.plans import privacy as plans
+
+    card, mail, near = "4111 1111 1111 1111", "someone.long@example.org", "a@example.com"
+    text = "first\n" + "x" * 69 + " " + card + " " + "y" * 58 + " " + mail + " end\n\n" + near + " z"
+    spark.createDataFrame([(1, text, "en", "s", len(text))], "doc_id bigint, text string, lang string, source string, n_chars bigint") \
+        .coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    marks = plans.pii_redaction_marks(spark, str(tmp_path)).collect()
+    assert len(marks) == 5
+    left = {r["line"]: r["text"] for r in plans.redacted_lines(spark, str(tmp_path)).collect()}
+    assert "".join(left[k] for k in sorted(left)) == "first" + "x" * 69 + "  " + "y" * 58 + "  end z"
