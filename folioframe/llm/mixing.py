@@ -19,6 +19,9 @@ from pyspark.sql.window import Window
 from folioframe.session import cut_lineage
 
 WORD = r"[^\x20\x09-\x0D]+"
+#: A word with the blanks after it, to the last line feed among them if there is one; indents go with the word that they
+#: precede, as do the blanks at the start of a text. The pieces of a text, one a word, make up the whole text.
+PIECE = rf"(?:\A[\x20\x09-\x0D]+|(?<=\n)[\x20\x09\x0B-\x0D]+)?{WORD}(?:[\x20\x09-\x0D]*+\z|[\x20\x09-\x0D]*\n|[\x20\x09-\x0D]*)"
 WEIGHTS, SHARE, MOST = (3, 1, 2), 1.5, 2
 BLOCK, SHARD_DOCS, SEED, BROADCAST_ROWS = 8, 4096, "mix", 50_000
 #: A prime above the number of blocks of any shard: times it, modulo their number, permutes the blocks.
@@ -129,11 +132,17 @@ def mix(df: DataFrame, plan: DataFrame, key: str = "doc_id", block: int = BLOCK)
 
 
 def taken_rows(mixed: DataFrame, columns: list[str], text: str = "text", block: int = BLOCK) -> DataFrame:
-    """The documents that the mix holds: one row for each whole take, and one with the words of the picked blocks, in order;
-    it is the text itself where all blocks are picked. Documents without words are taken by no block and stay out."""
+    """The documents that the mix holds: one row for each whole take, and one with the picked blocks, in order. Adjacent
+    blocks make a passage, cut from the text with its own white space; a line feed is put between passages. It is the
+    text itself where all blocks are picked. Documents without words are taken by no block and stay out."""
     place = lambda i: F.col("first_block") + F.floor((F.col("offset") + i) / block)
-    chosen = F.array_join(F.filter(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0)),
-                                   lambda w, i: F.array_contains("picked", place(i))), " ")
+
+    def piece(w: Column, i: Column) -> Column:
+        b = place(i)
+        new = ((F.col("offset") + i) % block == 0) & (b > F.get("picked", F.lit(0))) & ~F.array_contains("picked", b - 1)
+        return F.when(F.array_contains("picked", b), F.when(new, F.concat(F.lit("\n"), w)).otherwise(w))
+
+    chosen = F.array_join(F.transform(F.regexp_extract_all(F.col(text), F.lit(PIECE), F.lit(0)), piece), "")
     n_blocks = F.floor((F.col("offset") + F.col("size") - 1) / block) + 1
     part = F.when(F.size("picked") == 0, F.lit(None)).when(F.size("picked") == n_blocks, F.col(text)).otherwise(chosen)
     whole = F.array_repeat(F.col(text), F.when(F.col("size") > 0, F.col("passes")).otherwise(0).cast("int"))

@@ -237,6 +237,44 @@ def test_mix_meets_targets(spark, docs, empty):
     assert mixing.mix(sizes, mixing.quotas(sizes)).count() == 0
 
 
+def test_passages_keep_their_white_space(spark):
+    text = "\n  def f(x):\n      return  x\r\n \n\tif y:\n\t\tpass\u3000z  end\tof it \n  "
+    pieces = ["\n  def ", "f(x):\n", "      return  ", "x\r\n \n", "\tif ", "y:\n", "\t\tpass\u3000z  ", "end\t", "of ", "it \n  "]
+    assert "".join(pieces) == text and len(WORD.findall(text)) == len(pieces)
+    picks = [[5], [6], [7], [8], [9], [10], [5, 6], [6, 7, 8], [5, 7], [6, 9, 10], [5, 8, 10], [6, 7, 9], [5, 6, 7, 8, 9, 10]]
+    rows = [(i, text, 10, 0, p, 5, 1) for i, p in enumerate(picks)]  # one word of block 5, then two a block, one of block 10
+    table = spark.createDataFrame(rows, "doc_id int, text string, size bigint, passes bigint, picked array<bigint>, first_block bigint, offset bigint")
+    got = by_id(mixing.taken_rows(table, ["doc_id", "text"], block=2))
+    for i, p in enumerate(picks):
+        passages, last = [], None
+        for b in p:
+            part = "".join(w for j, w in enumerate(pieces) if 5 + (1 + j) // 2 == b)
+            passages[-1:] = [passages[-1] + part] if last == b - 1 else [*passages[-1:], part]
+            last = b
+        assert all(x in text for x in passages) and got[i]["text"] == "\n".join(passages)
+
+
+def test_every_taken_passage_is_in_its_document(spark):
+    table = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    sizes = mixing.sized(table)
+    mixed = mixing.mix(sizes, mixing.quotas(sizes, block=64), block=64)
+    texts = {r["doc_id"]: r["text"] for r in table.collect()}
+    picked = {r["doc_id"]: r["picked"] for r in mixed.collect()}
+    parts = [r for r in mixing.taken_rows(mixed, ["doc_id", "text"], block=64).collect() if r["text"] != texts[r["doc_id"]]]
+    assert parts
+    for r in parts:
+        runs = sum(i == 0 or b != picked[r["doc_id"]][i - 1] + 1 for i, b in enumerate(picked[r["doc_id"]]))
+        # One run is a substring; of several, all line ends but those between the passages are in the document.
+        whole, at, cuts = texts[r["doc_id"]], 0, 0
+        for line in re.split(r"(?<=\n)", r["text"]):
+            found = whole.find(line, at)
+            if found < 0:
+                found, cuts = whole.find(line[:-1], at), cuts + 1
+                assert found >= 0
+            at = found + len(line.rstrip("\n"))
+        assert cuts <= runs - 1
+
+
 def test_apportionment_equals_highest_quotients(spark):
     rnd = random.Random(4)
     rows = [(g, i, float(rnd.choice([0, 1, 5, 5, 80, 1000, 12345])), rnd.choice([0, 1, 7, 100]) if i == 0 else None) for g in range(30) for i in range(rnd.randint(1, 12))]
