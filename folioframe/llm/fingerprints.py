@@ -1,8 +1,10 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests, in DataFrame operations only.
 
-A paragraph is a line; a long line counts as several, each at least 100 characters and up to the end of a sentence. Its
-digest is a 64-bit hash, and a text is the set of its digests. A sketch
-has three subtables of cells; a digest falls into one cell of each, by its own bits, and a cell keeps the count, the xor of
+A paragraph is a line; a long line counts as several, each at least 100 characters and up to the end of a sentence. What is
+still longer than ``LONG`` characters is cut by its content: before each word whose hash meets a mask, in words longer than
+``WORD`` before each run of that many characters and one whose hash does, and after ``LONG`` characters without such a place.
+The digest of a paragraph is a 64-bit hash, and a text is the
+set of its digests. A sketch has three subtables of cells; a digest falls into one cell of each, by its own bits, and a cell keeps the count, the xor of
 its digests and the xor of their check hashes. The fingerprint is the sketch of ``BASE`` cells a subtable, as text.
 
 Two versions are compared by subtracting cell from cell and peeling: a cell that holds one digest gives it away, the digest
@@ -24,16 +26,38 @@ from pyspark.sql.window import Window
 
 from folioframe.llm.order import part_count, range_bounds, range_part
 
-PARAGRAPH = r"[^\n]{100,}?[.!?](?=[ \t\n]|$)|[^\n]+"
+PARAGRAPH = r"[^\n]{100,}?(?:[.!?](?=[ \t\n]|$)|[。！？｡।॥؟۔])|[^\n]+"
+LONG, WORD, WORD_MASK, RUN_MASK = 200, 24, 15, 63
 BASE, CELLS, MORE, LOAD, ROUNDS = 4, 8, 32, 6, 5
 
 
 def digests(text: Column, paragraph: str = PARAGRAPH) -> Column:
     """Distinct digests of the paragraphs that are not blank."""
-    parts = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(paragraph), F.lit(0)), lambda p: F.trim(p))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(paragraph), F.lit(0))
+    parts = F.transform(F.flatten(F.transform(found, chunks)), lambda p: F.trim(p))
     return F.array_distinct(F.transform(F.filter(parts, lambda p: p != ""), lambda p: F.xxhash64(p)))
 
 
+def chunks(line: Column) -> Column:
+    """The line itself, or the pieces of a long one: the hash of the characters ahead sets the cuts, wherever they stand."""
+    unit = rf"[^ \t]{{1,{WORD}}}+(?![^ \t])[ \t]*+|[ \t]++"
+
+    def marked(block: Column) -> Column:
+        ahead = F.regexp_extract_all(block, F.lit(rf"(?s)(?=({unit}|.{{{WORD + 1}}}))(?:{unit}|.)"), F.lit(1))
+
+        def mark(w: Column) -> Column:
+            run = (F.length(w) > WORD) & ~F.substring(w, -1, 1).isin(" ", "\t")  # only its first character is passed
+            hit = F.xxhash64(w).bitwiseAND(F.when(run, F.lit(RUN_MASK)).otherwise(F.lit(WORD_MASK))) == 0
+            return F.concat(F.when(hit, F.lit("\n")).otherwise(F.lit("")), F.when(run, F.substring(w, 1, 1)).otherwise(w))
+
+        return F.array_join(F.transform(ahead, mark), "")
+
+    # A task holds the runs of one block at a time, however long the line.
+    blocks = F.transform(F.regexp_extract_all(line, F.lit(r"[^\n]{1,65536}"), F.lit(0)), marked)
+    cut = F.regexp_extract_all(F.array_join(blocks, ""), F.lit(rf"[^\n]{{1,{LONG}}}"), F.lit(0))
+    return F.when(F.length(line) > LONG, cut).otherwise(F.array(line))
+
+
 def _hits(h: Column, cell: Column) -> Column:
     return h.bitwiseAND(cell["mask"]) == cell["of"]
 

@@ -407,6 +407,43 @@ def test_neighbours_and_likeness_of_odd_rows(docs, empty, spark):
     assert near[1] == 3000 / 3001 and near[2] == 0.0
 
 
+def test_long_lines_without_sentences_give_several_digests(spark):
+    rnd = random.Random(9)
+    word = lambda: "".join(rnd.choice("abcdeéü") for _ in range(rnd.randint(2, 7)))
+    texts = [" ".join(word() for _ in range(900)), "".join(rnd.choice("0123456789abcdef") for _ in range(5000)),
+             "".join(chr(rnd.randrange(0x4E00, 0x9FA5)) for _ in range(4000)), "ab " * 2000,
+             "。".join("".join(chr(rnd.randrange(0x3041, 0x3090)) for _ in range(60)) for _ in range(40)),
+             "".join(rnd.choice("xyz;") for _ in range(150_000))]
+    other = " ".join(word() for _ in range(900))
+    rows = [(i, t, t[: len(t) // 2] + other[: len(t) // 2], t[:300] + "!" + t[300:]) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "k int, a string, half string, one string")
+    found = by_id(table.select(F.col("k").alias("doc_id"), F.size(fingerprints.digests(F.col("a"))).alias("n"), F.array_join(F.flatten(
+        F.transform(F.array("a"), fingerprints.chunks)), "").alias("back"), F.array_max(F.transform(fingerprints.chunks(F.col("a")), F.length)).alias("most")))
+    near = {r["k"]: r for r in fingerprints.compare(table, ["k"], "a", ["half", "one"]).collect()}
+    for i, t in enumerate(texts):
+        assert found[i]["back"] == t and found[i]["most"] <= fingerprints.LONG
+        assert i == 3 or (found[i]["n"] >= len(t) / fingerprints.LONG and near[i]["near_half"] > 0.15 and near[i]["near_one"] > 0.85), i
+    assert near[3]["near_half"] > 0
+    short = "\n".join(t[:200] for t in texts)
+    sizes = spark.createDataFrame([(t[: 201 + i],) for i, t in enumerate(texts[:3])] + [(short,)], "a string").select(F.size(fingerprints.digests(F.col("a"))).alias("n"))
+    assert [r["n"] > 1 for r in sizes.collect()] == [True] * 4
+
+
+def test_fingerprints_equal_the_sets_of_digests(spark, data):
+    got = by_id(queries.QUERIES["op10_document_fingerprints"](spark, data))
+    texts = sorted(((r["doc_id"], r["text"] or "") for r in spark.read.parquet(f"{data}/documents.parquet").collect()), reverse=True)
+    rows = []
+    for i, (key, text) in enumerate(texts):
+        after, half = texts[(i + 1) % len(texts)][1], len(text) // 2
+        rows.append((key, text, text[: len(text) - half] + after[:half], after))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, edited string, next string")
+    for r in table.select("doc_id", *[fingerprints.digests(F.col(c)).alias(c) for c in ("text", "edited", "next")]).collect():
+        a = set(r["text"])
+        for c in ("edited", "next"):
+            b = set(r[c])
+            assert abs(got[r["doc_id"]][f"near_{c}"] - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-12
+
+
 # ---------------------------------------------------------------- 1: nearest vectors
 
 def test_nearest_vectors(spark):
