@@ -10,6 +10,7 @@ from collections import defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from folioframe.llm import byte_bpe, fingerprints, language, licenses, mixing, nearest, ngram_join, quality, queries, token_files, toxicity
@@ -365,8 +366,39 @@ def test_broken_notice_is_found(spark):
 
 # ---------------------------------------------------------------- 10: fingerprints
 
+def runs(block):
+    """Words with the blanks after them, blanks alone, and the characters of words too long; each with what decides on a cut before it."""
+    i = 0
+    while i < len(block):
+        word = i
+        while word < len(block) and block[word] not in " \t":
+            word += 1
+        if word - i > 24:
+            yield block[i], block[i: i + 25], 63
+            i += 1
+            continue
+        after = word
+        while after < len(block) and block[after] in " \t":
+            after += 1
+        yield block[i: after], block[i: after], 15
+        i = after
+
+
 def pieces(text):
-    return {p.strip(" ") for p in re.findall(r"[^\n]{100,}?[.!?](?=[ \t\n]|$)|[^\n]+", text) if p.strip(" ")}
+    """The paragraphs of a text, found without the library: sentences of long lines, and content cuts in what is still long."""
+    found = set()
+    for line in re.findall(r"[^\n]{100,}?(?:[.!?](?=[ \t\n]|\Z|\r\n?\Z|[\x85\u2028\u2029]\Z)|[。！？｡।॥؟۔])|[^\n]+", text):
+        parts = [line]
+        if len(line) > 200:
+            parts = [""]
+            for a in range(0, len(line), 65536):
+                for run, ahead, mask in runs(line[a: a + 65536]):
+                    if xxhash.xxh64_intdigest(ahead.encode(), seed=42) & mask == 0:
+                        parts.append("")
+                    parts[-1] += run
+            parts = [p[a: a + 200] for p in parts for a in range(0, len(p), 200)]
+        found |= {p.strip(" ") for p in parts if p.strip(" ")}
+    return found
 
 
 def likeness(a, b):
