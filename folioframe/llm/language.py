@@ -48,15 +48,16 @@ def features(flat: np.ndarray, starts: np.ndarray):
 
 
 def sample(df: DataFrame, label: str, key: Column, n: int) -> DataFrame:
-    """Rows with a label, about n of each label at most: those whose seeded hash of ``key`` is smallest.
+    """Rows with a label, n of each label at most: one for each of the keys whose seeded hash is smallest, the least of its rows.
 
-    Only the cut of each label, a row a label, is joined back.
+    Only the cut of each label, a row a label, is joined back; rows of one key meet after they have been reduced to one a task.
     """
     rows = df.where(F.col(label).isNotNull()).withColumn("_h", F.xxhash64(F.lit("sample"), key))
     rank = F.row_number().over(Window.partitionBy(label).orderBy("_h"))
-    cuts = (rows.select(label, "_h").withColumn("_r", rank).where(F.col("_r") <= n)
+    cuts = (rows.select(label, "_h").distinct().withColumn("_r", rank).where(F.col("_r") <= n)
             .groupBy(label).agg(F.max("_h").alias("_cut")))
-    return rows.join(F.broadcast(cuts), label).where(F.col("_h") <= F.col("_cut")).drop("_h", "_cut")
+    return (rows.join(F.broadcast(cuts), label).where(F.col("_h") <= F.col("_cut"))
+            .groupBy(label, "_h").agg(F.min(F.struct(*df.columns)).alias("_row")).select("_row.*"))
 
 
 def train(rows: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",

@@ -3,8 +3,10 @@
 Templates are licence phrases and notices, cut into rolling word pairs (``K`` words each). All rolling pairs of a text are
 joined to the template positions on a hash, and on the pair itself. A hit at word i of the text and position p of the
 template votes for the diagonal i - p. A diagonal that holds every pair of a template is a place where its words stand
-consecutively. For notices, diagonals at most ``GAP`` apart are merged, so that inserted or dropped words do not break a
-passage, and the merged span counts if its hits cover ``COVER`` of the template's pairs within ``STRETCH`` times its length.
+consecutively. For notices, each diagonal is merged with its neighbours up to a shift that keeps the span within ``STRETCH``
+times the template's length, so that inserted or dropped words do not break a passage; of diagonals that near each other the
+one whose hits cover most pairs stands for the span, and counts if they cover ``COVER`` of them. So stray hits around a
+passage cannot stretch it. Where spans of several notices share more than half of the shorter one, the best share counts.
 
 Only the templates, a fixed list, are broadcast. A null text counts as empty; texts without words give no place, and still
 a row. Rows are told apart by their place in the input, so repeated rows give the same result each. Ties of score do not
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-K, GAP, COVER, STRETCH = 2, 4, 0.6, 1.5
+K, COVER, STRETCH = 2, 0.6, 1.5
 _CAPITALS, _SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Phrases and the labels they give.
@@ -78,32 +80,49 @@ def spans(df: DataFrame, text: str = "text", phrases: dict[str, str] = PHRASES,
     that were hit). A row whose ``template`` is null stands for the text itself, so that every text has one."""
     grams = F.transform("_words", lambda w, i: F.when(i < F.size("_words") - (K - 1), F.concat_ws(
         " ", w, *[F.get("_words", i + k) for k in range(1, K)])))
-    rows = (df.withColumn("_words", words(F.col(text))).drop(text)
-            .withColumns({"row": F.monotonically_increasing_id(), "n_words": F.size("_words").cast("long")}))
-    kept = [c for c in df.columns if c != text]
+    kept = [F.col(f"`{c}`") for c in df.columns if c != text]
+    rows = (df.select(F.struct(*kept, F.lit(0).alias("_")).alias("_kept"), words(F.col(text)).alias("_words"))
+            .select(F.struct("_kept", F.size("_words").cast("long").alias("n_words")).alias("_row"), "_words")
+            .withColumn("row", F.monotonically_increasing_id()))
     head = F.array(F.lit("").alias("g"))  # no pair is empty: this one carries the row itself
-    places = rows.select(F.struct(*kept, "n_words").alias("_row"), "row", F.posexplode(F.concat(head, grams)).alias("i", "gram"))
+    places = rows.select("_row", "row", F.posexplode(F.concat(head, grams)).alias("i", "gram"))
     table = F.broadcast(templates(df.sparkSession, phrases, notices).withColumn("_h", F.xxhash64("t_gram")))
     hits = (places.withColumn("_g", F.xxhash64("gram"))
             .join(table, (F.col("_g") == F.col("_h")) & (F.col("gram") == F.col("t_gram")), "left")
             .where(F.col("template").isNotNull() | (F.col("i") == 0)))
     votes = (hits.withColumn("diagonal", F.when(F.col("template").isNotNull(), F.col("i") - 1 - F.col("pos")))
              .groupBy("row", "template", "label", "phrase", "pairs", "diagonal")
-             .agg(F.max(F.when(F.col("i") == 0, F.col("_row"))).alias("_row"), F.count("*").alias("votes"),
+             .agg(F.max(F.when(F.col("i") == 0, F.col("_row"))).alias("_row"),
                   F.min("pos").alias("low"), F.max("pos").alias("high"), F.collect_set("pos").alias("at")))
-    # Neighbouring diagonals of a notice make one span; a phrase has its own diagonal only.
-    order = Window.partitionBy("row", "template").orderBy("diagonal")
-    far = F.coalesce(F.col("phrase") | (F.col("diagonal") - F.lag("diagonal").over(order) > GAP), F.lit(True))
-    merged = (votes.withColumn("_run", F.sum(far.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-              .groupBy("row", "template", "label", "phrase", "pairs", "_run")
-              .agg(F.max("_row").alias("_row"), F.min(F.col("diagonal") + F.col("low")).alias("first_word"),
-                   F.max(F.col("diagonal") + F.col("high") + K - 1).alias("last_word"),
-                   F.size(F.array_distinct(F.flatten(F.collect_list("at")))).alias("hit")))
-    length = F.col("last_word") - F.col("first_word") + 1
-    verified = F.when(F.col("phrase"), F.col("hit") == F.col("pairs")).otherwise(
-        (F.col("hit") >= COVER * F.col("pairs")) & (length <= STRETCH * (F.col("pairs") + K - 1)))
-    return merged.select("row", "_row", "template", "label", "phrase", "first_word", "last_word",
-                         (F.col("hit") / F.col("pairs")).alias("share"), verified.alias("verified"))
+    # One unit is the shift that a notice may have; the diagonals of a phrase are two units apart, so each is alone.
+    shift = F.greatest(F.lit(1.0), F.floor((STRETCH - 1) * (F.col("pairs") + K - 1)).cast("double"))
+    votes = votes.withColumn("_at", F.when(F.col("phrase"), F.col("diagonal") * 2.0).otherwise(F.col("diagonal") / shift))
+    order = Window.partitionBy("row", "template").orderBy("_at")
+    ahead, around = order.rangeBetween(0, 1), order.rangeBetween(-1, 1)
+    spanned = votes.select(
+        "*", F.size(F.array_distinct(F.flatten(F.collect_list("at").over(ahead)))).alias("hit"),
+        F.min(F.col("diagonal") + F.col("low")).over(ahead).alias("first_word"),
+        F.max(F.col("diagonal") + F.col("high") + K - 1).over(ahead).alias("last_word"))
+    own = F.struct("hit", (-F.col("diagonal")).alias("d"))
+    best = (spanned.withColumn("_best", F.max(own).over(around))
+            .where(F.col("template").isNull() | (F.col("_best.d") == -F.col("diagonal")))
+            .withColumns({"share": F.col("hit") / F.col("pairs"), "verified": F.when(
+                F.col("phrase"), F.col("hit") == F.col("pairs")).otherwise(F.col("hit") >= COVER * F.col("pairs"))}))
+    # Notices that claim the same words: spans near enough to overlap are few, since each has its own place.
+    longest = int(STRETCH * max([len(t.split()) for _, t in notices], default=1)) + 1
+    close = Window.partitionBy("row").orderBy("first_word").rangeBetween(-longest, longest)
+    claims = F.collect_list(F.when(F.col("verified") & ~F.col("phrase"), F.struct(
+        "first_word", "last_word", "share", "hit", (-F.col("template")).alias("t")))).over(close)
+
+    def stronger(o: Column) -> Column:
+        shared = F.least(o["last_word"], F.col("last_word")) - F.greatest(o["first_word"], F.col("first_word")) + 1
+        shorter = F.least(o["last_word"] - o["first_word"], F.col("last_word") - F.col("first_word")) + 1
+        rank = F.struct(F.col("share"), F.col("hit"), (-F.col("template")).alias("t"))
+        return (o["t"] != -F.col("template")) & (2 * shared > shorter) & (F.struct(o["share"], o["hit"], o["t"]) > rank)
+
+    claimed = F.col("verified") & (F.col("phrase") | ~F.exists("_claims", stronger))
+    return best.withColumn("_claims", claims).select(
+        "row", "_row", "template", "label", "phrase", "first_word", "last_word", "share", claimed.alias("verified"))
 
 
 def scan(df: DataFrame, text: str = "text", **lists) -> DataFrame:
@@ -121,4 +140,4 @@ def scan(df: DataFrame, text: str = "text", **lists) -> DataFrame:
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("verified"), F.col("label")))), ",").alias("labels"),
         F.coalesce(F.max("share"), F.lit(0.0)).alias("score"))
     kept = [c for c in df.columns if c != text and c not in out]
-    return per_row.select(*[F.col(f"_row.{c}").alias(c) for c in kept], F.col("_row.n_words").alias("n_words"), *out[1:])
+    return per_row.select(*[F.col(f"_row._kept.`{c}`").alias(c) for c in kept], F.col("_row.n_words").alias("n_words"), *out[1:])

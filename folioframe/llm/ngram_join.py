@@ -105,7 +105,7 @@ def kept_buckets(signed: DataFrame) -> DataFrame:
     return members.join(several, "bucket").groupBy("text_key").agg(F.sort_array(F.collect_set(F.struct("bucket", "n"))).alias("buckets"))
 
 
-def _links(sets: list[np.ndarray], side: np.ndarray, weight: np.ndarray, earlier: list[np.ndarray], threshold: float):
+def _links(sets: list[np.ndarray], side: np.ndarray, earlier: list[np.ndarray], threshold: float):
     """Which members of a task are similar and counted here, as a matrix. ``side`` is the block of each member: unless all
     are of one block, only pairs of different blocks count."""
     n = len(sets)
@@ -170,7 +170,7 @@ def linked(df: DataFrame, signed: DataFrame, key: str = "doc_id", text: str = "t
         sets = [np.frombuffer(group.column("grams")[int(i)].as_py(), dtype=np.uint64) for i in order]
         earlier = [np.array(group.column("earlier")[int(i)].as_py(), dtype=np.int64) for i in order]
         weight = group.column("copies").to_numpy()[order]
-        similar = _links(sets, group.column("own").to_numpy()[order], weight, earlier, threshold)
+        similar = _links(sets, group.column("own").to_numpy()[order], earlier, threshold)
         root = np.arange(len(order))
         while True:  # the least member in reach
             least = np.minimum(root, np.where(similar, root[None, :], len(order)).min(axis=1))
@@ -215,10 +215,13 @@ def join(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataF
 
 def first_of_groups(df: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``df`` that stay when one document of each group stays: the one with the least key; of repeated rows one.
-    Rows with a null or blank text all stay."""
+    Rows whose text is in no class (null or blank) all stay."""
     found = groups(df, key, text, **how)
     stay = found.where(F.col("text_key") == F.col("first_key")).select(F.col("text_key").alias("_tk"), named("rep").alias("_id"))
-    rows = keyed(df, text).withColumnRenamed("text_key", "_tk").withColumn("_id", named(key))
-    blank = F.trim(F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"(?U)\s+", "")) == ""
-    kept = rows.where(~blank).join(stay, ["_tk", "_id"]).dropDuplicates(["_tk", "_id"])
-    return kept.select(*df.columns).unionByName(df.where(blank))
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), named(key).alias("_id"), F.col(text).alias("_text"))
+    rows = keyed(packed, "_text").withColumnRenamed("text_key", "_tk").drop("_text")
+    kept = rows.join(stay, ["_tk", "_id"]).dropDuplicates(["_tk", "_id"])
+    # A text without letters, digits and signs may have no class; the classes decide.
+    mute = rows.where(~F.coalesce(F.col(f"_row.`{text}`"), F.lit("")).rlike(r"[\p{L}\p{N}\p{P}\p{S}]"))
+    alone = mute.join(found.select(F.col("text_key").alias("_tk")), "_tk", "left_anti")
+    return kept.select("_row.*").unionByName(alone.select("_row.*"))

@@ -87,7 +87,9 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "do
     """Learn from texts and ``labels`` (``key``, ``label`` 0 or 1); the sample, of bounded size, is learned in the driver."""
     rated = labels.where(F.col("label").isin(0, 1)).select(key, F.col("label").cast("int").alias("label"))
     chosen = sample(rated, "label", F.col(key).cast("string"), per_class)  # two classes: 2 x per_class short rows, so broadcast
-    rows = docs.select(key, text).join(F.broadcast(chosen), key).select(F.coalesce(text, F.lit("")).alias("text"), "label").toArrow()
+    # A repeated key stands for one text, the least; copies are reduced in the tasks.
+    rows = (docs.select(key, F.coalesce(text, F.lit("")).alias("text")).join(F.broadcast(chosen), key)
+            .groupBy(key, "label").agg(F.min("text").alias("text")).select("text", "label").toArrow())
     return fit(rows.column("text").combine_chunks(), rows.column("label").to_numpy())
 
 

@@ -9,7 +9,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from folioframe.llm import fill_middle, filter_audit, near_dedup, queries
+from folioframe.llm import fill_middle, filter_audit, language, licenses, near_dedup, ngram_join, queries, toxicity
 
 DOCS = "doc_id bigint, text string, lang string, n bigint, form string, part string, node int, bucket int, key string, mask int, root int, output int"
 WORD, SPACE = re.compile(r"[^\x20\x09-\x0D]+"), re.compile(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
@@ -226,3 +226,59 @@ def test_block_and_star_links_find_every_pair_between_components(spark):
 def test_keys_for_the_wanted_recall():
     m = near_dedup.keys_for(80, 0.9999)
     assert (1 - (1 - 0.8 ** 2) ** m) ** 2 >= 0.9999 > (1 - (1 - 0.8 ** 2) ** (m - 1)) ** 2
+
+
+# ---------------------------------------------------------------- earlier operators: what was lost or wrong
+
+def notice(label, first=True):
+    return next(t for n, t in (licenses.NOTICES if first else licenses.NOTICES[::-1]) if n == label)
+
+
+def test_notices_between_stray_hits_and_no_false_labels(spark):
+    stray = " ".join(["the software"] * 100)
+    texts = {1: f"{stray} {notice('mit')} {stray}", 2: notice("lgpl"), 3: notice("cc-by"), 4: notice("cc-by-sa"), 5: notice("gpl"), 6: stray,
+             7: f"{notice('mit')} {notice('mit')}", 8: f"{notice('isc')} x {notice('apache')}", 9: None, 10: notice("bsd").upper()}
+    rows = spark.createDataFrame([(k, t, 77) for k, t in texts.items()], "doc_id bigint, text string, row bigint")
+    found = {r["doc_id"]: r for r in licenses.scan(rows).collect()}
+    assert {k: r["labels"] for k, r in found.items()} == {1: "mit", 2: "lgpl", 3: "cc-by", 4: "cc-by-sa", 5: "gpl", 6: "", 7: "mit",
+                                                          8: "apache,isc", 9: "", 10: "bsd"}
+    assert {r["row"] for r in found.values()} == {77}
+    spans = licenses.spans(rows).where("verified and not phrase and row is not null").collect()
+    assert sum(r["label"] == "mit" for r in spans) == 3
+
+
+def test_base_places_and_planted_notices_of_a_whole_table(spark, data):
+    rnd = random.Random(6)
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()]
+    planted = {}
+    for i, (key, text) in enumerate(rows):
+        if i % 4 == 0:
+            label, words = rnd.choice([n for n in licenses.NOTICES if len(n[1].split()) > 20])
+            broken = words.split()
+            broken.insert(rnd.randrange(5, len(broken) - 5), "inserted")
+            planted[key] = label
+            rows[i] = (key, (text or "") + "\n" + " ".join(broken) + "\n" + (text or "")[:500])
+    found = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    word = re.compile(licenses.WORD)
+    for key, text in rows:
+        words = word.findall("".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+        at = sorted((i, label) for phrase, label in licenses.PHRASES.items() for i in range(len(words)) if words[i: i + len(phrase.split())] == phrase.split())
+        r = found[key]
+        assert (r["n_words"], r["n_base"]) == (len(words), len(at)) and r["base_labels"] == ",".join(sorted({x[1] for x in at}))
+        assert (r["first_word"], r["last_word"]) == ((at[0][0], at[-1][0]) if at else (None, None))
+        assert r["labels"] == ",".join(sorted({x[1] for x in at} | ({planted[key]} if key in planted else set())))
+
+
+def test_samples_are_bounded_whatever_repeats(spark):
+    rows = spark.createDataFrame([(1, f"t{i}", "en") for i in range(20_000)] + [(i, "x", "en") for i in range(2, 900)], "doc_id bigint, text string, lang string")
+    for seed in ("doc_id", "lang"):
+        assert language.sample(rows, "lang", F.col(seed).cast("string"), 250).count() == (250 if seed == "doc_id" else 1)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, label int")
+    docs = spark.createDataFrame([(i % 40, f"word{i} bad" if i % 2 else f"good{i}") for i in range(4000)], "doc_id bigint, text string")
+    assert toxicity.train(docs, labels) is not None
+
+
+def test_separator_texts_stay_in_the_near_duplicate_stage(spark):
+    rows = [(1, "\x1c\x1d"), (2, "\x1c"), (3, ""), (4, None), (5, "a b c d e f"), (6, "a b c d e f"), (7, "\x01"), (8, "\x01"), (9, "　\x85")]
+    kept = ngram_join.first_of_groups(spark.createDataFrame([(*r, "k", "i") for r in rows], "doc_id bigint, text string, text_key string, _id string"))
+    assert kept.columns == ["doc_id", "text", "text_key", "_id"] and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 5, 7, 9]
