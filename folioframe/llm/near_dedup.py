@@ -7,8 +7,8 @@ is found unless it differs in all keys of one collection: ``keys_for`` gives the
 
 Texts of the same set are one node. Candidates are verified on whole sets, in three steps that each leave out what is
 connected already: every node with the least of the nodes that are least in one of its tables; then with all of those; and
-for a table that still holds nodes of several components, all its nodes against each other, in blocks of about ``BLOCK``, a
-task for two blocks, which gives back a row a node. No pair of a table stays unchecked unless both ends are connected.
+the nodes of tables that still hold several components by their rarest items (``rest_links``), in tasks of about ``BLOCK`` and
+``GROUP`` nodes that give back a row a node. No similar pair of a table is lost unless both ends are connected.
 A node that many others are compared with is copied to as many tasks as it has multiples of ``GROUP``.
 
 Null texts and texts without words have an empty set and are alone. Null keys join the group of their text and do not count for the
@@ -35,7 +35,7 @@ from folioframe.llm.components import components
 from folioframe.session import cut_lineage
 
 WORDS, PERCENT, RECALL, ROWS = 4, 80, 0.9999, 2
-BLOCK, GROUP, COLUMNS, HOT = 128, 512, 1 << 14, 1000
+BLOCK, GROUP, COLUMNS, HOT = 128, 512, 1 << 12, 1000
 
 
 def keys_for(percent: int, recall: float, rows: int = ROWS) -> int:
@@ -163,48 +163,87 @@ def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return mapped(rows, run, "node bigint, center bigint")
 
 
-def block_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root): links within buckets that hold several components. ``rest`` is (bucket, node, root)."""
-    h = F.xxhash64("node")
-    several = (rest.groupBy("bucket").agg(F.count("*").alias("n"), F.bit_xor(h).alias("x"), F.sum(h % 1_000_003).alias("s"), F.min("node").alias("l"),
-                                          F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b"))
-               .groupBy("n", "x", "s", "l").agg(F.min("bucket").alias("bucket")).select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
-    spread = (rest.join(several, "bucket").withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-              .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "node", "root").join(sets, "node"))
+def rest_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, center): links between the components of buckets that hold several. ``rest`` is (bucket, node, root).
+
+    Two sets that are similar share one of their rarest items, the ``size - least overlap + 1`` first ones in the order of
+    frequency. So only nodes that share such an item are compared; of those that do, the ones outside the item's largest
+    component with all others of another component.
+    """
+    several = rest.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b")).select("bucket")
+    nodes = cut_lineage(rest.join(several, "bucket").select("node", "root").distinct())
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, ends = from_binary(batch.column("grams"), np.uint64)
+            size = np.diff(ends)
+            of = pa.array(np.repeat(np.arange(batch.num_rows), size))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(of), batch.column("root").take(of), pa.array(np.repeat(size, size)),
+                                              pa.array(grams.view(np.int64))], names=["node", "root", "size", "gram"])
+
+    every = mapped(nodes.join(sets, "node"), items, "node bigint, root bigint, size bigint, gram bigint")
+    often = every.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    rare = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "gram"))
+    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
+    posts = cut_lineage(every.join(often, "gram", "left").withColumn("_r", rare).where((F.col("_r") <= first) & (F.col("n") > 1))
+                        .select("gram", "node", "root"))
+    sums = (posts.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram")
+            .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"))
+            .where(F.col("n") > F.col("most")))
+    cells = (posts.join(sums, "gram").withColumns({"blocks": F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"),
+                                                   "slices": F.ceil(F.col("n") / GROUP).cast("int"), "h": F.xxhash64("node")}))
+    block, slice_ = F.pmod("h", "blocks").cast("int"), F.pmod(F.shiftright("h", 20), "slices").cast("int")
+    own = cells.where(F.col("root") != F.col("main")).select("gram", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
+                                                             "node", "root", F.lit(True).alias("own"))
+    other = cells.select("gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), slice_.alias("slice"), "node", "root",
+                         F.lit(False).alias("own"))
 
     def verify(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
         nodes, roots = group.column("node").to_numpy(), group.column("root").to_numpy()
-        order = np.argsort(nodes)
-        nodes, roots = nodes[order], roots[order]
-        held = [np.frombuffer(group.column("grams")[int(i)].as_py(), np.uint64) for i in order]
+        held = [np.frombuffer(x.as_py(), np.uint64) for x in group.column("grams")]
+        mine = group.column("own").to_numpy(zero_copy_only=False)
+        a, b = np.flatnonzero(mine), np.flatnonzero(~mine)
         sizes = np.array([len(x) for x in held])
-        similar = _similar(_overlaps(held), sizes[:, None], sizes[None, :], percent) & (roots[:, None] != roots[None, :])
-        first = np.arange(len(nodes))
-        while True:  # the least node in reach
-            now = np.minimum(first, np.where(similar, first[None, :], len(nodes)).min(axis=1))
-            if (now == first).all():
+        similar = _similar(_overlaps([held[i] for i in a], [held[i] for i in b]), sizes[a, None], sizes[None, b], percent)
+        similar &= roots[a, None] != roots[None, b]
+        near, far = nodes[a], nodes[b]
+        while similar.any():  # the least node in reach, on both sides
+            far_now = np.minimum(far, np.where(similar, near[:, None], far[None, :]).min(axis=0))
+            near_now = np.minimum(near, np.where(similar, far_now[None, :], near[:, None]).min(axis=1))
+            if (far_now == far).all() and (near_now == near).all():
                 break
-            first = now
-        hit = np.flatnonzero(similar.any(axis=1))
-        return pa.table({"node": pa.array(nodes[hit]), "root": pa.array(nodes[first[hit]])})
-
-    return spread.groupBy("bucket", "low", "high").applyInArrow(verify, "node bigint, root bigint")
-
-
-def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Number of common items of all pairs of sets, by blocks of columns of the items that several hold."""
-    n = len(sets)
-    out = np.zeros((n, n), dtype=np.int64)
-    values, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    column, shared = np.cumsum(counts > 1) - 1, counts[inverse] > 1
-    owner, item = np.repeat(np.arange(n), [len(s) for s in sets])[shared], column[inverse[shared]]
-    for a in range(0, int((counts > 1).sum()), COLUMNS):
-        here = (item >= a) & (item < a + COLUMNS)
-        grid = np.zeros((n, min(COLUMNS, len(values))), dtype=np.float32)
-        grid[owner[here], item[here] - a] = 1
-        out += np.rint(grid @ grid.T).astype(np.int64)
+            near, far = near_now, far_now
+        x, y = similar.any(axis=1), similar.any(axis=0)
+        return pa.table({"node": pa.array(np.concatenate([nodes[a][x], nodes[b][y]])), "center": pa.array(np.concatenate([near[x], far[y]]))})
+
+    spread = own.unionByName(other).join(sets, "node").select("gram", "block", "slice", "node", "root", "own", "grams")
+    return spread.groupBy("gram", "block", "slice").applyInArrow(verify, "node bigint, center bigint")
+
+
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Number of common items of each set of one list and each of the other, by blocks of columns of the items both hold."""
+    out = np.zeros((len(left), len(right)), dtype=np.int64)
+    if not left or not right:
+        return out
+    a, b = np.concatenate(left), np.concatenate(right)
+    items = np.intersect1d(a, b)
+
+    def places(flat, sets):
+        at = np.minimum(np.searchsorted(items, flat), max(len(items) - 1, 0))
+        hit = items[at] == flat if len(items) else np.zeros(len(flat), dtype=bool)
+        return np.repeat(np.arange(len(sets)), [len(s) for s in sets])[hit], at[hit]
+
+    (row_a, at_a), (row_b, at_b) = places(a, left), places(b, right)
+    for start in range(0, len(items), COLUMNS):
+        width = min(COLUMNS, len(items) - start)
+        grids = []
+        for rows, at, n in ((row_a, at_a, len(left)), (row_b, at_b, len(right))):
+            grid = np.zeros((n, width), dtype=np.float32)
+            here = (at >= start) & (at < start + width)
+            grid[rows[here], at[here] - start] = 1
+            grids.append(grid)
+        out += np.rint(grids[0] @ grids[1].T).astype(np.int64)
     return out
 
 
@@ -238,7 +277,7 @@ def links_of(df: DataFrame, nodes: DataFrame, key: str, text: str, words: int, p
         known = _merged(known, star_links(apart, sets, percent))
     # The rest of a bucket without its center, which all of them were compared with.
     rest = _rooted(stars.select("bucket", "node"), known, "node", "root")
-    links = cut_lineage(block_links(rest, sets, percent).withColumnRenamed("root", "center"))
+    links = cut_lineage(rest_links(rest, sets, percent))
     return known if links.isEmpty() else _merged(known, links)
 
 

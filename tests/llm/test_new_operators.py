@@ -175,6 +175,7 @@ def test_near_duplicates_on_given_tables(spark, data):
 def test_chains_are_whole_whatever_the_center(spark, monkeypatch, block):
     """Neighbours of a chain are similar, its ends are not, and the least node of a bucket may be similar to few others."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "GROUP", 2 * block)
     rnd = random.Random(4)
     rows, key = [], 0
     for chain in range(6):
@@ -191,7 +192,7 @@ def test_chains_are_whole_whatever_the_center(spark, monkeypatch, block):
     assert same_groups(near_dedup.groups(table(spark, rows)), rows)
 
 
-def test_block_and_star_links_find_every_pair_between_components(spark):
+def test_rest_and_star_links_find_every_pair_between_components(spark):
     import numpy as np
 
     rng = np.random.default_rng(2)
@@ -217,7 +218,7 @@ def test_block_and_star_links_find_every_pair_between_components(spark):
         for j in range(i):
             if similar(sets[i], sets[j]):
                 root[max(top(i), top(j))] = min(top(i), top(j))
-    links = near_dedup.block_links(rest, held, 80).withColumnRenamed("root", "center")
+    links = near_dedup.rest_links(rest, held, 80)
     found = {r["node"]: r["root"] for r in near_dedup._merged(None, links).collect()}
     assert {i: found.get(i, i) for i in range(300)} == {i: top(i) for i in range(300)}
     assert links.where(F.col("node") == F.col("center")).count() < links.count()
