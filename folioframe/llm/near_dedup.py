@@ -7,8 +7,8 @@ is found unless it differs in all keys of one collection: ``keys_for`` gives the
 
 Texts of the same set are one node. Candidates are verified on whole sets, in three steps that each leave out what is
 connected already: every node with the least of the nodes that are least in one of its tables; then with all of those; and
-the nodes of tables that still hold several components by their rarest items (``rest_links``), in tasks of about ``BLOCK`` and
-``GROUP`` nodes that give back a row a node. No similar pair of a table is lost unless both ends are connected.
+in tables that still hold several components, the nodes outside the largest one with all others (``rest_links``), in tasks of
+about ``BLOCK`` and ``GROUP`` nodes that give back a row a node. No pair of a table stays unchecked unless both are connected.
 A node that many others are compared with is copied to as many tasks as it has multiples of ``GROUP``.
 
 Null texts and texts without words have an empty set and are alone. Null keys join the group of their text and do not count for the
@@ -166,36 +166,20 @@ def star_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def rest_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(node, center): links between the components of buckets that hold several. ``rest`` is (bucket, node, root).
 
-    Two sets that are similar share one of their rarest items, the ``size - least overlap + 1`` first ones in the order of
-    frequency. So only nodes that share such an item are compared; of those that do, the ones outside the item's largest
-    component with all others of another component.
+    All buckets with the same largest component are one group, in which a node is sent once, however many buckets it is in:
+    the nodes outside that component are compared with all others of another component.
     """
-    several = rest.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where(F.col("a") != F.col("b")).select("bucket")
-    nodes = cut_lineage(rest.join(several, "bucket").select("node", "root").distinct())
-
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams, ends = from_binary(batch.column("grams"), np.uint64)
-            size = np.diff(ends)
-            of = pa.array(np.repeat(np.arange(batch.num_rows), size))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(of), batch.column("root").take(of), pa.array(np.repeat(size, size)),
-                                              pa.array(grams.view(np.int64))], names=["node", "root", "size", "gram"])
-
-    every = mapped(nodes.join(sets, "node"), items, "node bigint, root bigint, size bigint, gram bigint")
-    often = every.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    rare = F.row_number().over(Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "gram"))
-    first = F.col("size") - F.ceil(F.col("size") * percent / 100) + 1
-    posts = cut_lineage(every.join(often, "gram", "left").withColumn("_r", rare).where((F.col("_r") <= first) & (F.col("n") > 1))
-                        .select("gram", "node", "root"))
-    sums = (posts.groupBy("gram", "root").agg(F.count("*").alias("n")).groupBy("gram")
-            .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"))
-            .where(F.col("n") > F.col("most")))
-    cells = (posts.join(sums, "gram").withColumns({"blocks": F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int"),
-                                                   "slices": F.ceil(F.col("n") / GROUP).cast("int"), "h": F.xxhash64("node")}))
+    mains = (rest.groupBy("bucket", "root").agg(F.count("*").alias("n")).groupBy("bucket")
+             .agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("root", F.struct("n", "root")).alias("main"))
+             .where(F.col("n") > F.col("most")).select("bucket", "main"))
+    posts = cut_lineage(rest.join(mains, "bucket").select("main", "node", "root").distinct())
+    sums = posts.groupBy("main").agg(F.count("*").alias("n"), F.count_if(F.col("root") != F.col("main")).alias("k"))
+    cells = posts.join(sums, "main").withColumns({"blocks": F.ceil(F.col("k") / BLOCK).cast("int"),
+                                                  "slices": F.ceil(F.col("n") / GROUP).cast("int"), "h": F.xxhash64("node")})
     block, slice_ = F.pmod("h", "blocks").cast("int"), F.pmod(F.shiftright("h", 20), "slices").cast("int")
-    own = cells.where(F.col("root") != F.col("main")).select("gram", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
+    own = cells.where(F.col("root") != F.col("main")).select("main", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"),
                                                              "node", "root", F.lit(True).alias("own"))
-    other = cells.select("gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), slice_.alias("slice"), "node", "root",
+    other = cells.select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), slice_.alias("slice"), "node", "root",
                          F.lit(False).alias("own"))
 
     def verify(group: pa.Table) -> pa.Table:
@@ -217,8 +201,8 @@ def rest_links(rest: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         x, y = similar.any(axis=1), similar.any(axis=0)
         return pa.table({"node": pa.array(np.concatenate([nodes[a][x], nodes[b][y]])), "center": pa.array(np.concatenate([near[x], far[y]]))})
 
-    spread = own.unionByName(other).join(sets, "node").select("gram", "block", "slice", "node", "root", "own", "grams")
-    return spread.groupBy("gram", "block", "slice").applyInArrow(verify, "node bigint, center bigint")
+    spread = own.unionByName(other).join(sets, "node").select("main", "block", "slice", "node", "root", "own", "grams")
+    return spread.groupBy("main", "block", "slice").applyInArrow(verify, "node bigint, center bigint")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
