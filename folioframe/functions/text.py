@@ -56,19 +56,50 @@ def characters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def scan(items: Column, start: Column, step, piece: int = 256) -> Column:
+    """The states after each item, in order. Items are taken in pieces, since an array that grows by one is copied each time."""
+    def append(acc, item):
+        return let(step(acc["now"], item), lambda now: F.struct(now.alias("now"), F.array_append(acc["out"], now).alias("out")))
+
+    def empty(state, of):
+        return F.struct(state.alias("now"), F.filter(F.array(of), lambda _: F.lit(False)).alias("out"))
+
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / piece).cast("int")),
+                         lambda i: F.slice(items, i * piece + 1, piece))
+    none = F.filter(F.array(start), lambda _: F.lit(False))
+    whole = F.aggregate(pieces, empty(start, none), lambda acc, held: let(
+        F.aggregate(held, empty(acc["now"], start), append),
+        lambda part: F.struct(part["now"].alias("now"), F.array_append(acc["out"], part["out"]).alias("out"))))
+    return F.when(F.size(items) > 0, F.flatten(whole["out"])).otherwise(none)
+
+
 def find_all(text: Column, pattern: str) -> Column:
     """Every match as struct(start, end, value): matches from extraction, offsets from the pieces between them."""
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     gaps = F.split(text, pattern, -1)
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("gap"), matches.alias("value"))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def step(found, pair):
-        at = F.coalesce(F.try_element_at(found, F.lit(-1))["end"], F.lit(0)) + F.length(pair["gap"])
-        return F.array_append(found, F.struct(
-            at.alias("start"), (at + F.length(pair["value"])).alias("end"), pair["value"].alias("value")))
+    def placed(matches):
+        ends = scan(F.zip_with(F.slice(gaps, 1, F.size(matches)), matches, lambda g, m: F.length(g) + F.length(m)), F.lit(0),
+                    lambda at, size: at + size)
+        return F.zip_with(ends, matches, lambda end, value: F.struct(
+            (end - F.length(value)).alias("start"), end.alias("end"), value.alias("value")))
+
+    return let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), placed)
+
+
+def pieces_at(text: Column, places: Column, block: int = 4096) -> Column:
+    """The parts of a text at an array of struct(start, end): looked up in blocks of the text, not from its beginning."""
+    def part(blocks, h):
+        first = F.floor(h["start"] / block).cast("int")
+        near = F.concat(F.get(blocks, first), F.coalesce(F.get(blocks, first + 1), F.lit("")))
+        return F.when(h["end"] - first * block <= 2 * block, F.substring(near, h["start"] - first * block + 1, h["end"] - h["start"])).otherwise(
+            F.substring(text, h["start"] + 1, h["end"] - h["start"]))
 
-    return F.when(F.size(matches) > 0, F.aggregate(pairs, empty, step)).otherwise(empty)
+    return let(F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{block}}}"), F.lit(0)), lambda blocks: F.transform(places, lambda h: part(blocks, h)))
 
 
 def find_overlapping(text: Column, needle: Column) -> Column:

@@ -119,6 +119,11 @@ def merge_baselines(spans: DataFrame) -> DataFrame:
     placed = rows.select("doc_id", "page", "block", "row", "vertical", F.when(
         F.col("vertical"), F.transform("by_span", lambda r: r["s"])).otherwise(F.col("by_x")).alias("ss"))
 
+    return _gapped(placed, ["doc_id", "page", "block", "row"])
+
+
+def _gapped(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The pieces ``ss`` of each row one by one, with a tab in a wide gap and a blank in a visible one."""
     def with_gap(s, i):
         own = _struct(text=s["text"], size=s["size"], x0=s["x0"], y0=s["y0"], x1=s["x1"], y1=s["y1"])
         p = F.get(F.col("ss"), i - 1)
@@ -129,8 +134,51 @@ def merge_baselines(spans: DataFrame) -> DataFrame:
         filler = _struct(text=sign, size=p["size"], x0=p["x1"], y0=p["y0"], x1=s["x0"], y1=p["y1"])
         return F.when((i > 0) & ~F.col("vertical") & sign.isNotNull(), F.array(filler, own)).otherwise(F.array(own))
 
-    return placed.select("doc_id", "page", "block", "row", "vertical", F.posexplode(
-        F.flatten(F.transform("ss", with_gap))).alias("pos", "s")).select("doc_id", "page", "block", "row", "pos", "s.*", "vertical")
+    return rows.select(*keys, "vertical", F.posexplode(F.flatten(F.transform("ss", with_gap))).alias("pos", "s")).select(
+        *keys, "pos", "s.*", "vertical")
+
+
+def merge_page_rows(pieces: DataFrame) -> DataFrame:
+    """Rows of ``merge_baselines`` that lie on one baseline of the page, whatever their blocks, become one row.
+
+    Out: the same columns; ``block`` is 0 and ``row`` the place of the row's first line among the lines of the page, by
+    height. A sweep cuts the page where no line reaches below the next one's top: only the few lines between two cuts are
+    walked, each joining the first earlier row that it overlaps by more than 60 % of the smaller height.
+    """
+    keys = ["doc_id", "page"]
+    lines = pieces.groupBy(*keys, "block", "row").agg(
+        F.bool_or("vertical").alias("v"), F.min("y0").alias("y0"), F.max("y1").alias("y1"), F.min("x0").alias("x0"),
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda p: p["text"]), "").alias("whole"),
+        F.array_sort(F.collect_list(F.struct("pos", "text", "size", "x0", "y0", "x1", "y1"))).alias("ps")).where(strip(F.col("whole")) != "")
+    order = Window.partitionBy(*keys).orderBy("y0", "x0", "block", "row")
+    reach = F.max(F.when(~F.col("v"), F.col("y1"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    swept = lines.withColumns({"ln": F.row_number().over(order), "_cut": ~F.col("v") & (F.col("y0") >= F.coalesce(reach, F.col("y0")))})
+    cut = F.sum(F.col("_cut").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = swept.withColumn("_part", F.when(F.col("v"), -F.col("ln")).otherwise(cut)).groupBy(*keys, "_part").agg(
+        F.bool_or("v").alias("vertical"), F.array_sort(F.collect_list(F.struct("ln", "y0", "y1", "ps"))).alias("ls"))
+
+    def add(acc, ln):
+        def joins(r):
+            height = F.least(r["y1"] - r["y0"], ln["y1"] - ln["y0"])
+            return (height > 0) & (F.least(r["y1"], ln["y1"]) - F.greatest(r["y0"], ln["y0"]) > height * 0.6)
+
+        head = F.try_element_at(F.filter(acc["rows"], joins), F.lit(1))["ln"]
+        own = _struct(ln=ln["ln"], y0=ln["y0"], y1=ln["y1"])
+        grown = F.transform(acc["rows"], lambda r: F.when(r["ln"] == head, _struct(
+            ln=r["ln"], y0=F.least(r["y0"], ln["y0"]), y1=F.greatest(r["y1"], ln["y1"]))).otherwise(r))
+        return F.when(head.isNotNull(), _struct(rows=grown, at=F.array_append(acc["at"], head))).otherwise(_struct(
+            rows=F.array_append(acc["rows"], own), at=F.array_append(acc["at"], ln["ln"])))
+
+    begin = F.struct(F.array().alias("rows"), F.array().alias("at")).cast("struct<rows:array<struct<ln:int,y0:double,y1:double>>,at:array<int>>")
+    heads = F.when(F.size("ls") == 1, F.transform("ls", lambda r: r["ln"])).otherwise(F.aggregate(
+        F.transform("ls", lambda r: _struct(ln=r["ln"], y0=r["y0"], y1=r["y1"])), begin, add)["at"])
+    rows = parts.select(*keys, "vertical", F.explode(F.arrays_zip(heads.alias("row"), F.col("ls").alias("l"))).alias("z")).groupBy(
+        *keys, F.col("z.row").alias("row")).agg(F.bool_or("vertical").alias("vertical"), F.array_sort(F.collect_list(
+            F.struct(F.col("z.l.ln").alias("ln"), F.col("z.l.ps").alias("ps")))).alias("g"))
+    by_x = F.array_sort(F.flatten(F.transform("g", lambda r: F.transform(r["ps"], lambda p: F.struct(
+        p["x0"].alias("x"), r["ln"].alias("ln"), p.alias("p"))))))
+    placed = rows.withColumn("ss", F.when(F.size("g") == 1, F.get("g", 0)["ps"]).otherwise(F.transform(by_x, lambda r: r["p"])))
+    return _gapped(placed.withColumn("block", F.lit(0)), [*keys, "block", "row"])
 
 
 def row_texts(pieces: DataFrame, keys: tuple[str, ...] = ("doc_id", "page", "block", "row")) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions.checks import luhn_ok, my_number_ok, phone_ok
-from folioframe.functions.text import find_all, fold_width
+from folioframe.functions.text import find_all, fold_width, let, pieces_at, scan
 from folioframe.operators.scale import points_in_boxes
 
 # What each kind looks like after folding. \p{Nd} also takes digits outside ASCII.
@@ -42,18 +42,31 @@ def find_personal_info(lines: DataFrame, keys: list[str], kinds: list[str] | Non
         return F.when(h["kind"] == "card", luhn_ok(h["value"])).when(h["kind"] == "mynumber", my_number_ok(h["value"])
                       ).when(h["kind"] == "phone", phone_ok(h["value"])).otherwise(F.lit(True))
 
-    def take(accepted, h):
-        clash = F.exists(accepted, lambda a: (h["start"] < a["end"]) & (a["start"] < h["end"]))
-        return F.when(clash, accepted).otherwise(F.array_append(accepted, h))
-
-    found = gated.select(*keys, "_raw", F.concat(*[tagged(k) for k in wanted]).alias("_found")).where(
-        F.size("_found") > 0)
-    valid = found.select(*keys, "_raw", F.filter("_found", trusted).alias("_valid")).where(F.size("_valid") > 0)
-    # Kinds come in order of trust, so one pass keeps the first of two that overlap.
-    empty = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    return (valid.select(*keys, "_raw", F.explode(F.aggregate("_valid", empty, take)).alias("hit"))
-            .select(*keys, "hit.kind", label[F.col("hit.kind")].alias("label"), "hit.start", "hit.end",
-                    F.substring("_raw", F.col("hit.start") + 1, F.col("hit.end") - F.col("hit.start")).alias("text")))
+    found = gated.select(*keys, "_raw", *[F.filter(tagged(k), trusted).alias(f"_{k}") for k in wanted])
+    found = found.withColumn("_taken", F.col(f"_{wanted[0]}"))
+    for kind in wanted[1:]:  # in order of trust: of two that overlap the first stays
+        found = found.withColumn("_taken", F.when(F.size("_taken") == 0, F.col(f"_{kind}")).when(F.size(f"_{kind}") == 0, F.col("_taken")).otherwise(
+            F.concat("_taken", free_of(F.col(f"_{kind}"), F.col("_taken")))))
+    texts = F.zip_with("_taken", pieces_at(F.col("_raw"), F.col("_taken")), lambda h, text: F.struct(
+        h["kind"].alias("kind"), h["start"].alias("start"), h["end"].alias("end"), text.alias("text")))
+    return (found.select(*keys, F.explode(texts).alias("hit"))
+            .select(*keys, "hit.kind", label[F.col("hit.kind")].alias("label"), "hit.start", "hit.end", "hit.text"))
+
+
+def free_of(hits: Column, taken: Column) -> Column:
+    """The hits that overlap none of ``taken``; both are arrays of disjoint struct(..., start, end). All are sorted by their
+    start once; the farthest end before a hit and the nearest start after it tell whether it is free."""
+    def judged(both):
+        ends = scan(both, F.lit(-1), lambda most, x: F.when(x["held"], F.greatest(most, x["h"]["end"])).otherwise(most))
+        starts = F.reverse(scan(F.reverse(both), F.lit(2**31 - 1), lambda least, x: F.when(x["held"], F.least(least, x["h"]["start"])).otherwise(least)))
+        rows = F.arrays_zip(both.alias("x"), ends.alias("before"), starts.alias("after"))
+        free = F.filter(rows, lambda r: ~r["x"]["held"] & (r["before"] <= r["x"]["h"]["start"]) & (r["after"] >= r["x"]["h"]["end"]))
+        return F.transform(free, lambda r: r["x"]["h"])
+
+    def marked(items, held):
+        return F.transform(items, lambda h: F.struct(h["start"].alias("at"), F.lit(held).alias("held"), h.alias("h")))
+
+    return let(F.array_sort(F.concat(marked(hits, False), marked(taken, True))), judged)
 
 
 def hit_boxes(hits: DataFrame, chars: DataFrame, line_keys: list[str]) -> DataFrame:

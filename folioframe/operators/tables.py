@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from folioframe.functions.geometry import overlap_fraction
 from folioframe.functions.sheet import format_number, parse_ref, recognise
 from folioframe.functions.text import bullet_character, strip
+from folioframe.operators.layout import merge_page_rows
 from folioframe.operators.scale import bands, points_in_boxes, running
 from folioframe.session import cut_lineage
 
@@ -224,21 +225,14 @@ def _typed(cells: DataFrame, numbers: bool) -> DataFrame:
 
 # ---------------------------------------------------------------- tables made of tabs
 
-def _page_rows(pieces: DataFrame) -> DataFrame:
-    """The rows of a page in order of height: n, whether the row belongs to a table made of tabs, its cells.
-
-    A table is a run of two or more rows with tabs. Everything is derived in one pass over the pages.
-    """
+def _rows_with_tabs(pieces: DataFrame) -> DataFrame:
+    """Rows of a page: their box's top, their text, whether they hold tabs, and their cells between tabs."""
     keys = ["doc_id", "page", "block", "row"]
     item = F.struct("pos", "text", "x0")
     lines = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("ps"), F.min("y0").alias("y0"), F.min("x0").alias("x0"))
     whole = lines.withColumns({
         "tabs": F.exists("ps", lambda p: p["text"] == "\t"),
         "line": F.array_join(F.transform("ps", lambda p: p["text"]), "")}).where(strip(F.col("line")) != "")
-    order = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "block", "row")
-    ranked = whole.withColumn("n", F.row_number().over(order) - 1).withColumn(
-        "k", F.sum(F.when(F.col("tabs"), 0).otherwise(1)).over(order))
-    counted = ranked.withColumn("run", F.count_if(F.col("tabs")).over(Window.partitionBy("doc_id", "page", "k")))
 
     def split(cells, p):
         last = F.try_element_at(cells, F.lit(-1))
@@ -252,8 +246,24 @@ def _page_rows(pieces: DataFrame) -> DataFrame:
 
     kind = F.array().cast("array<struct<x:double,text:string,open:boolean>>")
     cells = F.transform(F.aggregate("ps", kind, split), lambda c: F.struct(c["x"].alias("x"), strip(c["text"]).alias("text")))
-    return counted.withColumn("tabular", F.col("tabs") & (F.col("run") >= 2)).select(
-        "doc_id", "page", "n", "k", "tabular", "line", F.when(F.col("tabular"), cells).alias("cells"))
+    return whole.withColumn("cells", F.when(F.col("tabs"), cells)).drop("ps")
+
+
+def _page_rows(pieces: DataFrame) -> DataFrame:
+    """The rows of a page in order of height: n, whether the row belongs to a table made of tabs, its cells.
+
+    A table is a run of two or more rows with tabs. Everything is derived in one pass over the pages.
+    """
+    order = Window.partitionBy("doc_id", "page").orderBy("y0", "x0", "block", "row")
+    ranked = _rows_with_tabs(pieces).withColumn("n", F.row_number().over(order) - 1).withColumn(
+        "k", F.sum(F.when(F.col("tabs"), 0).otherwise(1)).over(order))
+    return _with_runs(ranked).select("doc_id", "page", "n", "k", "tabular", "line", "cells")
+
+
+def _with_runs(ranked: DataFrame) -> DataFrame:
+    """Add whether a row with tabs has another one beside it: k counts what breaks a run."""
+    run = F.count_if(F.col("tabs")).over(Window.partitionBy("doc_id", "page", "k"))
+    return ranked.withColumn("tabular", F.col("tabs") & (run >= 2))
 
 
 def text_tables(pieces: DataFrame, merge_gap: float = 10.0) -> DataFrame:
@@ -266,16 +276,19 @@ def text_tables(pieces: DataFrame, merge_gap: float = 10.0) -> DataFrame:
 
 
 def _tab_cells(rows: DataFrame, merge_gap: float = 10.0) -> DataFrame:
-    table = Window.partitionBy("doc_id", "page", "k")
-    page = Window.partitionBy("doc_id", "page").orderBy("k")
-    starts = F.flatten(F.collect_list(F.transform("cells", lambda c: c["x"])).over(table))
-    anchors = F.aggregate("xs", F.array().cast("array<double>"), lambda acc, x: F.when(
+    """Cells with their columns; the starts of a table's columns are worked out once, from the rows of the table together."""
+    anchors = F.aggregate(F.array_sort(F.array_distinct(F.flatten(F.transform("rs", lambda r: F.transform(r["cells"], lambda c: c["x"]))))),
+                          F.array().cast("array<double>"), lambda acc, x: F.when(
         (F.size(acc) > 0) & (x - F.try_element_at(acc, F.lit(-1)) < merge_gap), acc).otherwise(F.array_append(acc, x)))
-    placed = rows.withColumns({"tbl": F.dense_rank().over(page) - 1, "row": F.row_number().over(table.orderBy("n")) - 1,
-                               "xs": starts}).withColumn("xs", F.array_sort(F.array_distinct("xs"))).withColumn("xs", anchors)
-    col = F.greatest(F.size(F.filter("xs", lambda a: a <= F.col("c.x") + merge_gap)) - 1, F.lit(0))
-    return placed.select("doc_id", "page", "tbl", "row", "n", "xs", F.explode("cells").alias("c")).select(
-        "doc_id", "page", "tbl", "row", col.alias("col"), F.col("c.x").alias("x"), F.col("c.text").alias("text"), "n")
+
+    def placed(row, i):
+        return F.transform(row["cells"], lambda c: F.struct(i.alias("row"), row["n"].alias("n"), F.greatest(F.size(F.filter(
+            "xs", lambda a: a <= c["x"] + merge_gap)) - 1, F.lit(0)).alias("col"), c["x"].alias("x"), c["text"].alias("text")))
+
+    tables = rows.groupBy("doc_id", "page", "k").agg(F.array_sort(F.collect_list(F.struct("n", "cells"))).alias("rs")).withColumn("xs", anchors)
+    number = F.dense_rank().over(Window.partitionBy("doc_id", "page").orderBy("k")) - 1
+    return tables.select("doc_id", "page", number.alias("tbl"), F.flatten(F.transform("rs", placed)).alias("cs")).select(
+        "doc_id", "page", "tbl", F.explode("cs").alias("c")).select("doc_id", "page", "tbl", "c.row", "c.col", "c.x", "c.text", "c.n")
 
 
 def typed_text_tables(cells: DataFrame, numbers: bool = True) -> DataFrame:
@@ -311,16 +324,80 @@ def sheet_rows(pieces: DataFrame, mode: str = "page") -> DataFrame:
     every = plain.unionByName(tabbed.withColumn("row", F.col("n")).select(*plain.columns))
     if mode == "page":
         return every.withColumn("sheet", page_name).select(*cells)
-    # One sheet: pages follow each other, two rows (blank, banner) before every page but the first.
     height = rows.groupBy("doc_id", "page").agg((F.max("n") + 1).alias("h"))
-    stacked = running(height, ["doc_id"], "page", {"_end": ("sum", F.col("h") + 2)}).select(
+    return _stacked(every, height).withColumn("sheet", F.lit("Sheet")).select(*cells)
+
+
+def page_sheets(pieces: DataFrame, cellboxes: DataFrame, mode: str = "page", numbers: bool = True) -> DataFrame:
+    """Whole pages as sheets: ruled tables, tables made of tabs and single lines in one order of height.
+
+    ``pieces`` are rows of ``merge_baselines``, ``cellboxes`` the boxes of ruled tables. Tables that ``accepted`` refuses are
+    left out; blocks and lines of which half lies inside a ruled table are its text; all others are merged over the whole
+    page, so that columns set as blocks of their own meet. ``page`` gives a sheet a page, ``single`` one a document, with a
+    blank row and a banner before each further page, ``tables`` one a table: the ruled ones by height, then all lines with
+    tabs, if there are two. Out: (doc_id, sheet, row, col, kind, text, value, format).
+    """
+    page = ["doc_id", "page"]
+    every = grid(cellboxes)
+    shape = every.groupBy(*page, "tbl").agg(F.max("r1").alias("rows"), F.max("c1").alias("cols"), F.min("x0").alias("x0"),
+                                            F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+    ruled = cut_lineage(accepted(shape))
+    cells = cut_lineage(every.join(ruled.select(*page, "tbl"), [*page, "tbl"], "left_semi"))
+    pieces = cut_lineage(pieces)
+    boxes = pieces.groupBy(*page, "block", F.col("row").alias("line")).agg(
+        *[F.min(c).alias(c) for c in BOX[:2]], *[F.max(c).alias(c) for c in BOX[2:]])
+    blocks = boxes.groupBy(*page, "block").agg(*[F.min(c).alias(c) for c in BOX[:2]], *[F.max(c).alias(c) for c in BOX[2:]])
+    free = outside(boxes.join(outside(blocks, ruled, 0.5).select(*page, "block"), [*page, "block"], "left_semi"), ruled, 0.5)
+    loose = pieces.join(free.select(*page, "block", F.col("line").alias("row")), [*page, "block", "row"], "left_semi")
+    lines = _rows_with_tabs(merge_page_rows(loose)).select(*page, "y0", F.lit(1).alias("rank"), F.col("row").cast("long").alias("id"), F.lit(1).alias("height"), "tabs", "line", "cells")
+    drawn = ruled.select(*page, "y0", F.lit(0).alias("rank"), F.col("tbl").cast("long").alias("id"), F.col("rows").alias("height"), F.lit(False).alias("tabs"),
+                         F.lit(None).cast("string").alias("line"), F.lit(None).cast("array<struct<x:double,text:string>>").alias("cells"))
+    order = Window.partitionBy(*page).orderBy("y0", "rank", "id")
+    upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    items = cut_lineage(_with_runs(lines.unionByName(drawn).withColumns({
+        "n": (F.sum("height").over(upto) - F.col("height")).cast("int"), "k": F.sum(F.when(F.col("tabs"), 0).otherwise(1)).over(upto)})))
+    texts = cell_texts(cell_spans(pieces.withColumnsRenamed({"row": "line", "pos": "span"}), cells))
+    in_grid = _typed(cells.join(texts, [*page, "tbl", "r0", "c0"], "left").select(
+        *page, "tbl", F.col("r0").alias("row"), F.col("c0").alias("col"), F.coalesce("text", F.lit("")).alias("text")), numbers)
+    empty = covered_cells(merges(cells), [*page, "tbl"]).join(in_grid, [*page, "tbl", "row", "col"], "left_anti").withColumns(
+        {"text": F.lit(""), "kind": F.lit("e"), "value": F.lit(None).cast("double"), "format": F.lit(None).cast("string")})
+    in_grid = in_grid.unionByName(empty)
+    out = ["row", "col", "kind", "text", "value", "format"]
+    name = F.concat(F.lit("ページ"), (F.col("page") + 1).cast("string"))
+    if mode == "tables":
+        number = F.row_number().over(Window.partitionBy(*page).orderBy("y0", "tbl"))
+        tables = ruled.select(*page, "tbl", number.alias("i"))
+        later = tables.groupBy(*page).agg(F.max("i").alias("before"))
+        tabbed = items.where("tabs").withColumn("_all", F.count("*").over(Window.partitionBy(*page))).where("_all >= 2")
+        tabbed = typed_text_tables(_tab_cells(tabbed.withColumns({"k": F.lit(0), "n": F.col("id").cast("int")})), numbers)
+        text_sheets = tabbed.join(later, page, "left").select(
+            "doc_id", F.concat(name, F.lit("-表"), (F.coalesce("before", F.lit(0)) + 1).cast("string")).alias("sheet"), *out)
+        return in_grid.join(tables, [*page, "tbl"]).select(
+            "doc_id", F.concat(name, F.lit("-表"), F.col("i").cast("string")).alias("sheet"), *out).unionByName(text_sheets)
+    at = items.where("rank = 0").select(*page, F.col("id").cast("int").alias("tbl"), "n")
+    null = F.lit(None)
+    single = items.where("rank = 1 and not tabular").select(
+        *page, F.col("n").alias("row"), F.lit(0).alias("col"), F.lit("s").alias("kind"), strip(F.translate("line", "\t", " ")).alias("text"),
+        null.cast("double").alias("value"), null.cast("string").alias("format"))
+    tabbed = typed_text_tables(_tab_cells(items.where("tabular")), numbers).withColumn("row", F.col("n"))
+    every = single.unionByName(tabbed.select(*single.columns)).unionByName(
+        in_grid.join(at, [*page, "tbl"]).withColumn("row", F.col("row") + F.col("n")).select(*single.columns))
+    if mode == "page":
+        return every.select("doc_id", name.alias("sheet"), *out)
+    height = items.groupBy(*page).agg(F.sum("height").alias("h"))
+    return _stacked(every, height).withColumn("sheet", F.lit("Sheet1")).select("doc_id", "sheet", *out)
+
+
+def _stacked(every: DataFrame, height: DataFrame) -> DataFrame:
+    """The pages of a document one below the other: before each but the first a blank row and a banner."""
+    at = running(height, ["doc_id"], "page", {"_end": ("sum", F.col("h") + 2)}).select(
         "doc_id", "page", (F.col("_end") - F.col("h") - 2).alias("at"))
-    moved = every.join(stacked, ["doc_id", "page"]).withColumn("row", F.col("row") + F.col("at"))
-    banner = stacked.where(F.col("at") > 0).select(
+    moved = every.join(at, ["doc_id", "page"]).withColumn("row", F.col("row") + F.col("at")).drop("at")
+    banner = at.where(F.col("at") > 0).select(
         "doc_id", "page", (F.col("at") - 1).alias("row"), F.lit(0).alias("col"), F.lit("s").alias("kind"),
         F.concat(F.lit("— ページ "), (F.col("page") + 1).cast("string"), F.lit(" —")).alias("text"),
-        null.cast("double").alias("value"), null.cast("string").alias("format"))
-    return moved.select(*banner.columns).unionByName(banner).withColumn("sheet", F.lit("Sheet")).select(*cells)
+        F.lit(None).cast("double").alias("value"), F.lit(None).cast("string").alias("format"))
+    return moved.select(*banner.columns).unionByName(banner)
 
 
 # ---------------------------------------------------------------- sheets that already are tables

@@ -70,7 +70,7 @@ def wrapped(spark: SparkSession, folder: str) -> DataFrame:
 
 
 WRAPPED = LINES + """,
-wrapped AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, piece) - 1 AS n, ln,
+wrapped AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, piece) - 1 AS n, ln, piece,
                    substr(text, piece * 80 + 1, 80) AS text
             FROM (SELECT doc_id, ln, text,
                          unnest(generate_series(0, greatest((length(text) + 79) // 80, 1) - 1)) AS piece FROM lines))"""

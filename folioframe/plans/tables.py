@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import sheet as H
 from folioframe.operators import regions as R
 from folioframe.operators import tables as T
+from folioframe.operators.layout import merge_baselines
 from folioframe.plans import corpus
 from folioframe.plans.layout import _FILL, _IMAGE, _rows, images, page_chars
 from folioframe.plans.registry import query, sql
@@ -217,6 +218,86 @@ def sheet_tables(spark, folder):
     return T.sheet_rows(_rows(spark, folder), "tables").groupBy("doc_id", "sheet").agg(F.count("*").alias("cells"))
 
 
+# ---------------------------------------------------------------- whole pages: columns as blocks, a ruled table between the lines
+
+_PAGE_SHEET = corpus.WORDS + """,
+wg AS (SELECT *, span // 6 AS g FROM word),
+box AS (SELECT doc_id, page, line, g, min(x0) AS a, max(x1) AS b, any_value(y0) AS y0, any_value(y1) AS y1 FROM wg GROUP BY 1, 2, 3, 4),
+taken AS (SELECT doc_id, page, line, g FROM box WHERE (doc_id + page) % 2 = 0 AND greatest(0, least(b, 400) - greatest(a, 50))
+          * greatest(0, least(y1, 460.0) - greatest(y0, 400)) / ((b - a) * (y1 - y0)) >= 0.5),
+loose AS (SELECT w.* FROM wg w ANTI JOIN taken t ON t.doc_id = w.doc_id AND t.page = w.page AND t.line = w.line AND t.g = w.g),
+gap1 AS (SELECT *, lag(x1) OVER w AS px, lag(size) OVER w AS ps FROM loose WINDOW w AS (PARTITION BY doc_id, page, line ORDER BY x0, span)),
+fil AS (SELECT *, CASE WHEN px IS NULL THEN '' WHEN x0 - px > greatest(size, ps) * 1.5 THEN chr(9) WHEN x0 - px > greatest(size, ps) * 0.8 THEN '　'
+        WHEN x0 - px > greatest(size, ps) * 0.3 THEN ' ' ELSE '' END AS filler FROM gap1),
+seg AS (SELECT *, sum(CASE WHEN filler = chr(9) THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page, line ORDER BY x0, span) AS sg FROM fil),
+item AS (SELECT doc_id, page, any_value(y0) AS y, 1 AS rank, line, 1 AS h, bool_or(filler = chr(9)) AS tabs,
+                trim(replace(string_agg(filler || text, '' ORDER BY x0, span), chr(9), ' ')) AS text FROM fil GROUP BY doc_id, page, line
+         UNION ALL SELECT DISTINCT doc_id, page, 400, 0, -1, 3, false, NULL FROM word WHERE (doc_id + page) % 2 = 0),
+it AS (SELECT *, sum(h) OVER w - h AS n, sum(CASE WHEN tabs THEN 0 ELSE 1 END) OVER w AS k FROM item WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, rank ROWS UNBOUNDED PRECEDING)),
+runs AS (SELECT *, count(*) FILTER (WHERE tabs) OVER (PARTITION BY doc_id, page, k) AS many, count(*) FILTER (WHERE tabs) OVER (PARTITION BY doc_id, page) AS every FROM it),
+cw AS (SELECT w.*, CASE WHEN (y0 + y1) / 2 <= 420 THEN 0 WHEN (y0 + y1) / 2 <= 439 THEN 1 ELSE 2 END AS r, CASE WHEN (x0 + x1) / 2 <= 226 THEN 0 ELSE 1 END AS c,
+         lag(x1) OVER v AS px, lag(size) OVER v AS ps FROM wg w JOIN taken t ON t.doc_id = w.doc_id AND t.page = w.page AND t.line = w.line AND t.g = w.g
+       WINDOW v AS (PARTITION BY w.doc_id, w.page, w.line, w.g ORDER BY x0, span)),
+cl AS (SELECT doc_id, page, line, g, r, c, trim(string_agg(CASE WHEN px IS NULL OR x0 - px > greatest(size, ps) * 1.5 THEN '' WHEN x0 - px > greatest(size, ps) * 0.8 THEN '　'
+         WHEN x0 - px > greatest(size, ps) * 0.3 THEN ' ' ELSE '' END || text, '' ORDER BY x0, span), ' 　') AS text, min(x0) AS x FROM cw WHERE (x0 + x1) / 2 <= 401 GROUP BY 1, 2, 3, 4, 5, 6),
+ctext AS (SELECT doc_id, page, r, c, string_agg(text, chr(10) ORDER BY line, x) AS text FROM cl GROUP BY 1, 2, 3, 4),
+ruled AS (SELECT i.doc_id, i.page, i.n, v.r, v.c, coalesce(t.text, '') AS text FROM it i CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1)) AS v(r, c)
+          LEFT JOIN ctext t ON t.doc_id = i.doc_id AND t.page = i.page AND t.r = v.r AND t.c = v.c WHERE i.rank = 0),
+tl AS (SELECT doc_id, page, line, n, {table} AS k FROM runs WHERE tabs AND {among} >= 2),
+cel AS (SELECT s.doc_id, s.page, k, any_value(n) AS n, s.line, sg, min(x0) AS x, trim(string_agg(CASE WHEN filler = chr(9) THEN '' ELSE filler END || text, '' ORDER BY x0, span)) AS text
+        FROM seg s JOIN tl t ON t.doc_id = s.doc_id AND t.page = s.page AND t.line = s.line GROUP BY s.doc_id, s.page, k, s.line, sg),
+anc AS (SELECT doc_id, page, k, min(x) AS a FROM cel GROUP BY 1, 2, 3
+        UNION ALL SELECT a.doc_id, a.page, a.k, (SELECT min(x) FROM cel c WHERE c.doc_id = a.doc_id AND c.page = a.page AND c.k = a.k AND c.x >= a.a + 10) FROM anc a WHERE a.a IS NOT NULL),
+tabc AS (SELECT doc_id, page, k, n, dense_rank() OVER (PARTITION BY doc_id, page, k ORDER BY line) - 1 AS row,
+           greatest((SELECT count(*) FROM anc a WHERE a.doc_id = c.doc_id AND a.page = c.page AND a.k = c.k AND a.a <= c.x + 10) - 1, 0) AS col, text FROM cel c)"""
+
+
+def _page_sheet_sql(table: str, among: str, body: str) -> str:
+    return "WITH RECURSIVE " + _PAGE_SHEET.strip().replace("{table}", table).replace("{among}", among) + body
+
+
+_PAGE_CELLS = """,
+cells AS (SELECT doc_id, page, n AS row, 0 AS col, text FROM runs WHERE rank = 1 AND NOT (tabs AND many >= 2)
+          UNION ALL SELECT doc_id, page, n, col, text FROM tabc WHERE text <> '' UNION ALL SELECT doc_id, page, n + r, c, text FROM ruled)"""
+
+
+def _page_sheets(spark, folder, mode):
+    """Six words of a line are a block of their own; every second page has a ruled table of three rows over its third block."""
+    words = corpus.words(spark, folder)
+    pieces = merge_baselines(words.withColumns({"block": F.col("line") * 100 + F.floor(F.col("span") / 6), "line": F.col("span")}))
+    pages = corpus.spans(spark, folder).select("doc_id", "page").distinct().where((F.col("doc_id") + F.col("page")) % 2 == 0)
+    edges = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(50.0 + 175 * (i % 2)).alias("x0"), F.lit((400.0, 419.0, 438.0)[i // 2]).alias("y0"),
+                               F.lit(225.0 + 175 * (i % 2)).alias("x1"), F.lit((419.0, 438.0, 460.0)[i // 2]).alias("y1")) for i in range(6)])
+    # A box of two cells, of which no table is made, stands at the foot of the page.
+    small = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(50.0 + 50 * i).alias("x0"), F.lit(40.0).alias("y0"), F.lit(100.0 + 50 * i).alias("x1"),
+                               F.lit(800.0).alias("y1")) for i in range(2)])
+    boxes = pages.select("doc_id", "page", F.lit(0).alias("tbl"), F.explode(edges).alias("b")).unionByName(
+        pages.select("doc_id", "page", F.lit(1).alias("tbl"), F.explode(small).alias("b"))).select("doc_id", "page", "tbl", "b.*")
+    return T.page_sheets(pieces, boxes, mode)
+
+
+@query("whole_page_sheets", _page_sheet_sql("k", "many", _PAGE_CELLS + """
+SELECT doc_id, 'ページ' || (page + 1) AS sheet, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, text FROM cells"""))
+def whole_page_sheets(spark, folder):
+    return _page_sheets(spark, folder, "page").select("doc_id", "sheet", F.col("row").cast("int").alias("row"), "col", "text")
+
+
+@query("whole_page_single_sheet", _page_sheet_sql("k", "many", _PAGE_CELLS + """,
+high AS (SELECT doc_id, page, sum(h) AS h FROM it GROUP BY 1, 2),
+stk AS (SELECT doc_id, page, sum(h + 2) OVER (PARTITION BY doc_id ORDER BY page) - h - 2 AS off FROM high)
+SELECT doc_id, CAST(row + off AS BIGINT) AS row, CAST(col AS INTEGER) AS col, text FROM cells JOIN stk USING (doc_id, page)
+UNION ALL SELECT doc_id, CAST(off - 1 AS BIGINT), 0, '— ページ ' || (page + 1) || ' —' FROM stk WHERE off > 0"""))
+def whole_page_single_sheet(spark, folder):
+    return _page_sheets(spark, folder, "single").select("doc_id", F.col("row").cast("long").alias("row"), "col", "text")
+
+
+@query("whole_page_tables", _page_sheet_sql("0", "every", """
+SELECT doc_id, 'ページ' || (page + 1) || '-表1' AS sheet, CAST(r AS INTEGER) AS row, CAST(c AS INTEGER) AS col, text FROM ruled
+UNION ALL SELECT doc_id, 'ページ' || (page + 1) || CASE WHEN (doc_id + page) % 2 = 0 THEN '-表2' ELSE '-表1' END, CAST(row AS INTEGER), CAST(col AS INTEGER), text FROM tabc WHERE text <> ''"""))
+def whole_page_tables(spark, folder):
+    return _page_sheets(spark, folder, "tables").select("doc_id", "sheet", F.col("row").cast("int").alias("row"), "col", "text")
+
+
 # ---------------------------------------------------------------- boxes on pages
 
 @query("linked_spans", sql(corpus.SPANS, """,
