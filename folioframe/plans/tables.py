@@ -236,10 +236,10 @@ item AS (SELECT doc_id, page, any_value(y0) AS y, 1 AS rank, line, 1 AS h, bool_
 it AS (SELECT *, sum(h) OVER w - h AS n, sum(CASE WHEN tabs THEN 0 ELSE 1 END) OVER w AS k FROM item WINDOW w AS (PARTITION BY doc_id, page ORDER BY y, rank ROWS UNBOUNDED PRECEDING)),
 runs AS (SELECT *, count(*) FILTER (WHERE tabs) OVER (PARTITION BY doc_id, page, k) AS many, count(*) FILTER (WHERE tabs) OVER (PARTITION BY doc_id, page) AS every FROM it),
 cw AS (SELECT w.*, CASE WHEN (y0 + y1) / 2 <= 420 THEN 0 WHEN (y0 + y1) / 2 <= 439 THEN 1 ELSE 2 END AS r, CASE WHEN (x0 + x1) / 2 <= 226 THEN 0 ELSE 1 END AS c,
-         lag(x1) OVER v AS px, lag(size) OVER v AS ps FROM wg w JOIN taken t ON t.doc_id = w.doc_id AND t.page = w.page AND t.line = w.line AND t.g = w.g
+         lag(x1) OVER v AS px, lag(size) OVER v AS ps FROM wg w WHERE (doc_id + page) % 2 = 0
        WINDOW v AS (PARTITION BY w.doc_id, w.page, w.line, w.g ORDER BY x0, span)),
 cl AS (SELECT doc_id, page, line, g, r, c, trim(string_agg(CASE WHEN px IS NULL OR x0 - px > greatest(size, ps) * 1.5 THEN '' WHEN x0 - px > greatest(size, ps) * 0.8 THEN '　'
-         WHEN x0 - px > greatest(size, ps) * 0.3 THEN ' ' ELSE '' END || text, '' ORDER BY x0, span), ' 　') AS text, min(x0) AS x FROM cw WHERE (x0 + x1) / 2 <= 401 GROUP BY 1, 2, 3, 4, 5, 6),
+         WHEN x0 - px > greatest(size, ps) * 0.3 THEN ' ' ELSE '' END || text, '' ORDER BY x0, span), ' 　') AS text, min(x0) AS x FROM cw WHERE (x0 + x1) / 2 BETWEEN 49 AND 401 AND (y0 + y1) / 2 BETWEEN 399 AND 461 GROUP BY 1, 2, 3, 4, 5, 6),
 ctext AS (SELECT doc_id, page, r, c, string_agg(text, chr(10) ORDER BY line, x) AS text FROM cl GROUP BY 1, 2, 3, 4),
 ruled AS (SELECT i.doc_id, i.page, i.n, v.r, v.c, coalesce(t.text, '') AS text FROM it i CROSS JOIN (VALUES (0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1)) AS v(r, c)
           LEFT JOIN ctext t ON t.doc_id = i.doc_id AND t.page = i.page AND t.r = v.r AND t.c = v.c WHERE i.rank = 0),
