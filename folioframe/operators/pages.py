@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions.geometry import rect_to_page, view_height, view_width
-from folioframe.operators.scale import previous, running
+from folioframe.operators.scale import previous, running, running_through
 from folioframe.session import cut_lineage
 
 # ---------------------------------------------------------------- page ranges
@@ -243,7 +243,7 @@ def bates(pages: DataFrame, prefix: str = "", start: int = 1, digits: int = 6, s
     """Running page labels, per document or through a whole production set in order of doc_id."""
     numbered = pages.withColumn("_n", F.col("page").cast("bigint"))
     if production:
-        ends = running(page_counts(pages), [], "doc_id", {"_end": ("sum", F.col("pages"))})
+        ends = running_through(page_counts(pages), "doc_id", F.col("pages"), "_end")
         offset = ends.select("doc_id", (F.col("_end") - F.col("pages")).alias("_off"))
         numbered = pages.join(offset, "doc_id").withColumn("_n", F.col("page") + F.col("_off")).drop("_off")
     return numbered.withColumn("label", F.concat(F.lit(prefix), _padded(F.col("_n") + start, digits), F.lit(suffix))).drop("_n")

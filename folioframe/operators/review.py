@@ -9,7 +9,8 @@ from pyspark.sql.window import Window
 from folioframe.functions.labels import (MANAGED_TYPES, TEXT_MARKUP, body_text, lookup, state_label, type_label,
                                          STATE_LABELS)
 from folioframe.functions.text import csv_line, escape_markup, strip
-from folioframe.operators.scale import first_per_key, points_in_boxes
+from folioframe.operators.runs import text_under
+from folioframe.operators.scale import first_per_key
 
 # ---------------------------------------------------------------- threading
 
@@ -114,20 +115,18 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], n: int | None =
 # ---------------------------------------------------------------- the words under a mark
 
 
-def quoted_text(annots: DataFrame, chars: DataFrame) -> DataFrame:
-    """(doc_id, id, quote): the characters whose centre lies under each quad, pieces trimmed and joined by a space."""
+def quoted_text(annots: DataFrame, runs: DataFrame, centres: Column | None = None) -> DataFrame:
+    """(doc_id, id, quote): the characters whose centre lies under each quad, pieces trimmed and joined by a space.
+
+    ``runs`` and ``centres`` are those of ``runs.text_under``.
+    """
     quads = (annots.where(F.col("type").isin(TEXT_MARKUP + ["redact"]))
              .select("doc_id", "page", "id", F.posexplode("quads").alias("quad", "q")).where(F.size("q") == 8))
     xs, ys = [F.col("q")[i] for i in (0, 2, 4, 6)], [F.col("q")[i] for i in (1, 3, 5, 7)]
     boxes = quads.select("doc_id", "page", "id", "quad", F.least(*xs).alias("bx0"), F.least(*ys).alias("by0"),
                          F.greatest(*xs).alias("bx1"), F.greatest(*ys).alias("by1"))
-    centred = chars.select("doc_id", "page", "block", "line", "seq", "c",
-                           ((F.col("x0") + F.col("x1")) / 2).alias("cx"), ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    under = (F.col("p.cx") >= F.col("b.bx0")) & (F.col("p.cx") < F.col("b.bx1")) & \
-            (F.col("p.cy") >= F.col("b.by0")) & (F.col("p.cy") < F.col("b.by1"))
-    hit = points_in_boxes(centred, boxes, ["doc_id", "page"], "cx", "cy", under)
-    pieces = hit.groupBy("doc_id", "page", "id", "quad", "line").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "c"))), lambda r: r["c"]), "").alias("t"))
+    pieces = text_under(runs, boxes, centres).groupBy("doc_id", "page", "id", "quad", "line").agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "seq", "t"))), lambda r: r["t"]), "").alias("t"))
     per_quad = pieces.groupBy("doc_id", "id", "quad").agg(strip(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("line", "t"))), lambda r: r["t"]), "\n")).alias("t"))
     return per_quad.where(F.col("t") != "").groupBy("doc_id", "id").agg(F.array_join(F.transform(

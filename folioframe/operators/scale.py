@@ -12,55 +12,73 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioframe.session import cut_lineage
+
 CHUNK = 65536
 _COMBINE = {"sum": F.sum, "min": F.min, "max": F.max}
 _MERGE = {"sum": lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)), "min": F.least, "max": F.greatest}
 
 
 def running(df: DataFrame, keys: list[str], pos: str, values: dict[str, tuple[str, Column]],
-            width: int = CHUNK, levels: int = 1) -> DataFrame:
-    """Running sum / min / max per key in the order of the whole number ``pos``.
+            width: int = CHUNK, levels: int = 1, own: bool = True) -> DataFrame:
+    """Running sum / min / max per key in the order of the whole number ``pos``; up to the row before with ``own`` false.
 
     ``values`` maps an output name to (sum | min | max, input column). Rows that share a position come in
     any order, so positions should be unique within a key. One task sees at most ``width`` neighbouring
-    positions, or one summary row per chunk of them; ``levels`` adds chunks of chunks.
+    positions, or one summary row per chunk of them; ``levels`` adds chunks of chunks. The input is read once: what a
+    chunk knows by itself is written to the checkpoint folder, and only its totals meet those of other chunks.
     """
+    upto = (Window.unboundedPreceding, Window.currentRow if own else -1)
     if levels == 0:
-        frame = Window.partitionBy(*keys).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        frame = Window.partitionBy(*keys).orderBy(pos).rowsBetween(*upto)
         return df.withColumns({out: _COMBINE[how](value).over(frame) for out, (how, value) in values.items()})
-    chunk = f"_chunk{levels}"
-    inner = Window.partitionBy(*keys, chunk).orderBy(pos).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    chunk, first = f"_chunk{levels}", f"_first{levels}"
+    inside = Window.partitionBy(*keys, chunk)
+    sums = {out: _COMBINE[how](value).over(inside.orderBy(pos).rowsBetween(*upto)) for out, (how, value) in values.items()}
+    totals = {f"_t_{out}": _COMBINE[how](value).over(inside) for out, (how, value) in values.items()}
     chunked = df.withColumn(chunk, F.floor(F.col(pos) / width))
-    local = chunked.withColumns({out: _COMBINE[how](value).over(inner) for out, (how, value) in values.items()})
-    totals = chunked.groupBy(*keys, chunk).agg(
-        *[_COMBINE[how](value).alias(f"_t_{out}") for out, (how, value) in values.items()])
-    # The total of all chunks before this one: shift the summary by one chunk, then run over it.
-    slots = totals.select(*keys, chunk).join(
-        totals.withColumn(chunk, F.col(chunk) + 1), [*keys, chunk], "full")
-    before = running(slots, keys, chunk, {f"_b_{out}": (how, F.col(f"_t_{out}")) for out, (how, _) in values.items()},
-                     width, levels - 1).select(*keys, chunk, *[f"_b_{out}" for out in values])
+    held = cut_lineage(chunked.withColumns({**sums, **totals, first: F.row_number().over(inside.orderBy(pos)) == 1}))
+    heads = held.where(first).select(*keys, chunk, *totals)
+    before = running(heads, keys, chunk, {f"_b_{out}": (how, F.col(f"_t_{out}")) for out, (how, _) in values.items()},
+                     width, levels - 1, False).select(*keys, chunk, *[f"_b_{out}" for out in values])
     merged = {out: _MERGE[how](F.col(out), F.col(f"_b_{out}")) for out, (how, _) in values.items()}
-    return (local.join(before, [*keys, chunk], "left").withColumns(merged)
+    return (held.drop(first, *totals).join(before, [*keys, chunk], "left").withColumns(merged)
             .drop(chunk, *[f"_b_{out}" for out in values]))
 
 
+def running_through(df: DataFrame, order: str, value: Column, out: str) -> DataFrame:
+    """Running sum through the whole table in the order of ``order``, whatever its values: no key, no gaps to mind.
+
+    The table is cut into ranges of about equal row counts, one a shuffle partition. A range sums up by itself; the driver gets
+    one sum a range and gives back one offset a range.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    inside = Window.partitionBy("_range").orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    held = cut_lineage(df.repartitionByRange(parts, order).withColumn("_range", F.spark_partition_id()).withColumn(out, F.sum(value).over(inside)))
+    sums = sorted((r["_range"], r["n"] or 0) for r in held.groupBy("_range").agg(F.max_by(out, order).alias("n")).collect())
+    offsets = [(k, sum(n for _, n in sums[:i])) for i, (k, _) in enumerate(sums)]
+    before = spark.createDataFrame(offsets, "_range int, _before bigint")
+    return held.join(F.broadcast(before), "_range").withColumn(out, F.col(out) + F.col("_before")).drop("_range", "_before")
+
+
 def previous(df: DataFrame, keys: list[str], pos: str, columns: list[str], prefix: str = "prev_",
              width: int = CHUNK, levels: int = 1) -> DataFrame:
-    """The values of the row before, per key in the order of ``pos``, without one task per key."""
+    """The values of the row before, per key in the order of ``pos``, without one task per key; the input is read once."""
     packed = F.struct(*[F.col(c) for c in columns])
     if levels == 0:
         out = df.withColumn("_prev", F.lag(packed).over(Window.partitionBy(*keys).orderBy(pos)))
     else:
         chunk = f"_chunk{levels}"
-        chunked = df.withColumn(chunk, F.floor(F.col(pos) / width))
-        last = chunked.groupBy(*keys, chunk).agg(F.max_by(packed, F.col(pos)).alias("_last"))
-        carried = previous(last, keys, chunk, ["_last"], "_c_", width, levels - 1).select(*keys, chunk, "_c__last")
-        inner = Window.partitionBy(*keys, chunk).orderBy(pos)
-        out = (chunked.withColumn("_in", F.lag(packed).over(inner))
-               .withColumn("_first", F.row_number().over(inner) == 1)
-               .join(carried, [*keys, chunk], "left")
-               .withColumn("_prev", F.when(F.col("_first"), F.col("_c__last")).otherwise(F.col("_in")))
-               .drop(chunk, "_in", "_first", "_c__last"))
+        inside = Window.partitionBy(*keys, chunk)
+        held = cut_lineage(df.withColumn(chunk, F.floor(F.col(pos) / width)).withColumns({
+            "_in": F.lag(packed).over(inside.orderBy(pos)), "_head": F.row_number().over(inside.orderBy(pos)) == 1,
+            "_last": F.max_by(packed, F.col(pos)).over(inside)}))
+        carried = previous(held.where("_head").select(*keys, chunk, "_last"), keys, chunk, ["_last"], "_c_", width, levels - 1).select(
+            *keys, chunk, "_c__last")
+        out = (held.drop("_last").join(carried, [*keys, chunk], "left")
+               .withColumn("_prev", F.when(F.col("_head"), F.col("_c__last")).otherwise(F.col("_in")))
+               .drop(chunk, "_in", "_head", "_c__last"))
     return out.withColumns({f"{prefix}{c}": F.col("_prev")[c] for c in columns}).drop("_prev")
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions.text import SPACE, find_all, offsets_of, quote, squeeze, without_space
-from folioframe.operators.scale import first_per_key, points_in_boxes
+from folioframe.operators.runs import runs_in_boxes, text_under
+from folioframe.operators.scale import first_per_key
 
 
 def page_texts(chars: DataFrame) -> DataFrame:
@@ -89,8 +90,8 @@ def relaxed_hits(chars: DataFrame, needle: str) -> DataFrame:
         "doc_id", "page", "hit", "part", "b.x0", "b.y0", "b.x1", "b.y1")
 
 
-def exact_boxes(chars: DataFrame, lines: DataFrame, hits: DataFrame) -> DataFrame:
-    """Boxes of exact hits, one for each line that a hit touches: (doc_id, page, hit, part, x0, y0, x1, y1)."""
+def line_parts(lines: DataFrame, hits: DataFrame) -> DataFrame:
+    """The part of each exact hit in each line it touches: (doc_id, page, hit, line, a, b), places in the line's text."""
     # Where each line starts in the page text, from the lengths of the lines before it (a page at most).
     ordered = lines.groupBy("doc_id", "page").agg(F.array_sort(F.collect_list(
         F.struct("line", F.length("text").alias("n")))).alias("ls"))
@@ -99,11 +100,33 @@ def exact_boxes(chars: DataFrame, lines: DataFrame, hits: DataFrame) -> DataFram
         lambda acc, r: F.array_append(acc, F.struct(
             r["line"].alias("line"), F.coalesce(F.try_element_at(acc, F.lit(-1))["next"], F.lit(0)).alias("at"),
             (F.coalesce(F.try_element_at(acc, F.lit(-1))["next"], F.lit(0)) + r["n"] + 1).alias("next"))))).alias("s"))
-    parts = (hits.alias("h").join(starts.alias("l"), ["doc_id", "page"])
-             .where((F.col("h.start") < F.col("l.s.next") - 1) & (F.col("h.end") > F.col("l.s.at")))
-             .select("doc_id", "page", "hit", F.col("l.s.line").alias("line"),
-                     F.greatest(F.col("h.start") - F.col("l.s.at"), F.lit(0)).alias("a"),
-                     (F.col("h.end") - F.col("l.s.at")).alias("b")))
+    return (hits.alias("h").join(starts.alias("l"), ["doc_id", "page"])
+            .where((F.col("h.start") < F.col("l.s.next") - 1) & (F.col("h.end") > F.col("l.s.at")))
+            .select("doc_id", "page", "hit", F.col("l.s.line").alias("line"),
+                    F.greatest(F.col("h.start") - F.col("l.s.at"), F.lit(0)).alias("a"),
+                    F.least(F.col("h.end") - F.col("l.s.at"), F.col("l.s.next") - 1 - F.col("l.s.at")).alias("b")))
+
+
+def edited_lines(lines: DataFrame, hits: DataFrame, replacement: str) -> DataFrame:
+    """The lines that exact hits touch, as they read afterwards: (doc_id, page, line, text, edits).
+
+    Each part of a hit in a line is replaced, so one across two lines sets the replacement in both. All replacements of a
+    line are spliced in at once, from their places in the old text.
+    """
+    parts = line_parts(lines, hits).groupBy("doc_id", "page", "line").agg(F.array_sort(F.collect_list(F.struct("a", "b"))).alias("ps"))
+
+    def piece(p, i):
+        last = F.coalesce(F.get("ps", i - 1)["b"], F.lit(0))
+        return F.concat(F.substring("text", last + 1, p["a"] - last), F.lit(replacement))
+
+    rest = F.substring("text", F.element_at("ps", -1)["b"] + 1, F.length("text"))
+    joined = parts.join(lines.select("doc_id", "page", "line", "text"), ["doc_id", "page", "line"])
+    return joined.select("doc_id", "page", "line", F.concat(F.array_join(F.transform("ps", piece), ""), rest).alias("text"), F.size("ps").alias("edits"))
+
+
+def exact_boxes(chars: DataFrame, lines: DataFrame, hits: DataFrame) -> DataFrame:
+    """Boxes of exact hits, one for each line that a hit touches: (doc_id, page, hit, part, x0, y0, x1, y1)."""
+    parts = line_parts(lines, hits)
     return (parts.alias("p").join(chars.alias("c"), ["doc_id", "page", "line"])
             .where((F.col("c.seq") >= F.col("p.a")) & (F.col("c.seq") < F.col("p.b")))
             .groupBy("doc_id", "page", "hit", F.col("line").alias("part"))
@@ -124,44 +147,33 @@ def search(chars: DataFrame, lines: DataFrame, needle: str) -> DataFrame:
             .unionByName(loose.withColumn("relaxed", F.lit(True)).select(*order)))
 
 
-def text_in(chars: DataFrame, boxes: DataFrame, ids: list[str]) -> DataFrame:
+def text_in(runs: DataFrame, boxes: DataFrame, ids: list[str], centres: Column | None = None) -> DataFrame:
     """The characters whose centre lies in a box (half open), joined in reading order: (doc_id, page, ids, text)."""
     rects = boxes.select("doc_id", "page", *ids, F.col("x0").alias("bx0"), F.col("y0").alias("by0"),
                          F.col("x1").alias("bx1"), F.col("y1").alias("by1"))
-    centred = chars.select("doc_id", "page", "line", "seq", "c", ((F.col("x0") + F.col("x1")) / 2).alias("cx"),
-                           ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    inside = (F.col("p.cx") >= F.col("b.bx0")) & (F.col("p.cx") < F.col("b.bx1")) & \
-             (F.col("p.cy") >= F.col("b.by0")) & (F.col("p.cy") < F.col("b.by1"))
-    hit = points_in_boxes(centred, rects, ["doc_id", "page"], "cx", "cy", inside)
-    return hit.groupBy("doc_id", "page", *ids).agg(_joined(F.struct("line", "seq", "c")).alias("text"))
+    return text_under(runs, rects, centres).groupBy("doc_id", "page", *ids).agg(_joined("t").alias("text"))
 
 
-def _joined(item: Column) -> Column:
-    return F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda r: r["c"]), "")
+def _joined(piece: str) -> Column:
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "seq", piece))), lambda r: r[piece]), "")
 
 
-def hit_contexts(hits: DataFrame, chars: DataFrame, needle: str, before: int = 24, after: int = 70,
-                 limit: int | None = None) -> DataFrame:
-    """The words round each hit, from the same line band: context, offset and length of the hit in it.
+def hit_contexts(hits: DataFrame, runs: DataFrame, needle: str, before: int = 24, after: int = 70,
+                 limit: int | None = None, centres: Column | None = None) -> DataFrame:
+    """The words round each hit, exact or relaxed, from the same line band: context, offset and length of the hit in it.
 
     The band is the middle of the box, so neighbouring lines do not leak in. Every hit gets a context; with
     ``limit`` only the first ones of each document, as in a result list on screen.
     """
     listed = first_per_key(hits, ["doc_id"], [F.col("page"), F.col("hit"), F.col("part")], limit, "rank") if limit else hits
     inset = (F.col("y1") - F.col("y0")) * 0.3
-    ids = ["hit", "part", "hx0", "hx1"]
-    bands = listed.select("doc_id", "page", "hit", "part", F.col("x0").alias("hx0"), F.col("x1").alias("hx1"),
-                          F.lit(float("-inf")).alias("bx0"), (F.col("y0") + inset).alias("by0"),
-                          F.lit(float("inf")).alias("bx1"), (F.col("y1") - inset).alias("by1"))
-    centred = chars.select("doc_id", "page", "line", "seq", "c", ((F.col("x0") + F.col("x1")) / 2).alias("cx"),
-                           ((F.col("y0") + F.col("y1")) / 2).alias("cy"))
-    inside = (F.col("p.cy") >= F.col("b.by0")) & (F.col("p.cy") < F.col("b.by1"))
-    near = points_in_boxes(centred, bands, ["doc_id", "page"], "cx", "cy", inside)
-    spot = F.when(F.col("cx") < F.col("hx0"), 0).when(F.col("cx") < F.col("hx1"), 1).otherwise(2)
-    cut = near.withColumn("_spot", spot).groupBy("doc_id", "page", *ids).agg(*[
-        F.coalesce(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(
-            F.col("_spot") == k, F.struct("line", "seq", "c")))), lambda r: r["c"]), ""), F.lit("")).alias(name)
-        for k, name in enumerate(("b", "w", "a"))])
+    ids = [c for c in ("relaxed", "hit", "part") if c in hits.columns]
+    bands = listed.select("doc_id", "page", *ids, F.col("x0").alias("bx0"), (F.col("y0") + inset).alias("by0"),
+                          F.col("x1").alias("bx1"), (F.col("y1") - inset).alias("by1"))
+    met = runs_in_boxes(runs, bands, centres)
+    sides = {"_b": F.left("text", F.col("a")), "_w": F.substring("text", F.col("a") + 1, F.col("b") - F.col("a")),
+             "_a": F.substring("text", F.col("b") + 1, F.length("text"))}
+    cut = met.withColumns(sides).groupBy("doc_id", "page", *ids).agg(*[_joined(f"_{k}").alias(k) for k in "bwa"])
 
     def one_line(text):
         flat = squeeze(text)
@@ -172,7 +184,7 @@ def hit_contexts(hits: DataFrame, chars: DataFrame, needle: str, before: int = 2
     left = F.right(one_line(F.col("b")), F.lit(before))
     word = F.when(squeeze(F.col("w")) == "", needle).otherwise(squeeze(F.col("w")))
     right = F.rtrim(F.left(one_line(F.col("a")), F.lit(after)))
-    return cut.select("doc_id", "page", "hit", "part", F.concat(left, word, right).alias("context"),
+    return cut.select("doc_id", "page", *ids, F.concat(left, word, right).alias("context"),
                       F.length(left).alias("at"), F.length(word).alias("size"))
 
 

@@ -487,6 +487,7 @@ def list_markers(paras: DataFrame, levels: DataFrame) -> DataFrame:
     """
     keys = ["doc_id", "list_id"]
     deep = range(9)
+    paras = cut_lineage(paras)  # read three times below
     defs = levels.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(
         F.col("lvl"), F.struct("fmt", "template", "start").alias("d")))).alias("defs"))
     first = paras.groupBy(*keys, "num_id").agg(F.min("seq").alias("_first"))

@@ -118,6 +118,19 @@ def span_chars(placed: DataFrame) -> DataFrame:
                     "y0", (F.col("x0") + half * (F.col("seq") + 1)).alias("x1"), "y1"))
 
 
+def runs(placed: DataFrame) -> DataFrame:
+    """The spans as runs of characters, for ``centres``."""
+    return placed.select("doc_id", "page", "block", "line", F.lit(0).alias("seq"), "text", ((F.col("y0") + F.col("y1")) / 2).alias("cy"), "size",
+                         F.col("x0").alias("left"))
+
+
+def centres():
+    """Centres of the characters of ``runs``."""
+    half = F.col("size") * 0.5
+    return F.transform(F.sequence(F.lit(0), F.length("text") - 1),
+                       lambda i: ((F.col("left") + half * i) + (F.col("left") + half * (i + 1))) / 2)
+
+
 CHARS = SPANS + """,
 chars AS (SELECT doc_id, page, block, line, seq, substr(text, seq + 1, 1) AS c,
                  bx + size * 0.5 * seq AS x0, y0, bx + size * 0.5 * (seq + 1) AS x1, y1

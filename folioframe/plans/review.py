@@ -145,7 +145,7 @@ def _highlights(spark, folder):
 
 @query("quoted_text", sql(_QUADS, "SELECT doc_id, id, quote FROM quoted WHERE quote <> ''"))
 def quoted_text(spark, folder):
-    return review.quoted_text(_highlights(spark, folder), corpus.chars(spark, folder))
+    return review.quoted_text(_highlights(spark, folder), corpus.runs(corpus.spans(spark, folder)), corpus.centres())
 
 
 def _report_inputs(spark, folder):

@@ -90,17 +90,44 @@ def search_hits(spark, folder):
     return _found(spark, folder)
 
 
-@query("search_contexts", sql(_BOXES, r"""
-SELECT doc_id, page, hit, part, bb || w || aa AS context, length(bb) AS at, length(w) AS size FROM (
- SELECT doc_id, page, hit, part, right(one_b, 24) AS bb, trim(substr(lt, a + 1, b - a)) AS w, rtrim(left(one_a, 70)) AS aa FROM (
+@query("search_contexts", sql(_ALL_HITS, r""",
+every_hit AS (SELECT doc_id, page, relaxed, hit, part, a, b, lt FROM exact UNION ALL
+         SELECT l.doc_id, l.page, true, l.hit, l.part, CAST(round((l.x0 - s.x0) / (s.size * 0.5)) AS BIGINT), CAST(round((l.x1 - s.x0) / (s.size * 0.5)) AS BIGINT), s.text
+         FROM loose l JOIN span s ON s.doc_id = l.doc_id AND s.page = l.page AND s.y0 = l.y0)
+SELECT doc_id, page, relaxed, hit, part, bb || w || aa AS context, length(bb) AS at, length(w) AS size FROM (
+ SELECT doc_id, page, relaxed, hit, part, right(one_b, 24) AS bb, trim(regexp_replace(substr(lt, a + 1, b - a), '\s+', ' ', 'g')) AS w, rtrim(left(one_a, 70)) AS aa FROM (
   SELECT *, CASE WHEN fb = '' THEN '' ELSE CASE WHEN regexp_matches(rb, '^\s') THEN ' ' ELSE '' END || fb || CASE WHEN rb LIKE '% ' THEN ' ' ELSE '' END END AS one_b,
          CASE WHEN fa = '' THEN '' ELSE CASE WHEN regexp_matches(ra, '^\s') THEN ' ' ELSE '' END || fa || CASE WHEN ra LIKE '% ' THEN ' ' ELSE '' END END AS one_a FROM (
-   SELECT doc_id, page, hit, part, a, b, lt, substr(lt, 1, a) AS rb, substr(lt, b + 1) AS ra, trim(regexp_replace(substr(lt, 1, a), '\s+', ' ', 'g')) AS fb,
-          trim(regexp_replace(substr(lt, b + 1), '\s+', ' ', 'g')) AS fa FROM exact)))"""))
+   SELECT *, substr(lt, 1, a) AS rb, substr(lt, b + 1) AS ra, trim(regexp_replace(substr(lt, 1, a), '\s+', ' ', 'g')) AS fb,
+          trim(regexp_replace(substr(lt, b + 1), '\s+', ' ', 'g')) AS fa FROM every_hit)))""").replace("\n,\nevery_hit", ",\nevery_hit"))
 def search_contexts(spark, folder):
+    """Every hit, exact or relaxed, with the words round it."""
     near = _gated(spark, folder, NEEDLE)
-    chars = corpus.span_chars(near)
-    return S.hit_contexts(S.exact_boxes(chars, near, S.exact_hits(near, NEEDLE)), chars, NEEDLE)
+    return S.hit_contexts(S.search(corpus.span_chars(near), near, NEEDLE), corpus.runs(near), NEEDLE, centres=corpus.centres())
+
+
+@query("search_relaxed_contexts", sql(corpus.CHARS + ",\nallp AS (SELECT DISTINCT doc_id, page FROM span)," + _relaxed_sql(LOOSE, "allp"), r""",
+cut AS (SELECT l.doc_id, l.page, hit, part, s.text AS lt, CAST(round((l.x0 - s.x0) / (s.size * 0.5)) AS BIGINT) AS a, CAST(round((l.x1 - s.x0) / (s.size * 0.5)) AS BIGINT) AS b
+        FROM loose l JOIN span s ON s.doc_id = l.doc_id AND s.page = l.page AND s.y0 = l.y0)
+SELECT doc_id, page, hit, part, length(bb) AS at, w FROM (SELECT *, trim(regexp_replace(substr(lt, a + 1, b - a), '\s+', ' ', 'g')) AS w, right(CASE WHEN fb = '' THEN '' ELSE
+   CASE WHEN regexp_matches(rb, '^\s') THEN ' ' ELSE '' END || fb || CASE WHEN rb LIKE '% ' THEN ' ' ELSE '' END END, 24) AS bb
+ FROM (SELECT *, substr(lt, 1, a) AS rb, trim(regexp_replace(substr(lt, 1, a), '\s+', ' ', 'g')) AS fb FROM cut))""").replace("\n,\ncut", ",\ncut"))
+def search_relaxed_contexts(spark, folder):
+    """Contexts of a phrase that only the relaxed search finds, blanks and line ends inside it."""
+    near = _gated(spark, folder, LOOSE)
+    found = S.hit_contexts(S.relaxed_hits(corpus.span_chars(near), LOOSE), corpus.runs(near), LOOSE, centres=corpus.centres())
+    return found.select("doc_id", "page", "hit", "part", "at", F.substring("context", F.col("at") + 1, F.col("size")).alias("w"))
+
+
+@query("search_replaced_lines", sql(_BOXES, """,
+spot AS (SELECT doc_id, page, part AS line, a, b, lt, row_number() OVER (PARTITION BY doc_id, page, part ORDER BY a) AS k,
+                coalesce(lag(b) OVER (PARTITION BY doc_id, page, part ORDER BY a), 0) AS p FROM exact)
+SELECT doc_id, page, line, string_agg(substr(lt, p + 1, a - p) || 'for some', '' ORDER BY k) || substr(any_value(lt), max(b) + 1) AS text, count(*) AS edits
+FROM spot GROUP BY 1, 2, 3""").replace("\n,\nspot", ",\nspot"))
+def search_replaced_lines(spark, folder):
+    """The lines as they read after replacing the phrase."""
+    near = _gated(spark, folder, NEEDLE)
+    return S.edited_lines(near, S.exact_hits(near, NEEDLE), "for some")
 
 
 @query("search_highlights", sql(_ALL_HITS, """
@@ -136,7 +163,7 @@ WHERE (x0 + x1) / 2 >= 100 AND (x0 + x1) / 2 < 300 AND (y0 + y1) / 2 >= 220 AND
 def text_in_boxes(spark, folder):
     boxes = corpus.page_table(spark, folder).select("doc_id", "page", F.lit(100.0).alias("x0"), F.lit(220.0).alias("y0"),
                                                     F.lit(300.0).alias("x1"), F.lit(270.0).alias("y1"))
-    return S.text_in(corpus.chars(spark, folder), boxes, [])
+    return S.text_in(corpus.runs(corpus.spans(spark, folder)), boxes, [], corpus.centres())
 
 
 # ---------------------------------------------------------------- running text
