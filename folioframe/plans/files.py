@@ -74,6 +74,22 @@ def xfdf_round_trip(spark, folder):
         F.count_if(shaped).alias("shaped"))
 
 
+@query("xfdf_rejects", sql(_XFDF, """
+SELECT doc_id, tag, problem, count(*) AS elements FROM (
+ SELECT doc_id, tag, CASE event_id % 7 WHEN 0 THEN 'opacity' WHEN 1 THEN 'rect' WHEN 2 THEN 'page' END AS problem FROM mk WHERE event_id % 7 < 3
+ UNION ALL SELECT doc_id, 'text', CASE event_id % 7 WHEN 1 THEN 'rect' WHEN 2 THEN 'page' END FROM mk WHERE event_id % 6 = 0 AND event_id % 7 IN (1, 2)) GROUP BY 1, 2, 3"""))
+def xfdf_rejects(spark, folder):
+    """Files in which some numbers were spoilt: what is wrong with the elements that give no mark."""
+    path = scratch_folder(spark, "xfdf")
+    event = F.col("id").try_cast("bigint") % 7
+    spoilt = (F.when(event == 0, F.replace("line", F.lit(' opacity="0.5"'), F.lit(' opacity="abc"')))
+              .when(event == 1, F.regexp_replace("line", ' rect="[^,]*,', ' rect="'))
+              .when(event == 2, F.regexp_replace("line", ' page="', ' page="p')).otherwise(F.col("line")))
+    files.write_lines(_xfdf(spark, folder).withColumn("line", spoilt), path, ["page", "y", "x", "id", "pos"])
+    bad = xfdf.rejects(xfdf.read_nodes(spark, path)).withColumn("doc_id", F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint"))
+    return bad.groupBy("doc_id", "tag", "problem").agg(F.count("*").alias("elements"))
+
+
 @query("report_files", sql(corpus.ANNOT, """
 SELECT doc_id, count(*) + count(DISTINCT page) * 3 + 4 AS lines FROM (
  SELECT doc_id, page FROM annot UNION ALL SELECT doc_id, page FROM annot UNION ALL SELECT doc_id, page FROM annot
@@ -88,6 +104,23 @@ def report_files(spark, folder):
     return spark.read.text(path).groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.count("*").alias("lines"))
 
 
+@query("report_shards", sql(corpus.ANNOT, """
+SELECT doc_id, count(*) + count(DISTINCT page) * 3 + 4 AS lines, 8 AS files FROM (
+ SELECT doc_id, page FROM annot UNION ALL SELECT doc_id, page FROM annot UNION ALL SELECT doc_id, page FROM annot
+ UNION ALL SELECT doc_id, page FROM annot UNION ALL SELECT doc_id, page FROM annot WHERE text <> ''
+ UNION ALL SELECT doc_id, page FROM annot WHERE event_id % 6 = 0 UNION ALL SELECT doc_id, page FROM annot WHERE event_id % 6 = 0) GROUP BY 1"""))
+def report_shards(spark, folder):
+    """The same reports in eight files, found again through their index."""
+    from folioframe.plans.review import _report_inputs
+
+    path = scratch_folder(spark, "shards")
+    index = files.write_shards(V.markdown_lines(*_report_inputs(spark, folder)), path, ["page", "_y", "_x", "id", "part", "pos"], 8)
+    total = spark.read.text(path).groupBy("shard").agg(F.count("*").alias("n"))
+    whole = index.groupBy("shard").agg(F.sum("lines").alias("held"), F.max(F.col("first_line") + F.col("lines")).alias("end"))
+    sound = total.join(whole, "shard").where((F.col("n") == F.col("held")) & (F.col("n") == F.col("end"))).agg(F.count("*").cast("int").alias("files"))
+    return index.groupBy("doc_id").agg(F.sum("lines").alias("lines")).crossJoin(F.broadcast(sound))
+
+
 @query("chart_series", """
 WITH s AS (SELECT l_suppkey, l_returnflag, l_linenumber, CAST(sum(l_quantity) AS BIGINT) AS q FROM lineitem GROUP BY 1, 2, 3)
 SELECT c.l_suppkey AS chart, CASE c.l_returnflag WHEN 'A' THEN 0 WHEN 'N' THEN 1 ELSE 2 END AS series, c.l_returnflag AS name, i AS idx, 'L' || i AS cat, CAST(s.q AS DOUBLE) AS val

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from folioframe.session import cut_lineage
 
 IMAGE_ENDINGS = ["png", "jpg", "jpeg", "gif", "bmp", "tif", "tiff", "webp"]
 TEXT_ENDINGS = ["txt", "csv", "md"]
@@ -77,6 +80,22 @@ def write_lines(lines: DataFrame, path: str, order: list[str], key: str = "doc_i
     ranged.select(key, F.col("line").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 
+def write_shards(lines: DataFrame, path: str, order: list[str], shards: int, key: str = "doc_id") -> DataFrame:
+    """Write report lines into a bounded number of files, whatever the number of documents, and where each is: the index.
+
+    The lines are cut into ``shards`` ranges of about equal length; each is one sorted file in ``shard=<n>``. The index
+    (``key``, shard, first_line, lines) is written to ``_index`` beside them and returned: a document may go on in the next shard.
+    """
+    ranged = lines.repartitionByRange(shards, key, *order).withColumn("shard", F.spark_partition_id())
+    held = cut_lineage(ranged.sortWithinPartitions("shard", key, *order))
+    height = F.length("line") - F.length(F.replace("line", F.lit("\n"))) + 1  # a value may hold line feeds
+    upto = F.sum(height).over(Window.partitionBy("shard").orderBy(key, *order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    held.sortWithinPartitions("shard", key, *order).select("shard", F.col("line").alias("value")).write.mode("overwrite").partitionBy("shard").text(path)
+    (held.withColumns({"_at": upto - height, "_n": height}).groupBy(key, "shard").agg(F.min("_at").alias("first_line"), F.sum("_n").alias("lines"))
+     .write.mode("overwrite").parquet(f"{path}/_index"))
+    return held.sparkSession.read.parquet(f"{path}/_index")
+
+
 def write_table(table: DataFrame, path: str, partition: str | None = None) -> None:
     """A table as CSV with a header, in folders by one column where asked."""
     writer = table.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"')

@@ -1,4 +1,8 @@
-"""Marks exchanged as XFDF: one file per document, page coordinates counted from the bottom left."""
+"""Marks exchanged as XFDF: one file per document, page coordinates counted from the bottom left.
+
+Files come from outside: an element that is no XML, or whose numbers are none, gives a row of ``rejects`` and no mark, and
+the job goes on. Elements keep the order of the file, whatever their kinds.
+"""
 
 from __future__ import annotations
 
@@ -7,31 +11,60 @@ from pyspark.sql import functions as F
 
 from folioframe.functions.labels import STATE_NAMES, TYPE_LABELS, body_text, lookup
 from folioframe.functions.text import escape_markup, strip
+from folioframe.sources.files import read_texts
 
-TAGS = sorted(set(TYPE_LABELS) | {"text"})
+TAGS = sorted(set(TYPE_LABELS) | {"text"}, key=lambda t: (-len(t), t))
 _ATTRIBUTES = ["page", "rect", "color", "interior-color", "opacity", "width", "title", "subject", "creationdate", "state",
                "coords", "vertices", "inklist"]
-_NODE = "struct<" + ",".join(f"`_{a}`:string" for a in _ATTRIBUTES) + ",contents:string>"
-SCHEMA = ", ".join(f"`{t}` array<{_NODE}>" for t in TAGS)
+_NODE = ", ".join(f"`_{a}` string" for a in _ATTRIBUTES) + ", contents string, _corrupt string"
+# A start tag with its quoted values, and all up to the end tag of the same name; marked sections may hold anything.
+_ELEMENT = (rf"<({'|'.join(TAGS)})(?=[\s/>])(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+(?:(?<=/)>|>(?:[^<]++|<!\[CDATA\[(?s:.*?)\]\]>|<(?!/\1\s*>))*+</\1\s*>)")
+_NUMBER = r"^\s*[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\s*$"
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """(path, seq, tag, node attributes, contents): the mark elements of all files; other elements are left out."""
-    files = (spark.read.format("xml").option("rowTag", "annots").option("attributePrefix", "_").option("ignoreNamespace", "true")
-             .schema(SCHEMA).load(path).withColumn("path", F.input_file_name()))
-    parts = [files.select("path", F.lit(t).alias("tag"), F.posexplode(F.col(f"`{t}`")).alias("seq", "n")) for t in TAGS]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return every.select("path", "tag", "seq", *[F.col(f"n.`_{a}`").alias(a) for a in _ATTRIBUTES], F.col("n.contents").alias("contents"))
+    """(path, seq, tag, node attributes, contents, problem): the mark elements of all files in one scan, ``seq`` their place
+    in the file; other elements are left out. A long file may be cut between elements into several parts."""
+    text = F.regexp_replace("text", r"<!--(?s:.*?)-->", "")
+    inner = F.regexp_replace(text, r"^(?s:.*?)<(?:\w+:)?annots(?=[\s>])", "<annots")
+    nodes = read_texts(spark, path).select("path", F.posexplode(F.regexp_extract_all(inner, F.lit(_ELEMENT), F.lit(0))).alias("seq", "xml"))
+    options = {"attributePrefix": "_", "ignoreNamespace": "true", "ignoreSurroundingSpaces": "false",
+               "columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}
+    parsed = nodes.withColumn("n", F.from_xml("xml", _NODE, options))
+    return parsed.select("path", F.regexp_extract("xml", r"^<(\w+)", 1).alias("tag"), "seq", *[F.col(f"n.`_{a}`").alias(a) for a in _ATTRIBUTES],
+                         F.col("n.contents").alias("contents"), "xml", F.when(F.col("n._corrupt").isNotNull(), "xml").alias("problem")).withColumn(
+        "problem", F.coalesce("problem", _problem()))
+
+
+def _parts(text: Column, sep: str = ",") -> Column:
+    return F.filter(F.split(text, sep), lambda v: F.trim(v) != "")
+
+
+def _problem() -> Column:
+    """The first attribute that does not hold the numbers it should, or null."""
+    def broken(name: str, numbers: Column) -> Column:
+        return F.when(F.col(name).isNotNull() & F.exists(numbers, lambda v: ~v.rlike(_NUMBER)), name)
+
+    whole = F.when(F.col("page").isNotNull() & ~F.col("page").rlike(r"^\s*[0-9]{1,9}\s*$"), "page")
+    four = F.when(F.col("rect").isNotNull() & (F.size(_parts(F.col("rect"))) < 4), "rect")
+    one = [broken(c, F.array(c)) for c in ("opacity", "width")]
+    points = F.flatten(F.transform(F.filter(F.split("vertices", ";"), lambda p: F.contains(p, F.lit(","))), lambda p: F.slice(F.split(p, ","), 1, 2)))
+    inks = F.flatten(F.transform(F.split("inklist", ";"), lambda s: _parts(s)))
+    return F.coalesce(whole, four, broken("rect", _parts(F.col("rect"))), *one, broken("coords", _parts(F.col("coords"))),
+                      broken("vertices", points), broken("inklist", inks))
+
+
+def rejects(nodes: DataFrame) -> DataFrame:
+    """The elements that give no mark, with the attribute at fault (or xml) and the element as it stands."""
+    return nodes.where(F.col("problem").isNotNull()).drop(*_ATTRIBUTES, "contents")
 
 
 def _numbers(text: Column, sep: str = ",") -> Column:
-    return F.transform(F.filter(F.split(text, sep), lambda v: F.trim(v) != ""), lambda v: F.trim(v).cast("double"))
+    return F.transform(_parts(text, sep), lambda v: F.trim(v).try_cast("double"))
 
 
 def to_marks(nodes: DataFrame, pages: DataFrame) -> DataFrame:
-    """Elements as marks of the model. ``nodes`` needs doc_id; pages that do not exist drop their marks.
+    """Elements as marks of the model, but for ``rejects``. ``nodes`` needs doc_id; pages that do not exist drop their marks.
 
     Replies come back as notes of their own.
     """
@@ -48,12 +81,13 @@ def to_marks(nodes: DataFrame, pages: DataFrame) -> DataFrame:
         F.slice(coords, q * 8 + 1, F.lit(8)), lambda v, i: F.when(i % 2 == 0, v).otherwise(h - v))))
     points = F.when(F.col("vertices").isNotNull(), F.transform(
         F.filter(F.split("vertices", ";"), lambda p: F.contains(p, F.lit(","))),
-        lambda p: F.array(F.get(F.split(p, ","), F.lit(0)).cast("double"), h - F.get(F.split(p, ","), F.lit(1)).cast("double"))))
+        lambda p: F.array(F.get(F.split(p, ","), F.lit(0)).try_cast("double"), h - F.get(F.split(p, ","), F.lit(1)).try_cast("double"))))
     strokes = F.when(F.col("inklist").isNotNull(), F.filter(F.transform(F.split("inklist", ";"), lambda s: pairs(
         _numbers(s), F.greatest(F.floor(F.size(_numbers(s)) / 2).cast("int"), F.lit(1)))), lambda s: F.size(s) >= 2))
     state = lookup({v: k for k, v in STATE_NAMES.items()}, F.col("state"))
     said = strip(F.coalesce("contents", blank))
-    placed = nodes.withColumn("page", F.coalesce("page", F.lit("0")).cast("int")).join(
+    sound = nodes.where(F.col("problem").isNull())
+    placed = sound.withColumn("page", F.trim(F.coalesce("page", F.lit("0"))).try_cast("int")).join(
         pages.select("doc_id", "page", "height"), ["doc_id", "page"])
     return placed.select(
         "doc_id", "page", "seq", kind.alias("type"),
@@ -61,8 +95,8 @@ def to_marks(nodes: DataFrame, pages: DataFrame) -> DataFrame:
         F.coalesce("subject", blank).alias("subject"), said.alias("contents"), F.when(kind == "freetext", said).alias("text"),
         state.alias("state"), F.struct(
             F.coalesce("color", F.lit("#e0403a")).alias("stroke"), F.col("interior-color").alias("fill"),
-            F.coalesce(F.col("opacity").cast("double"), F.lit(1.0)).alias("opacity"),
-            F.coalesce(F.col("width").cast("double"), F.lit(1.0)).alias("width")).alias("style"),
+            F.coalesce(F.trim("opacity").try_cast("double"), F.lit(1.0)).alias("opacity"),
+            F.coalesce(F.trim("width").try_cast("double"), F.lit(1.0)).alias("width")).alias("style"),
         quads.alias("quads"), points.alias("points"), strokes.alias("strokes"))
 
 

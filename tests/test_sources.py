@@ -55,3 +55,30 @@ def test_lines_written_in_order(spark, tmp_path):
         text = "".join(p.read_text() for p in parts)
         assert text.startswith("﻿")
         assert [int(v) for v in text.lstrip("﻿").split()] == list(range(doc, 500, 3))
+
+
+def test_xfdf_keeps_the_order_and_rejects_what_is_no_number(spark, tmp_path):
+    (tmp_path / "a.xfdf").write_text(
+        '<?xml version="1.0"?><xfdf xmlns="http://ns.adobe.com/xfdf/"><fields><text page="9"/></fields><!-- <ink page="0"/> --><annots>'
+        '<text page="0" title=\'A "q" &amp; &lt;b> \'><contents>no&lt;te <![CDATA[</text> & ]]></contents></text><highlight page="0" opacity="abc"/>'
+        '<ink page="0" inklist="1,2;x,3"/><text page="0"/><square page="0" rect="1,2,3"/><circle page="1.5"/><polygon page="0" vertices="1,y;2,3"/>'
+        '<textual page="0"/><highlight page="0" coords="1,2,3,nan"/><line page="0" width=""/><square page=" 0 " width=" 2 "><popup page="0"/></square>'
+        '<circle page="0" title="a &nope; b"/></annots></xfdf>')
+    (tmp_path / "b.xfdf").write_text("no xml at all")
+    nodes = xfdf.read_nodes(spark, str(tmp_path)).withColumn("doc_id", F.lit(1).cast("bigint"))
+    bad = {r["seq"]: (r["tag"], r["problem"]) for r in xfdf.rejects(nodes).collect()}
+    assert bad == {1: ("highlight", "opacity"), 2: ("ink", "inklist"), 4: ("square", "rect"), 5: ("circle", "page"), 6: ("polygon", "vertices"),
+                   7: ("highlight", "coords"), 8: ("line", "width"), 10: ("circle", "xml")}
+    pages = spark.createDataFrame([(1, 0, 100.0)], "doc_id bigint, page int, height double")
+    got = [(r["seq"], r["type"], r["author"], r["contents"]) for r in xfdf.to_marks(nodes, pages).orderBy("seq").collect()]
+    assert got == [(0, "note", 'A "q" & <b> ', "no<te </text> &"), (3, "note", "", ""), (9, "square", "", "")]
+
+
+def test_reports_in_shards_with_an_index(spark, tmp_path):
+    df = spark.range(500).selectExpr("id % 7 AS doc_id", "id AS pos", "concat(id % 7, ' ', id) AS line")
+    index = files.write_shards(df, str(tmp_path / "out"), ["pos"], 3).collect()
+    held = {int(p.name.split("=")[1]): [f.read_text().splitlines() for f in p.glob("part-*")] for p in (tmp_path / "out").glob("shard=*")}
+    assert len(held) == 3 and all(len(x) == 1 for x in held.values())
+    for doc in range(7):
+        found = [held[r["shard"]][0][r["first_line"]: r["first_line"] + r["lines"]] for r in sorted(index, key=lambda r: r["shard"]) if r["doc_id"] == doc]
+        assert sum(found, []) == [f"{doc} {i}" for i in range(doc, 500, 7)]
