@@ -187,7 +187,10 @@ SIX_HOURS = 6 * 3600 * 1000000
 
 
 def _edit_stream(spark, folder):
-    events = E.read_events(spark, folder, "events", corpus.SCHEMAS["events"])
+    return _edits_of(E.read_events(spark, folder, "events", corpus.SCHEMAS["events"]))
+
+
+def _edits_of(events):
     return events.select(
         F.col("user_id").alias("doc_id"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_type") == "error", "delete").otherwise("update").alias("op"), (F.col("event_id") % 20).cast("string").alias("annot_id"),
@@ -248,9 +251,12 @@ def latest_marks_stream(spark, folder):
     return E.current_marks(E.to_table(E.latest_state(_edit_stream(spark, folder)), name="latest"))
 
 
-@query("expired_drafts_stream", """
-SELECT user_id AS doc_id, arg_max(event_id, (epoch_us(ts) // 1000, event_id)) AS seq, max(epoch_us(ts) // 1000) AS saved_ms FROM events GROUP BY 1
-HAVING max(ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
+_EXPIRED = _SESSIONS.format(gap=24 * 3600 * 1000000) + """
+SELECT doc_id, arg_max(seq, (epoch_us(ts) // 1000, seq)) AS seq, max(epoch_us(ts) // 1000) AS saved_ms FROM ses GROUP BY doc_id, k
+HAVING max(ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM edit) - INTERVAL {late}"""
+
+
+@query("expired_drafts_stream", sql(_EXPIRED.replace("{late}", "1 HOUR"), ""))
 def expired_drafts_stream(spark, folder):
     """Drafts of documents without a save for a day, as the stream's time passes their limit."""
     return E.to_table(E.expired_drafts(_edit_stream(spark, folder), days=1), name="expired")
@@ -262,3 +268,71 @@ def deduplicated_stream(spark, folder):
     twice = _edit_stream(spark, folder).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1))))
     once = E.to_table(E.without_duplicates(twice, ["doc_id", "seq"]), name="once")
     return once.groupBy("doc_id").agg(F.count("*").alias("edits"))
+
+
+# ---------------------------------------------------------------- the same streams over four deliveries
+
+_LATE = "1 day"
+
+
+def _replayed(spark, folder, run):
+    """The edits in four deliveries by time: of the last twelve hours of each, one in eleven comes late, with the next, and one
+    in thirteen comes again with it. The stream is started anew for each."""
+    week, half_day = 7.5 * 86400, 43200
+    at = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 - 1704067200
+    events = corpus.load(spark, folder, "events").withColumn("part", F.least(F.floor(at / week), F.lit(3)).cast("int"))
+    near_end = (at - F.col("part") * week > week - half_day) & (F.col("part") < 3)
+    key = F.col("event_id")
+    parts = F.when(near_end & (key % 11 == 0), F.array(F.col("part") + 1)).when(
+        near_end & (key % 13 == 0), F.array(F.col("part"), F.col("part") + 1)).otherwise(F.array("part"))
+    return E.replay(events.withColumn("part", F.explode(parts)), "part", [0, 1, 2, 3], lambda stream: run(_edits_of(stream)))
+
+
+@query("edit_sessions_deliveries", sql(_SESSIONS.format(gap=SIX_HOURS), """
+SELECT doc_id, count(*) AS edits, min(seq) AS first_seq, max(seq) AS last_seq FROM ses GROUP BY doc_id, k
+HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM edit) - INTERVAL 1 DAY"""))
+def edit_sessions_deliveries(spark, folder):
+    """Repeated edits are dropped before sessions are counted, late ones join theirs."""
+    out = scratch_folder(spark, "sessions")
+
+    def run(edits):
+        once = E.without_duplicates(edits, ["doc_id", "seq"], _LATE)
+        return E.to_table(E.typing_sessions(once, "6 hours", None), out=out)
+
+    return _replayed(spark, folder, run).select("doc_id", "edits", "first_seq", "last_seq")
+
+
+@query("save_points_deliveries", sql(_SAVES, """
+SELECT doc_id, max(seq) AS seq, max_by(after, seq) AS after FROM (SELECT * REPLACE ('a' || (seq // 40 % 3) AS after) FROM ses) GROUP BY doc_id, k
+HAVING max(till) <= (SELECT max(ts) FROM edit) - INTERVAL 1 DAY"""))
+def save_points_deliveries(spark, folder):
+    out = scratch_folder(spark, "saves")
+    run = lambda edits: E.to_table(E.save_points(edits.withColumn("busy", F.col("seq") % 4 == 0), "4 hours", "8 hours", _LATE), out=out)
+    return _replayed(spark, folder, run).select("doc_id", "seq", "after")
+
+
+@query("latest_marks_deliveries", """
+SELECT user_id AS doc_id, CAST(event_id % 20 AS VARCHAR) AS annot_id, 'a' || (event_id // 40 % 3) AS after, event_id AS seq FROM (
+ SELECT *, row_number() OVER (PARTITION BY user_id, event_id % 20 ORDER BY event_id DESC) AS rn FROM events) WHERE rn = 1 AND event_type <> 'error'""")
+def latest_marks_deliveries(spark, folder):
+    """The marks that are held after four triggers, each combined before it meets the state."""
+    target = scratch_folder(spark, "marks")
+
+    def run(edits):
+        E.merge_latest(edits, target)
+        return E.merged_marks(spark, target)
+
+    return _replayed(spark, folder, run)
+
+
+@query("expired_drafts_deliveries", sql(_EXPIRED.replace("{late}", "1 DAY"), ""))
+def expired_drafts_deliveries(spark, folder):
+    out = scratch_folder(spark, "expired")
+    return _replayed(spark, folder, lambda edits: E.to_table(E.expired_drafts(edits, 1, _LATE), out=out))
+
+
+@query("deduplicated_deliveries", "SELECT user_id AS doc_id, count(*) AS edits FROM (SELECT DISTINCT user_id, event_id FROM events) GROUP BY 1")
+def deduplicated_deliveries(spark, folder):
+    out = scratch_folder(spark, "once")
+    once = _replayed(spark, folder, lambda edits: E.to_table(E.without_duplicates(edits, ["doc_id", "seq"], _LATE), out=out))
+    return once.groupBy("doc_id").agg(F.count("*").alias("edits"))
