@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from folioframe.session import cut_lineage
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _star(edges: DataFrame, large: bool, parts: int | None = None) -> DataFrame:
     """Join the neighbours of each node to its least neighbour: the greater ones (``large``), or the lesser ones and itself."""
     if large:
         near = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -19,19 +19,22 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         joined = edges.join(least, "u")
         moved = (joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(least.select("u", F.col("m").alias("v"))))
-    return moved.where(F.col("u") > F.col("v")).distinct()
+    moved = moved.where(F.col("u") > F.col("v"))
+    return (moved.coalesce(parts).distinct().coalesce(parts) if parts else moved.distinct())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, per_task: int | None = None) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v): ``root`` is the least node that it is connected with.
 
     Null ends and loops are left out; edges may repeat and point either way. Each step is a few joins and sums, whatever the
-    shape of a component, and is written to the shared folder. The driver sees a count and a checksum.
+    shape of a component, and is written to the shared folder. The driver sees a count and a checksum. With ``per_task``
+    the steps run in as many tasks as that many edges a task need, 8 at least, instead of one a shuffle partition.
     """
     now = cut_lineage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where(F.col("u") > F.col("v")).distinct())
+    parts = max(8, -(-now.count() // per_task)) if per_task else None
     seen = None
     while True:
-        now = cut_lineage(_star(_star(now, True), False))
+        now = cut_lineage(_star(_star(now, True, parts), False, parts))
         state = now.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
         if state == seen:
             break

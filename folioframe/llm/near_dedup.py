@@ -35,7 +35,7 @@ from folioframe.llm.components import components
 from folioframe.session import cut_lineage
 
 WORDS, PERCENT, RECALL, ROWS = 4, 80, 0.9999, 2
-BLOCK, GROUP, COLUMNS, HOT = 128, 512, 1 << 12, 1000
+BLOCK, GROUP, COLUMNS, HOT, EDGES = 128, 512, 1 << 12, 1000, 100_000
 
 
 def keys_for(percent: int, recall: float, rows: int = ROWS) -> int:
@@ -234,8 +234,8 @@ def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
 def _merged(known: DataFrame | None, links: DataFrame) -> DataFrame:
     """(node, root) after more links (node, center): these join the roots known so far."""
     if known is None:
-        return cut_lineage(components(links.select(F.col("node").alias("u"), F.col("center").alias("v"))))
-    found = components(_rooted(_rooted(links, known, "node", "u"), known, "center", "v").select("u", "v"))
+        return cut_lineage(components(links.select(F.col("node").alias("u"), F.col("center").alias("v")), EDGES))
+    found = components(_rooted(_rooted(links, known, "node", "u"), known, "center", "v").select("u", "v"), EDGES)
     moved = found.select(F.col("node").alias("_old"), F.col("root").alias("_new"))
     old = known.join(moved, known["root"] == moved["_old"], "left").select("node", F.coalesce("_new", "root").alias("root"))
     return cut_lineage(old.unionByName(found.join(known.select("node"), "node", "left_anti")))
@@ -254,11 +254,14 @@ def links_of(df: DataFrame, nodes: DataFrame, key: str, text: str, words: int, p
     sets = cut_lineage(node_sets(df, wanted, key, text, words))
     stars = held.where(F.col("node") != F.col("center"))
     least = cut_lineage(stars.groupBy("node").agg(F.min("center").alias("center")))
-    known = _merged(None, star_links(least, sets, percent))
+    links = cut_lineage(star_links(least, sets, percent))
+    # Who is linked to whom so far, two steps up: enough to leave out most pairs that are connected already.
+    up = links.select(F.col("node").alias("center"), F.col("center").alias("_up"))
+    near = links.join(up, "center", "left").select("node", F.coalesce("_up", "center").alias("root"))
     others = stars.select("node", "center").distinct().join(least, ["node", "center"], "left_anti")
-    apart = cut_lineage(_rooted(_rooted(others, known, "node", "_a"), known, "center", "_b").where(F.col("_a") != F.col("_b")).select("node", "center"))
-    if not apart.isEmpty():
-        known = _merged(known, star_links(apart, sets, percent))
+    apart = _rooted(_rooted(others, near, "node", "_a"), near, "center", "_b").where(F.col("_a") != F.col("_b")).select("node", "center")
+    more = cut_lineage(star_links(cut_lineage(apart), sets, percent))
+    known = _merged(None, links.unionByName(more))
     # The rest of a bucket without its center, which all of them were compared with.
     rest = _rooted(stars.select("bucket", "node"), known, "node", "root")
     links = cut_lineage(rest_links(rest, sets, percent))
