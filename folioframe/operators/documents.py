@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions.text import strip, tokens, without_space
-from folioframe.operators.scale import first_per_key, running
+from folioframe.operators.scale import running
 
 # Permission bits of a file and the words for each use.
 PERMISSION_BITS = {"print": 4, "modify": 8, "copy": 16, "annotate": 32, "form": 256, "accessibility": 512,
@@ -105,20 +105,21 @@ def set_alt(images: DataFrame, texts: DataFrame) -> DataFrame:
     return images.join(new, ["doc_id", "xref"], "left").withColumn("alt", F.coalesce("_alt", "alt")).drop("_alt")
 
 
+def picture_pages(page_texts: DataFrame, images: DataFrame) -> DataFrame:
+    """(doc_id, page): the pages with pictures and no text. ``page_texts`` is (doc_id, page, chars)."""
+    return (images.select("doc_id", "page").distinct()
+            .join(page_texts.where(F.col("chars") > 0).select("doc_id", "page"), ["doc_id", "page"], "left_anti"))
+
+
 def audit(docs: DataFrame, page_texts: DataFrame, images: DataFrame) -> DataFrame:
     """Accessibility findings per document: ``issues`` in report order, counts, and whether it passed.
 
-    ``page_texts`` is (doc_id, page, chars). Only the first eight picture-only pages are listed, kept as the
-    eight smallest numbers while aggregating.
+    The pages without text are counted here; ``picture_pages`` gives them as rows.
     """
     pictures = images.groupBy("doc_id").agg(F.count("*").alias("images"), F.count_if(
         F.coalesce("alt", F.lit("")) == "").alias("without_alt"))
-    only = (images.select("doc_id", "page").distinct()
-            .join(page_texts.where(F.col("chars") > 0).select("doc_id", "page"), ["doc_id", "page"], "left_anti"))
-    listed = first_per_key(only, ["doc_id"], [F.col("page")], 8).groupBy("doc_id").agg(F.array_sort(
-        F.collect_list(F.col("page") + 1)).alias("scanned_pages"))
-    count = only.groupBy("doc_id").agg(F.count("*").alias("scanned"))
-    facts = docs.join(pictures, "doc_id", "left").join(count, "doc_id", "left").join(listed, "doc_id", "left").withColumns({
+    count = picture_pages(page_texts, images).groupBy("doc_id").agg(F.count("*").alias("scanned"))
+    facts = docs.join(pictures, "doc_id", "left").join(count, "doc_id", "left").withColumns({
         "images": F.coalesce("images", F.lit(0)), "without_alt": F.coalesce("without_alt", F.lit(0)),
         "scanned": F.coalesce("scanned", F.lit(0))})
 
@@ -133,7 +134,7 @@ def audit(docs: DataFrame, page_texts: DataFrame, images: DataFrame) -> DataFram
         issue(F.col("scanned") > 0, "scanned", "high", F.concat(
             F.lit("テキストのない画像ページが "), F.col("scanned").cast("string"), F.lit(" ページあります"))),
         issue(strip(F.coalesce("title", F.lit(""))) == "", "title", "low", F.lit("文書のタイトルが設定されていません"))))
-    return facts.select("doc_id", "images", "without_alt", "scanned", "scanned_pages", issues.alias("issues")).withColumn(
+    return facts.select("doc_id", "images", "without_alt", "scanned", issues.alias("issues")).withColumn(
         "passed", F.size("issues") == 0)
 
 

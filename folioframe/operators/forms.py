@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioframe.functions.text import csv_line, escape_fdf, unescape_fdf
+from folioframe.functions.text import csv_field, csv_line, escape_fdf, unescape_fdf
+from folioframe.operators.scale import running_through
+from folioframe.session import cut_lineage
 
 
 def fill(fields: DataFrame, values: DataFrame) -> DataFrame:
@@ -23,22 +25,45 @@ def upsert_fields(fields: DataFrame, changed: DataFrame, removed: DataFrame) ->
     return fields.join(gone, keys, "left_anti").unionByName(changed)
 
 
-def collate(fields: DataFrame, names: list[str] | None = None) -> DataFrame:
-    """One row per form, one column per field name in first-seen order, missing as empty.
+def name_order(fields: DataFrame) -> DataFrame:
+    """(name, position): field names in the order they are first seen, from one; ranked range by range, none collected."""
+    seen = _named(fields).groupBy("name").agg(F.min(F.struct("doc_id", "page", "seq")).alias("at"))
+    return running_through(seen, "at", F.lit(1), "position").select("name", F.col("position").cast("int").alias("position"))
 
-    The names become columns, so there are as many as a table can have; they are read in a first pass unless
-    given. The last value of a repeated name wins.
+
+def _named(fields: DataFrame) -> DataFrame:
+    return fields.where(F.coalesce("name", F.lit("")) != "")
+
+
+def collate_cells(fields: DataFrame) -> DataFrame:
+    """(doc_id, position, name, value): the answers of all forms, a row each. The last value of a repeated name wins."""
+    value = F.coalesce("value", F.lit(""))
+    last = _named(fields).groupBy("doc_id", "name").agg(F.max_by(value, F.struct("page", "seq")).alias("value"))
+    return last.join(name_order(fields), "name").select("doc_id", "position", "name", "value")
+
+
+def collate_lines(fields: DataFrame, labels: DataFrame) -> DataFrame:
+    """The collation as CSV lines (part, doc_id, line): the header, then one line a form, missing answers empty.
+
+    ``labels`` is (doc_id, name), the first column. A line is as long as there are names; no task holds two at once.
     """
-    named = fields.where(F.coalesce("name", F.lit("")) != "")
-    if names is None:
-        seen = named.groupBy("name").agg(F.min(F.struct("doc_id", "page", "seq")).alias("at")).orderBy("at")
-        names = [r["name"] for r in seen.select("name").limit(10_001).collect()]
-        if len(names) > 10_000:
-            raise ValueError("more field names than a table can have columns")
+    cells = cut_lineage(collate_cells(fields))
+    names = cells.select("position", "name").distinct()
+    head = names.agg(F.array_sort(F.collect_list(F.struct("position", "name"))).alias("ns"))
+    title = head.select(F.lit(0).alias("part"), F.lit(None).cast("bigint").alias("doc_id"), F.concat_ws(
+        ",", F.lit("ファイル"), F.transform("ns", lambda n: csv_field(n["name"]))).alias("line"))
+    answers = cells.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("position", "value"))).alias("vs"))
+    wide = labels.join(answers, "doc_id", "left").crossJoin(F.broadcast(head.select(F.size("ns").alias("n"))))
+    value = F.transform(F.sequence(F.lit(1), F.col("n")), lambda p: csv_field(F.coalesce(F.col("vs")[p], F.lit(""))))
+    rows = wide.select(F.lit(1).alias("part"), "doc_id", F.concat_ws(",", csv_field(F.col("name")), F.when(F.col("n") > 0, value)).alias("line"))
+    return title.unionByName(rows)
+
+
+def collate(fields: DataFrame, names: list[str]) -> DataFrame:
+    """One row per form, one column for each of the given names, missing as empty; ``collate_cells`` takes any names."""
     value = F.coalesce("value", F.lit(""))
-    last = named.groupBy("doc_id", "name").agg(F.max_by(value, F.struct("page", "seq")).alias("value"))
-    wide = last.groupBy("doc_id").pivot("name", names).agg(F.first("value"))
-    return wide.na.fill("", names)
+    last = _named(fields).groupBy("doc_id", "name").agg(F.max_by(value, F.struct("page", "seq")).alias("value"))
+    return last.groupBy("doc_id").pivot("name", names).agg(F.first("value")).na.fill("", names)
 
 
 # Fixed values.

@@ -357,7 +357,7 @@ def repeating_text(blocks: DataFrame, pages: DataFrame) -> DataFrame:
 
     ``blocks`` is (doc_id, page, block, text, y0, y1). Documents of fewer than three pages have none.
     """
-    key = F.left(F.regexp_replace(strip(F.col("text")), r"\p{Nd}+", "#"), F.lit(80))
+    key = F.regexp_replace(strip(F.col("text")), r"\p{Nd}+", "#")
     band = F.when(F.col("y1") < F.col("height") * 0.09, "top").when(F.col("y0") > F.col("height") * 0.91, "bottom")
     placed = blocks.join(pages.select("doc_id", "page", "height"), ["doc_id", "page"]).select(
         "doc_id", "page", "block", key.alias("key"), band.alias("band")).where((F.col("key") != "") & F.col("band").isNotNull())

@@ -475,9 +475,8 @@ def fit_paper(pages: DataFrame, paper: str = "a4") -> DataFrame:
 
 
 def image_page(width: Column, height: Column, margin: float = 18.0) -> Column:
-    """One A4 page per picture, turned to suit it: the page size and the box the picture may fill."""
+    """One A4 page per picture, turned to suit it: the page size, and where the picture stands, as large as fits, in the middle."""
     w, h = F.when(width > height, 842.0).otherwise(595.0), F.when(width > height, 595.0).otherwise(842.0)
-    return F.struct(w.alias("page_w"), h.alias("page_h"), F.lit(margin).alias("x0"), F.lit(margin).alias("y0"),
-                    (w - margin).alias("x1"), (h - margin).alias("y1"))
-
-
+    scale = F.least((w - 2 * margin) / width, (h - 2 * margin) / height)
+    left, top = (w - width * scale) / 2, (h - height * scale) / 2
+    return F.struct(w.alias("page_w"), h.alias("page_h"), left.alias("x0"), top.alias("y0"), (w - left).alias("x1"), (h - top).alias("y1"))

@@ -160,11 +160,6 @@ def _csv_values() -> list[Column]:
         rect(0).alias("x0"), rect(1).alias("y0"), rect(2).alias("x1"), rect(3).alias("y1")]
 
 
-def csv_columns(annots: DataFrame) -> DataFrame:
-    """The fifteen columns of the comment table; needs quote and replies columns."""
-    return annots.select("doc_id", *_csv_values())
-
-
 def _numbered(annots: DataFrame) -> DataFrame:
     return annots.withColumn("_y", F.col("rect")[1]).withColumn("_x", F.col("rect")[0])
 

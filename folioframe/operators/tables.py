@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioframe.functions.geometry import overlap_fraction
-from folioframe.functions.sheet import format_number, parse_ref, recognise
+from folioframe.functions.sheet import format_number, parse_ref, recognise, sheet_base_name
 from folioframe.functions.text import bullet_character, strip
 from folioframe.operators.layout import merge_page_rows
 from folioframe.operators.scale import bands, points_in_boxes, running
@@ -532,3 +532,29 @@ def list_markers(paras: DataFrame, levels: DataFrame) -> DataFrame:
     bullet = F.col("defs")[lvl]["fmt"] == "bullet"
     sign = bullet_character(F.col("defs")[lvl]["template"], F.lit(None).cast("string"))
     return carried.select(*paras.columns, "value", F.when(bullet, sign).otherwise(marker).alias("marker"))
+
+
+# ---------------------------------------------------------------- names of sheets
+
+def sheet_names(sheets: DataFrame, name: str = "name") -> DataFrame:
+    """Add ``sheet``: a name of at most 31 signs that no other sheet of the document has, whatever the case of its letters.
+
+    ``sheets`` is (doc_id, seq, name, ...). In the order of ``seq`` a sheet gets its own name, or the first of name_2, name_3,
+    ... that is free. All sheets ask for a name at once; the earliest keeps it, the others ask for later ones, until nobody
+    asks for the same. An earlier sheet that comes to a name takes it from a later one, so the order decides in the end.
+    """
+    own = F.lower("_base")
+    suffix = F.when(F.col("_n") == 1, "").otherwise(F.concat(F.lit("_"), F.col("_n").cast("string")))
+    asked = F.concat(F.left("_base", F.lit(31) - F.length(suffix)), suffix)
+    now = cut_lineage(sheets.withColumns({"_base": sheet_base_name(F.col(name)), "_n": F.lit(1)}))
+    while True:
+        same = Window.partitionBy("doc_id", F.lower("sheet"))
+        of_base = Window.partitionBy("doc_id", F.lower("sheet"), own).orderBy("seq")
+        first = F.min(F.struct("seq", own.alias("b"))).over(same)
+        judged = now.withColumn("sheet", asked).withColumns({"_first": first, "_rank": F.row_number().over(of_base)})
+        # Sheets of one name get ever later ones, so each moves past all before it at once.
+        step = F.when(F.col("_first.seq") == F.col("seq"), 0).otherwise(F.col("_rank") - F.when(F.col("_first.b") == own, 1).otherwise(0))
+        now = cut_lineage(judged.withColumns({"_n": F.col("_n") + step, "_moved": step > 0}).drop("_first", "_rank"))
+        if now.where("_moved").isEmpty():
+            return now.drop("_base", "_n", "_moved")
+        now = now.drop("sheet", "_moved")

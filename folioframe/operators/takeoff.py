@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from folioframe.functions.labels import MEASURE_LABELS, lookup, measure_unit
 from folioframe.functions.text import csv_line
@@ -41,9 +42,10 @@ def totals(summary: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return summary.groupBy(*(keys or [])).agg(F.count("*").alias("groups"), F.sum("count").alias("items"))
 
 
-def label_order(japanese: bool = False) -> Column:
-    """Code point order, or the order of the live panel."""
-    return F.collate("label", "ja") if japanese else F.col("label")
+def panel_order(summary: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """Add ``place``: where a label stands in the live panel, which sorts by Japanese collation."""
+    order = Window.partitionBy(*(keys or [])).orderBy(F.collate("label", "ja"), "label")
+    return summary.withColumn("place", F.row_number().over(order))
 
 
 def summary_csv(summary: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import geometry as G
 from folioframe.operators import pages as P
 from folioframe.plans import corpus
-from folioframe.plans.registry import query, sql
+from folioframe.plans.registry import ORACLES, query, sql
 
 _COUNTS = corpus.PAGE + ",\npc AS (SELECT doc_id, count(*) AS pages FROM page GROUP BY 1)"
 # Which pages a query picks, the same rule on both sides.
@@ -287,6 +287,45 @@ def split_every(spark, folder):
     return P.split_every(_pages(spark, folder), 3)
 
 
+_SPLIT = """
+SELECT doc_id, grp AS part, min(page) AS a, max(page) AS b, '_p' || CASE WHEN min(page) = max(page) THEN '' || (min(page) + 1) ELSE (min(page) + 1) || '-' || (max(page) + 1) END AS suffix
+FROM ({ranges}) WHERE error IS NULL GROUP BY 1, 2"""
+
+
+@query("split_ranges", ORACLES["page_ranges"].replace("\nSELECT doc_id, pos, grp, page, error FROM", _SPLIT.split("({ranges})")[0] + "(SELECT doc_id, pos, grp, page, error FROM", 1)
+       + ")" + _SPLIT.split("({ranges})")[1])
+def split_ranges(spark, folder):
+    """Each range of a document as a part of its own."""
+    return P.split_ranges(page_ranges(spark, folder))
+
+
+@query("picture_placement", """
+WITH v AS (SELECT vec_id, CAST(vec_id % 40 * 25 + 10 AS DOUBLE) AS w, CAST(vec_id % 50 * 20 + 10 AS DOUBLE) AS h FROM embeddings),
+p AS (SELECT *, CASE WHEN w > h THEN 842.0 ELSE 595.0 END::DOUBLE AS pw, CASE WHEN w > h THEN 595.0 ELSE 842.0 END::DOUBLE AS ph FROM v)
+SELECT vec_id, pw AS page_w, round((pw - w * least((pw - 36) / w, (ph - 36) / h)) / 2, 4) AS x0, round((ph - h * least((pw - 36) / w, (ph - 36) / h)) / 2, 4) AS y0 FROM p""")
+def picture_placement(spark, folder):
+    """Pictures of many shapes, each on a page of its own."""
+    v = F.col("vec_id")
+    placed = P.image_page((v % 40 * 25 + 10).cast("double"), (v % 50 * 20 + 10).cast("double"))
+    return corpus.load(spark, folder, "embeddings").select("vec_id", placed.alias("p")).select(
+        "vec_id", "p.page_w", F.round("p.x0", 4).alias("x0"), F.round("p.y0", 4).alias("y0"))
+
+
+@query("turned_shapes", sql(corpus.ANNOT, """,
+r AS (SELECT doc_id, id, CAST(90 * (doc_id % 4) AS INTEGER) AS r, CAST(x0 AS DOUBLE) AS x0, CAST(y0 AS DOUBLE) AS y0, x0 + 40.0 AS x1, y0 + 12.0 AS y1 FROM annot)
+SELECT doc_id, id, CASE r WHEN 90 THEN 842 - y0 WHEN 180 THEN 595 - x1 WHEN 270 THEN y0 ELSE x1 END AS qx, CASE r WHEN 90 THEN x1 WHEN 180 THEN 842 - y0 WHEN 270 THEN 595 - x1 ELSE y0 END AS qy,
+       CASE r WHEN 90 THEN 842 - y1 WHEN 180 THEN 595 - x1 WHEN 270 THEN y1 ELSE x1 END + 5 AS px, least(x0, 100.0) AS ux0, greatest(y1, 220.0) AS uy1 FROM r""").replace("\n,\nr AS", ",\nr AS"))
+def turned_shapes(spark, folder):
+    """Quads and points in the frame of the reader, points moved by five, and the box round a mark and a fixed one."""
+    r, w, h = (F.col("doc_id") % 4 * 90).cast("int"), F.lit(595.0), F.lit(842.0)
+    x0, y0, x1, y1 = (F.col("rect")[i] for i in range(4))
+    quad = G.quad_to_view(F.array(x0, y0, x1, y0, x0, y1, x1, y1), r, w, h)
+    points = G.translated_points(G.points_to_view(F.array(F.array(x0, y0), F.array(x1, y1)), r, w, h), F.lit(5.0), F.lit(0.0))
+    both = G.union(F.col("rect"), F.array(F.lit(100.0), F.lit(200.0), F.lit(140.0), F.lit(220.0)))
+    return corpus.annots(spark, folder).select("doc_id", "id", quad[2].alias("qx"), quad[3].alias("qy"), points[1][0].alias("px"),
+                                               both[0].alias("ux0"), both[3].alias("uy1"))
+
+
 @query("split_by_size", "WITH RECURSIVE " + corpus.PAGE.strip() + """,
 ran AS (SELECT doc_id, page, sum(bytes) OVER w AS e, sum(bytes) OVER w - bytes AS s, count(*) OVER (PARTITION BY doc_id) AS n FROM page WINDOW w AS (PARTITION BY doc_id ORDER BY page)),
 nx AS (SELECT r.doc_id, r.page, n, s, greatest(r.page, coalesce((SELECT max(q.page) FROM ran q WHERE q.doc_id = r.doc_id AND q.e <= r.s + 4000), r.page)) AS last FROM ran r),

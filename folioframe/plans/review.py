@@ -7,6 +7,8 @@ from folioframe.functions import measure as M
 from folioframe.operators import forms, review, takeoff
 from folioframe.plans import corpus
 from folioframe.plans.registry import query, sql
+from folioframe.session import scratch_folder
+from folioframe.sources import files
 
 # ---------------------------------------------------------------- replies
 
@@ -98,6 +100,20 @@ def comment_list_by_author(spark, folder):
         "doc_id", "id", F.col("_rank").alias("rank"))
 
 
+@query("comment_list_by_page", sql(corpus.ANNOT, """
+SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY page, y0, event_id) AS rank FROM annot"""))
+def comment_list_by_page(spark, folder):
+    marks = corpus.annots(spark, folder)
+    return review.ranked(marks, ["doc_id"], [*review.comment_order("page"), F.col("event_id")]).select("doc_id", "id", F.col("_rank").alias("rank"))
+
+
+@query("comment_list_by_date", sql(corpus.ANNOT, """
+SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY created, page, y0, event_id) AS rank FROM annot"""))
+def comment_list_by_date(spark, folder):
+    marks = corpus.annots(spark, folder)
+    return review.ranked(marks, ["doc_id"], [*review.comment_order("created"), F.col("event_id")]).select("doc_id", "id", F.col("_rank").alias("rank"))
+
+
 @query("report_positions", sql(corpus.ANNOT, """
 SELECT doc_id, page, count(*) AS marks, min(y0) AS first_y, max_by(id, (y0, x0, event_id)) AS last_id FROM annot GROUP BY 1, 2"""))
 def report_positions(spark, folder):
@@ -310,6 +326,14 @@ def takeoff_by_document(spark, folder):
     return rows.withColumn("pages", F.array_join(F.transform("pages", lambda p: p.cast("string")), " "))
 
 
+@query("takeoff_panel", sql(corpus.MEASURE, """
+SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY label) AS place
+FROM (SELECT DISTINCT doc_id, {label} AS label FROM meas)""".replace("{label}", _LABEL_SQL)))
+def takeoff_panel(spark, folder):
+    """The labels of a document in the order of the live panel."""
+    return takeoff.panel_order(takeoff.summarise(corpus.measures(spark, folder), ["doc_id"]), ["doc_id"]).select("doc_id", "label", "place")
+
+
 @query("takeoff_totals", sql(corpus.MEASURE, f"""
 SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS items FROM (SELECT count(*) AS n FROM meas GROUP BY {_LABEL_SQL})"""))
 def takeoff_totals(spark, folder):
@@ -376,7 +400,29 @@ def unit_conversion(spark, folder):
 @query("form_collation", """
 SELECT p_partkey AS doc_id, p_brand AS brand, p_type AS type, CAST(p_size AS VARCHAR) AS size, CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END AS seal FROM part""")
 def form_collation(spark, folder):
-    return forms.collate(corpus.fields(spark, folder))
+    return forms.collate(corpus.fields(spark, folder), ["brand", "type", "size", "seal"])
+
+
+@query("form_collation_cells", sql(corpus.FIELD, """
+SELECT doc_id, CASE name WHEN 'brand' THEN 1 WHEN 'type' THEN 2 WHEN 'size' THEN 3 ELSE 4 END AS position, name, coalesce(value, '') AS value FROM field"""))
+def form_collation_cells(spark, folder):
+    """The answers of all forms in long form, names ranked by where they are first seen."""
+    return forms.collate_cells(corpus.fields(spark, folder))
+
+
+@query("form_collation_csv", """
+SELECT 0 AS part, NULL::BIGINT AS doc_id, 'ファイル,brand,type,size,seal' AS line UNION ALL
+SELECT 1, p_partkey, 'form' || p_partkey || ',' || p_brand || ',' || p_type || ',' || p_size || ',' || CASE WHEN p_size % 2 = 0 THEN p_name ELSE '' END FROM part""")
+def form_collation_csv(spark, folder):
+    """The collation as a CSV file, written in ranges and read back."""
+    fields = corpus.fields(spark, folder)
+    labels = fields.select("doc_id").distinct().select("doc_id", F.concat(F.lit("form"), F.col("doc_id").cast("string")).alias("name"))
+    path = scratch_folder(spark, "collation")
+    lines = forms.collate_lines(fields, labels).withColumn("file", F.lit("all"))
+    files.write_lines(lines, path, ["part", "doc_id"], key="file")
+    head = F.startswith("value", F.lit("ファイル,"))
+    return spark.read.text(path).select(F.when(head, 0).otherwise(1).alias("part"), F.when(
+        ~head, F.regexp_extract("value", "^form([0-9]+)", 1)).cast("bigint").alias("doc_id"), F.col("value").alias("line"))
 
 
 @query("form_fill", sql(corpus.FIELD, """

@@ -298,6 +298,17 @@ def whole_page_tables(spark, folder):
     return _page_sheets(spark, folder, "tables").select("doc_id", "sheet", F.col("row").cast("int").alias("row"), "col", "text")
 
 
+@query("sheet_names", """
+WITH b AS (SELECT p_size AS doc_id, p_partkey AS seq, left(rtrim(replace(p_type || ': ' || p_brand || ' of the long list', ':', '_'), chr(39) || ' '), 31) AS base FROM part),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, lower(base) ORDER BY seq) AS n FROM b)
+SELECT doc_id, seq, CASE WHEN n = 1 THEN base ELSE left(base, CAST(30 - length('' || n) AS BIGINT)) || '_' || n END AS sheet FROM k""")
+def sheet_names(spark, folder):
+    """A workbook a size, a sheet a part; the name is type and brand."""
+    names = corpus.load(spark, folder, "part").select(F.col("p_size").alias("doc_id"), F.col("p_partkey").alias("seq"), F.concat(
+        "p_type", F.lit(": "), "p_brand", F.lit(" of the long list")).alias("name"))
+    return T.sheet_names(names).select("doc_id", "seq", "sheet")
+
+
 # ---------------------------------------------------------------- boxes on pages
 
 @query("linked_spans", sql(corpus.SPANS, """,

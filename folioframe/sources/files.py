@@ -94,9 +94,3 @@ def write_shards(lines: DataFrame, path: str, order: list[str], shards: int, key
     (held.withColumns({"_at": upto - height, "_n": height}).groupBy(key, "shard").agg(F.min("_at").alias("first_line"), F.sum("_n").alias("lines"))
      .write.mode("overwrite").parquet(f"{path}/_index"))
     return held.sparkSession.read.parquet(f"{path}/_index")
-
-
-def write_table(table: DataFrame, path: str, partition: str | None = None) -> None:
-    """A table as CSV with a header, in folders by one column where asked."""
-    writer = table.write.mode("overwrite").option("header", "true").option("quote", '"').option("escape", '"')
-    (writer.partitionBy(partition) if partition else writer).csv(path)

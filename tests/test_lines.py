@@ -170,3 +170,38 @@ def test_sum_through_a_table_of_far_apart_keys(spark):
     labels = pages.bates(book, "A", production=True)
     assert sorted(r["label"] for r in labels.collect()) == [f"A{n:06d}" for n in range(1, 11)]
     assert "SinglePartition" not in labels._jdf.queryExecution().executedPlan().toString()
+
+
+def test_sheet_names_are_those_of_one_after_the_other(spark):
+    from folioframe.functions.sheet import sheet_base_name
+
+    rng = random.Random(9)
+    names = [rng.choice(["A", "a", "A_2", "a_2_2", "Sheet", "", "x" * 40, "x" * 29 + "_2", "x" * 31, "B/C", "B_C", "'B_C'", "A_3"]) for _ in range(120)]
+    table = spark.createDataFrame([(i % 3, i, n) for i, n in enumerate(names)], "doc_id int, seq int, name string")
+    base = {r["seq"]: r["b"] for r in table.select("seq", sheet_base_name(F.col("name")).alias("b")).collect()}
+    want, taken = {}, {k: set() for k in range(3)}
+    for i in range(120):
+        name, n = base[i], 2
+        while name.lower() in taken[i % 3]:
+            name = base[i][: 31 - len(f"_{n}")] + f"_{n}"
+            n += 1
+        taken[i % 3].add(name.lower())
+        want[i] = name
+    assert {r["seq"]: r["sheet"] for r in tables.sheet_names(table).collect()} == want
+
+
+def test_collation_takes_any_number_of_names(spark):
+    from folioframe.operators import forms
+
+    data = [(d, 0, i, f"n{(i * 7 + d) % 500}", f'v"{d}') for d in range(3) for i in range(400)] + [(9, 0, 0, "", "unnamed"), (0, 1, 0, "n0", "last")]
+    fields = spark.createDataFrame(data, "doc_id bigint, page int, seq int, name string, value string")
+    order = []
+    for _, _, _, name, _ in sorted(data[:-2]):
+        if name not in order:
+            order.append(name)
+    labels = spark.createDataFrame([(d, f"f{d}") for d in (0, 1, 2, 9)], "doc_id bigint, name string")
+    lines = {r["doc_id"]: r["line"] for r in forms.collate_lines(fields, labels).collect()}
+    assert lines[None] == ",".join(["ファイル", *order]) and lines[9] == "f9" + "," * len(order)
+    held = {(d, n): v for d, _, _, n, v in sorted(data) if n}
+    for d in range(3):
+        assert lines[d] == ",".join([f"f{d}", *['"' + held[d, n].replace('"', '""') + '"' if '"' in held.get((d, n), "") else held.get((d, n), "") for n in order]])
