@@ -58,10 +58,9 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-        ranks, shown = load_ranks(path), byte_characters()
-        name = lambda token: "".join(shown[b] for b in token)
-        merges = [tuple(map(name, _last_merge(t, ranks))) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
-        self.model = Tokenizer(models.BPE(vocab={name(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
+        ranks, names, shown = load_ranks(path), vocabulary(path), byte_characters()
+        merges = [tuple("".join(shown[b] for b in part) for part in _last_merge(t, ranks)) for t in sorted(ranks, key=ranks.get) if len(t) > 1]
+        self.model = Tokenizer(models.BPE(vocab={names[r]: r for r in ranks.values()}, merges=merges, ignore_merges=True))
         self.model.pre_tokenizer = pre_tokenizers.Sequence([
             pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.pieces = Pieces(lambda words: self.plain([f" {w}" for w in words]), _CACHED)
@@ -103,13 +102,24 @@ def encoder(path: str, pattern: str) -> Encoder:
 
 
 @lru_cache(maxsize=2)
-def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
-    """Bytes of all tokens one after the other, and where each id begins and the last ends; an id without a token is empty."""
-    ranks = load_ranks(path)
-    tokens = [b""] * (max(ranks.values()) + 1)
+def vocabulary(path: str) -> list[str]:
+    """The tokens by id, in the characters that stand for their bytes; an id without a token is empty."""
+    shown, ranks = byte_characters(), load_ranks(path)
+    names = [""] * (max(ranks.values()) + 1)
     for token, rank in ranks.items():
-        tokens[rank] = token
-    return np.frombuffer(b"".join(tokens), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in tokens])]).astype(np.int64)
+        names[rank] = "".join(shown[b] for b in token)
+    return names
+
+
+@lru_cache(maxsize=2)
+def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of all tokens one after the other, and where each id begins and the last ends: the byte table reversed."""
+    shown = byte_characters()
+    back = np.zeros(max(map(ord, shown.values())) + 1, dtype=np.uint8)
+    back[[ord(c) for c in shown.values()]] = list(shown)
+    names = vocabulary(path)
+    flat = np.frombuffer("".join(names).encode("utf-32-le"), dtype=np.uint32)
+    return back[flat], np.concatenate([[0], np.cumsum([len(t) for t in names])]).astype(np.int64)
 
 
 def character_spans(ids: np.ndarray, ends: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
@@ -159,15 +169,23 @@ def bytes_of(ids: np.ndarray, ends: np.ndarray, path: str) -> pa.Array:
 
 def encode_decode(df: DataFrame, path: str, pattern: str, text: str = "text", out: str = "decoded") -> DataFrame:
     """``encode`` with packed ids, and ``decode`` of these ids into ``out``, in one pass: one worker a task holds the model,
-    and texts go to it once."""
+    and texts go to it once. ``n_split`` counts the tokens that begin inside a character, by their offsets in the text: the
+    bytes of such a character come from several tokens and stand together again in ``out``."""
     def work(part):
         ids, ends = encoder(path, pattern).encode(texts_of(part, text))
         packed = binary(ids.astype("<u4"), ends)
         values, at = from_binary(packed, "<u4")
-        return with_columns(part, n_tokens=pa.array(np.diff(ends)), ids=packed, **{out: bytes_of(values, at, path)})
-
-    kept = df.drop("n_tokens", "ids", out)
-    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField(out, T.BinaryType())]
+        first, last = character_spans(values.astype(np.int64), at, path)
+        inside = np.zeros(len(values), dtype=np.int64)
+        inside[1:] = first[1:] < last[:-1]
+        inside[at[:-1][np.diff(at) > 0]] = 0  # the first token of a text
+        count = np.concatenate([[0], np.cumsum(inside)])
+        return with_columns(part, n_tokens=pa.array(np.diff(ends)), ids=packed, n_split=pa.array(count[at[1:]] - count[at[:-1]]),
+                            **{out: bytes_of(values, at, path)})
+
+    kept = df.drop("n_tokens", "ids", "n_split", out)
+    added = [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("n_split", T.LongType()),
+             T.StructField(out, T.BinaryType())]
     return mapped(kept, sliced(text, work, size=_SLICE), T.StructType([*kept.schema, *added]))
 
 

@@ -74,6 +74,15 @@ def test_byte_bpe_equals_the_reference_library(docs, empty, reference_encoding):
     one = byte_bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN).select("text", "n_tokens", "ids", "decoded")
     assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
     assert one.where(F.col("decoded") != F.coalesce("text", F.lit("")).cast("binary")).isEmpty()
+    for r in byte_bpe.encode_decode(docs, RANKS, public_tokenizers.PATTERN).select("text", "n_split", "n_tokens").collect():
+        parts = [reference_encoding.decode_single_token_bytes(i) for i in reference_encoding.encode_ordinary(r["text"] or "")]
+        assert r["n_tokens"] == len(parts) and r["n_split"] == sum(p[0] & 0xC0 == 0x80 for p in parts)
+
+
+def test_tokens_come_back_from_the_byte_table():
+    data, offsets = byte_bpe.token_bytes(RANKS)
+    ranks = byte_bpe.load_ranks(RANKS)
+    assert all(data[offsets[r]: offsets[r + 1]].tobytes() == t for t, r in ranks.items()) and len(set(byte_bpe.byte_characters().values())) == 256
 
 
 def test_byte_bpe_random_blanks_and_signs(reference_encoding):
