@@ -70,7 +70,7 @@ def wrapped(spark: SparkSession, folder: str) -> DataFrame:
 
 
 WRAPPED = LINES + """,
-wrapped AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, piece) - 1 AS n, ln, piece,
+wrapped AS MATERIALIZED (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY ln, piece) - 1 AS n, ln, piece,
                    substr(text, piece * 80 + 1, 80) AS text
             FROM (SELECT doc_id, ln, text,
                          unnest(generate_series(0, greatest((length(text) + 79) // 80, 1) - 1)) AS piece FROM lines))"""
@@ -100,7 +100,7 @@ span0 AS (SELECT doc_id, CAST(n // 20 AS INTEGER) AS page, CAST((n % 20) // 4 AS
                  n % 9 = 5 AS b9, CAST(60 + 10 * (n % 3) AS DOUBLE) AS x0,
                  CAST(40 + 183 * ((n % 20) // 4) + 14 * ((n % 20) % 4) AS DOUBLE) AS y0
           FROM wrapped WHERE text <> ''),
-span AS (SELECT *, CASE WHEN size > 11 OR b9 THEN 16 ELSE 0 END AS flags, x0 + size * 0.5 * length(text) AS x1,
+span AS MATERIALIZED (SELECT *, CASE WHEN size > 11 OR b9 THEN 16 ELSE 0 END AS flags, x0 + size * 0.5 * length(text) AS x1,
                 y0 + size AS y1 FROM span0)"""
 
 

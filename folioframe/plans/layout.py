@@ -248,7 +248,7 @@ _REPEAT = corpus.SPANS + """,
 cnt AS (SELECT doc_id, count(DISTINCT n // 20) AS pages FROM wrapped GROUP BY 1),
 head AS (SELECT doc_id, page, line, y0, y1, 'Section ' || (doc_id % 7) || ' page ' || (page + 1) AS text FROM span WHERE line = 0 AND doc_id % 2 = 0
          UNION ALL SELECT doc_id, page, line, y0, y1, text FROM span WHERE NOT (line = 0 AND doc_id % 2 = 0)),
-keyed AS (SELECT doc_id, page, line AS block, regexp_replace(trim(text), '[0-9]+', '#', 'g') AS key,
+keyed AS MATERIALIZED (SELECT doc_id, page, line AS block, regexp_replace(trim(text), '[0-9]+', '#', 'g') AS key,
                  CASE WHEN y1 < 842 * 0.09 THEN 'top' WHEN y0 > 842 * 0.91 THEN 'bottom' END AS band FROM head WHERE trim(text) <> '')"""
 
 

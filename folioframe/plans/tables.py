@@ -13,13 +13,13 @@ from folioframe.plans.registry import query, sql
 # ---------------------------------------------------------------- ruled tables from order lines
 
 _CELLS = """
-ord AS (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS ln FROM lineitem),
+ord AS MATERIALIZED (SELECT DISTINCT l_orderkey AS doc_id, l_linenumber AS ln FROM lineitem),
 boxes AS (SELECT doc_id, ln, c, 50 + 100 * c + CASE WHEN ln % 2 = 1 THEN 0.4 ELSE 0 END AS x0, 50 + 20 * ln + 0.3 * (c % 2) AS y0,
                  CASE WHEN ln % 2 = 1 AND c = 0 THEN 250 ELSE 150 + 100 * c END AS x1, 70 + 20 * ln AS y1
           FROM ord, (SELECT unnest([0, 1, 2, 3]) AS c) WHERE NOT (ln % 2 = 1 AND c = 1)),
-edge AS (SELECT doc_id, e, dense_rank() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS k FROM (SELECT doc_id, ln AS e FROM ord UNION SELECT doc_id, ln + 1 FROM ord)),
+edge AS MATERIALIZED (SELECT doc_id, e, dense_rank() OVER (PARTITION BY doc_id ORDER BY e) - 1 AS k FROM (SELECT doc_id, ln AS e FROM ord UNION SELECT doc_id, ln + 1 FROM ord)),
 ev AS (SELECT doc_id, bool_or(ln % 2 = 0) AS he FROM ord GROUP BY 1),
-gr AS (SELECT b.doc_id, e.k AS r0, f.k AS r1, CASE WHEN he OR c = 0 THEN c ELSE c - 1 END AS c0,
+gr AS MATERIALIZED (SELECT b.doc_id, e.k AS r0, f.k AS r1, CASE WHEN he OR c = 0 THEN c ELSE c - 1 END AS c0,
               CASE WHEN he AND ln % 2 = 1 AND c = 0 THEN 2 WHEN he OR c = 0 THEN c + 1 ELSE c END AS c1, c, he, ln, b.x0, b.y0, b.x1, b.y1
        FROM boxes b JOIN ev USING (doc_id) JOIN edge e ON e.doc_id = b.doc_id AND e.e = b.ln JOIN edge f ON f.doc_id = b.doc_id AND f.e = b.ln + 1)"""
 
