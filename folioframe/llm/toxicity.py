@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioframe.llm.batches import points, rolling, run_sums, mapped, sliced, split, texts_of, with_columns, without_empty
+from folioframe.llm.batches import give_back, points, rolling, run_sums, mapped, sliced, split, texts_of, with_columns, without_empty
 from folioframe.llm.language import sample
 
 BUCKETS, DIM, GRAMS, WINDOW = 1 << 17, 8, (3, 4, 5), 4
@@ -47,18 +47,17 @@ def subwords(values: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of all words, and where those of each word begin and the last end; never none."""
     flat, starts = points(pc.binary_join_element_wise("<", values, ">", ""))
     size = len(starts) - 1
-    owner = np.repeat(np.arange(size), np.diff(starts))
-    found, of = [], []
-    for n in GRAMS:
+    owner = np.repeat(np.arange(size, dtype=np.int32), np.diff(starts))
+    short = np.diff(starts) < GRAMS[0]  # a word of no letters cannot be; one of edges only can
+    counts = [np.bincount(owner[rolling(flat, starts, n)[1]], minlength=size) for n in GRAMS]
+    ends = np.concatenate([[0], np.cumsum(sum(counts) + short)])
+    out, place = np.zeros(ends[-1], dtype=np.int32), ends[:-1].copy()
+    for n, count in zip(GRAMS, counts):  # each length is written straight to its place in its word
         h, valid = rolling(flat, starts, n)
-        found.append((h[valid] >> np.uint64(40)).astype(np.int64) % BUCKETS)
-        of.append(owner[valid])
-    short = np.flatnonzero(np.diff(starts) < GRAMS[0])  # a word of no letters cannot be; one of edges only can
-    found.append(np.full(len(short), 0, dtype=np.int64))
-    of.append(short)
-    order = np.argsort(np.concatenate(of), kind="stable")
-    counts = np.bincount(np.concatenate(of), minlength=size)
-    return np.concatenate(found)[order], np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat(place - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        out[at] = (h[valid] >> np.uint64(40)).astype(np.int64) % BUCKETS
+        place += count
+    return out, ends
 
 
 def window_means(values: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -83,6 +82,13 @@ def best_windows(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def text_parts(starts: np.ndarray, size: int = 256):
+    """First and last text of each part, and its words: the driver holds the windows of one part at a time."""
+    for a in range(0, len(starts) - 1, size):
+        b = min(a + size, len(starts) - 1)
+        yield a, b, slice(starts[a], starts[b])
+
+
 def train(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", per_class: int = PER_CLASS) -> Model:
     """Learn from texts and ``labels`` (``key``, ``label`` 0 or 1); the sample, of bounded size, is learned in the driver."""
     rated = labels.where(F.col("label").isin(0, 1)).select(key, F.col("label").cast("int").alias("label"))
@@ -99,7 +105,10 @@ def fit(texts: pa.Array, y: np.ndarray) -> Model:
     order = np.argsort(pc.binary_join_element_wise(texts.cast(pa.string()), pa.array(y.astype(str)), " ").to_numpy(zero_copy_only=False), kind="stable")
     texts, y = texts.take(pa.array(order)), y[order]  # whatever order the rows came in
     values, codes, starts = words(texts)
+    codes = codes.astype(np.int32)
     grams, gram_ends = subwords(values)
+    del texts, values
+    give_back()
     rng = np.random.default_rng(SEED)
     apart = rng.random(len(y)) < 0.2
     embed = rng.uniform(-0.01, 0.01, (BUCKETS, DIM)).astype(np.float32)
@@ -118,8 +127,11 @@ def fit(texts: pa.Array, y: np.ndarray) -> Model:
             doc = np.repeat(usable, max(4, 24_000 // max(len(usable), 1)))
             begin = starts[doc] + (rng.random(len(doc)) * np.maximum(lengths[doc] - WINDOW + 1, 1)).astype(np.int64)
         else:  # the likeliest window of every text, and one anywhere in the texts of class 0
-            means, ends = window_means(word_logits()[codes], starts)
-            top = np.array([starts[d] + int(means[ends[d]: ends[d + 1]].argmax()) for d in usable])
+            logits, best = word_logits(), np.zeros(len(lengths), dtype=np.int64)
+            for a, b, held in text_parts(starts):
+                means, ends = window_means(logits[codes[held]], starts[a: b + 1] - starts[a])
+                best[a:b] = [int(means[x:y].argmax()) if y > x else 0 for x, y in zip(ends, ends[1:])]
+            top = starts[usable] + best[usable]
             clean = usable[y[usable] == 0]
             doc = np.concatenate([usable, clean])
             begin = np.concatenate([top, starts[clean] + (rng.random(len(clean)) * np.maximum(lengths[clean] - WINDOW + 1, 1)).astype(np.int64)])
@@ -135,7 +147,8 @@ def fit(texts: pa.Array, y: np.ndarray) -> Model:
                 gradient = np.zeros((len(rows), DIM), dtype=np.float32)
                 np.add.at(gradient, inverse, parts[1][:, None] * back)
                 _descend(embed, gradient, state, rows)
-    logits = best_windows(word_logits()[codes], starts) + bias[1] - bias[0]
+    of_words = word_logits()
+    logits = np.concatenate([best_windows(of_words[codes[held]], starts[a: b + 1] - starts[a]) for a, b, held in text_parts(starts)]) + bias[1] - bias[0]
     use = apart if len(set(y[apart].tolist())) == 2 else ~apart
     slope, shift = _curve(logits[use], y[use])
     return Model((embed @ (out[:, 1] - out[:, 0])).astype(np.float64), float(bias[1] - bias[0]), slope, shift)
