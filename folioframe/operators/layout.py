@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from folioframe.functions.text import BULLET_OR_ROMAN, squeeze, starts_like_item, strip
+from folioframe.functions.text import BULLET_OR_ROMAN, let, squeeze, starts_like_item, strip
 from folioframe.operators.scale import running
 from folioframe.session import cut_lineage
 
@@ -110,15 +110,21 @@ def merge_baselines(spans: DataFrame) -> DataFrame:
 
     runs = boxed.withColumn("st", F.filter(F.sequence(F.lit(0), F.size("ls") - 1), turns))
     walked = runs.withColumn("at", F.aggregate(F.transform("st", lambda i: F.get("hs", i)), begin, add)["at"])
-    row = F.get("at", F.size(F.filter("st", lambda i: i <= F.col("i"))) - 1) - 1
-    rows = walked.select("doc_id", "page", "block", "st", "at", F.posexplode("ls").alias("i", "l")).groupBy(
-        "doc_id", "page", "block", row.alias("row")).agg(
-        F.bool_or("l.v").alias("vertical"), F.array_sort(F.flatten(F.collect_list("l.ss"))).alias("by_x"),
-        F.flatten(F.transform(F.array_sort(F.collect_list(F.when(F.col("l.v"), F.struct("i", F.array_sort(F.transform(
-            "l.ss", lambda s: F.struct(s["span"].alias("k"), s.alias("s")))).alias("ss"))))), lambda r: r["ss"])).alias("by_span"))
-    placed = rows.select("doc_id", "page", "block", "row", "vertical", F.when(
-        F.col("vertical"), F.transform("by_span", lambda r: r["s"])).otherwise(F.col("by_x")).alias("ss"))
+    of_line = F.transform("ls", lambda _, i: F.get("at", F.size(F.filter("st", lambda first: first <= i)) - 1))
+    paired = walked.withColumn("zs", F.arrays_zip(F.col("ls").alias("l"), of_line.alias("row")))
 
+    def row_of(number):
+        def spans(held):
+            by_x = F.array_sort(F.flatten(F.transform(held, lambda z: z["l"]["ss"])))
+            by_span = F.transform(F.array_sort(F.flatten(F.transform(held, lambda z: F.transform(
+                z["l"]["ss"], lambda s: F.struct(s["span"].alias("k"), s.alias("s")))))), lambda r: r["s"])
+            vertical = F.exists(held, lambda z: z["l"]["v"])
+            return F.struct((number - 1).alias("row"), vertical.alias("vertical"), F.when(vertical, by_span).otherwise(by_x).alias("ss"))
+
+        return let(F.filter("zs", lambda z: z["row"] == number), spans)
+
+    rows = F.transform(F.sequence(F.lit(1), F.array_max("at")), row_of)
+    placed = paired.select("doc_id", "page", "block", F.explode(rows).alias("r")).select("doc_id", "page", "block", "r.*")
     return _gapped(placed, ["doc_id", "page", "block", "row"])
 
 
@@ -128,7 +134,7 @@ def _gapped(rows: DataFrame, keys: list[str]) -> DataFrame:
         own = _struct(text=s["text"], size=s["size"], x0=s["x0"], y0=s["y0"], x1=s["x1"], y1=s["y1"])
         p = F.get(F.col("ss"), i - 1)
         gap, size = s["x0"] - p["x1"], F.greatest(p["size"], s["size"])
-        blanks = p["text"].rlike("[ 　\t]$") | s["text"].rlike("^[ 　]")
+        blanks = F.right(p["text"], F.lit(1)).isin(" ", "　", "\t") | F.left(s["text"], F.lit(1)).isin(" ", "　")
         sign = (F.when((gap > size * 1.5) & ~p["text"].endswith("\t"), "\t")
                 .when((gap > size * 0.3) & ~blanks, F.when(gap > size * 0.8, "　").otherwise(" ")))
         filler = _struct(text=sign, size=p["size"], x0=p["x1"], y0=p["y0"], x1=s["x0"], y1=p["y1"])

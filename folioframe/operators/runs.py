@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from folioframe.functions.text import let
 from folioframe.operators.scale import points_in_boxes
 
 
@@ -45,8 +46,9 @@ def runs_in_boxes(runs: DataFrame, boxes: DataFrame, centres: Column | None = No
     both, and ``a`` and ``b``, the places in the run where the box begins and ends."""
     level = (F.col("p.cy") >= F.col("b.by0")) & (F.col("p.cy") < F.col("b.by1"))
     met = points_in_boxes(runs, boxes, ["doc_id", "page"], "cy", "cy", level)
-    placed = met.withColumn("_centres", F.col("cxs") if centres is None else centres)
-    return placed.withColumns({"a": lower_bound(F.col("_centres"), F.col("bx0")), "b": lower_bound(F.col("_centres"), F.col("bx1"))}).drop("_centres")
+    edges = let(F.col("cxs") if centres is None else centres, lambda values: F.struct(
+        lower_bound(values, F.col("bx0")).alias("a"), lower_bound(values, F.col("bx1")).alias("b")))
+    return met.withColumn("_edges", edges).withColumns({"a": F.col("_edges.a"), "b": F.col("_edges.b")}).drop("_edges")
 
 
 def text_under(runs: DataFrame, boxes: DataFrame, centres: Column | None = None) -> DataFrame:
