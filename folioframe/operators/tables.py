@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from folioframe.functions.geometry import overlap_fraction
 from folioframe.functions.sheet import format_number, parse_ref, recognise, sheet_base_name
-from folioframe.functions.text import bullet_character, strip
+from folioframe.functions.text import bullet_character, let, strip
 from folioframe.operators.layout import merge_page_rows
 from folioframe.operators.scale import bands, points_in_boxes, running
 from folioframe.session import cut_lineage
@@ -111,29 +111,30 @@ def grid(cellboxes: DataFrame, tolerance: float = 1.5) -> DataFrame:
     Edges closer than the tolerance are one; each side goes to its nearest edge; of two cells that start at one
     place the first stays. The edges of one table are walked together.
     """
-    def edges(a, b):
-        values = F.array_sort(F.array_distinct(F.concat(F.collect_set(F.round(a, 1)), F.collect_set(F.round(b, 1)))))
-        return values
+    page, box = ["doc_id", "page", "tbl"], F.struct("seq", *BOX)
+    tables = cellboxes.groupBy(*page).agg(F.collect_list(box).alias("cells"))
 
-    tables = cellboxes.groupBy("doc_id", "page", "tbl").agg(edges("x0", "x1").alias("xs"), edges("y0", "y1").alias("ys"))
-
-    def thin(values):
-        return F.aggregate(values, F.array().cast("array<double>"), lambda acc, v: F.when(
+    def edges(low, high):
+        every = F.flatten(F.transform("cells", lambda c: F.array(F.round(c[low], 1), F.round(c[high], 1))))
+        return F.aggregate(F.array_sort(F.array_distinct(every)), F.array().cast("array<double>"), lambda acc, v: F.when(
             (F.size(acc) > 0) & (v - F.try_element_at(acc, F.lit(-1)) < tolerance), acc).otherwise(F.array_append(acc, v)))
 
-    lines = tables.select("doc_id", "page", "tbl", thin(F.col("xs")).alias("xs"), thin(F.col("ys")).alias("ys")).where(
-        (F.size("xs") > 1) & (F.size("ys") > 1))
-
     def index(values, v):
         gaps = F.transform(values, lambda e: F.abs(e - v))
-        return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+        return let(gaps, lambda g: F.array_position(g, F.array_min(g)) - 1).cast("int")
 
-    placed = cellboxes.join(lines, ["doc_id", "page", "tbl"]).select(
-        "doc_id", "page", "tbl", "seq", *BOX, index(F.col("ys"), F.col("y0")).alias("r0"), index(F.col("xs"), F.col("x0")).alias("c0"),
-        index(F.col("ys"), F.col("y1")).alias("r1"), index(F.col("xs"), F.col("x1")).alias("c1"))
-    sound = placed.where((F.col("c1") > F.col("c0")) & (F.col("r1") > F.col("r0")))
-    keys = ["doc_id", "page", "tbl", "r0", "c0"]
-    return sound.groupBy(*keys).agg(F.min_by(F.struct("seq", "r1", "c1", *BOX), "seq").alias("i")).select(*keys, "i.*")
+    def place(c):
+        return F.struct(index(F.col("ys"), c["y0"]).alias("r0"), index(F.col("xs"), c["x0"]).alias("c0"), c["seq"].alias("seq"),
+                        index(F.col("ys"), c["y1"]).alias("r1"), index(F.col("xs"), c["x1"]).alias("c1"), *[c[k].alias(k) for k in BOX])
+
+    def firsts(cells):
+        before = lambda i: F.get(cells, i - 1)
+        return F.filter(cells, lambda c, i: (i == 0) | (before(i)["r0"] != c["r0"]) | (before(i)["c0"] != c["c0"]))
+
+    ruled = tables.withColumns({"xs": edges("x0", "x1"), "ys": edges("y0", "y1")}).where((F.size("xs") > 1) & (F.size("ys") > 1))
+    sound = F.filter(F.transform("cells", place), lambda c: (c["c1"] > c["c0"]) & (c["r1"] > c["r0"]))
+    return ruled.select(*page, F.explode(let(F.array_sort(sound), firsts)).alias("i")).select(
+        *page, "i.r0", "i.c0", "i.seq", "i.r1", "i.c1", *[f"i.{c}" for c in BOX])
 
 
 def cell_spans(spans: DataFrame, cells: DataFrame, nearest: bool = False) -> DataFrame:
