@@ -27,8 +27,9 @@ from pyspark.sql.window import Window
 from folioframe.llm.batches import Pieces, binary, encoded, from_binary, gather, mapped, sliced, split, texts_of, with_columns, without_empty
 from folioframe.llm.order import part_count, range_bounds, range_part
 
-BLOCK, HEAD, PERCENTILES = 256, 8, (75, 90, 100)
+BLOCK, HEAD, PERCENTILES = 256, 8, (50, 75, 90, 95, 100)
 _CACHED, _TOKENS, _SLICE = 700_000, 1 << 17, 8 << 20
+_NONE = 33  # a width that no id needs
 
 
 # ---------------------------------------------------------------- ids of a text
@@ -89,13 +90,16 @@ def _pack(ids: np.ndarray, ends: np.ndarray) -> tuple[list[bytes], list[np.ndarr
     grid = ids[np.minimum(start[:, None] + np.arange(BLOCK), len(ids) - 1)]
     low = np.where(inside, grid, np.uint32(0xFFFFFFFF)).min(axis=1)
     rest = np.where(inside, grid - low[:, None], np.uint32(0))
-    bits = np.sort(np.where(inside, _widths(rest), np.uint8(99)), axis=1)
-    wide = np.where(bits[np.arange(len(count)), count - 1] > 16, 4, 2)
+    # How many ids of a block fit in each width, from a count of the widths they need.
+    rows = np.arange(len(count))
+    needed = np.where(inside, _widths(rest), np.uint8(_NONE)) + rows[:, None] * (_NONE + 1)
+    fit = np.cumsum(np.bincount(needed.ravel(), minlength=len(count) * (_NONE + 1)).reshape(-1, _NONE + 1)[:, :_NONE], axis=1)
+    wide = np.where(fit[:, 16] < count, 4, 2)
     best = np.full(len(count), 1 << 30)
     width = np.zeros(len(count), dtype=np.int64)
     for percentile in PERCENTILES:
-        w = bits[np.arange(len(count)), (count * percentile + 99) // 100 - 1].astype(np.int64)
-        size = (count * w + 7) // 8 + (np.count_nonzero(bits > w.astype(np.uint8)[:, None], axis=1) - BLOCK + count) * (1 + wide)
+        w = (fit < ((count * percentile + 99) // 100)[:, None]).sum(axis=1)
+        size = (count * w + 7) // 8 + (count - fit[rows, w]) * (1 + wide)
         width, best = np.where(size < best, w, width), np.minimum(size, best)
     high = rest.astype(np.int64) >> width[:, None]
     odd = (high > 0).sum(axis=1)
