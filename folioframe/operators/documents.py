@@ -114,11 +114,12 @@ def picture_pages(page_texts: DataFrame, images: DataFrame) -> DataFrame:
 def audit(docs: DataFrame, page_texts: DataFrame, images: DataFrame) -> DataFrame:
     """Accessibility findings per document: ``issues`` in report order, counts, and whether it passed.
 
-    The pages without text are counted here; ``picture_pages`` gives them as rows.
+    ``scanned_pages`` are all pages without text, from one, null where there are none; ``picture_pages`` gives them as rows.
     """
     pictures = images.groupBy("doc_id").agg(F.count("*").alias("images"), F.count_if(
         F.coalesce("alt", F.lit("")) == "").alias("without_alt"))
-    count = picture_pages(page_texts, images).groupBy("doc_id").agg(F.count("*").alias("scanned"))
+    count = picture_pages(page_texts, images).groupBy("doc_id").agg(
+        F.count("*").alias("scanned"), F.array_sort(F.collect_list(F.col("page") + 1)).alias("scanned_pages"))
     facts = docs.join(pictures, "doc_id", "left").join(count, "doc_id", "left").withColumns({
         "images": F.coalesce("images", F.lit(0)), "without_alt": F.coalesce("without_alt", F.lit(0)),
         "scanned": F.coalesce("scanned", F.lit(0))})
@@ -134,7 +135,7 @@ def audit(docs: DataFrame, page_texts: DataFrame, images: DataFrame) -> DataFram
         issue(F.col("scanned") > 0, "scanned", "high", F.concat(
             F.lit("テキストのない画像ページが "), F.col("scanned").cast("string"), F.lit(" ページあります"))),
         issue(strip(F.coalesce("title", F.lit(""))) == "", "title", "low", F.lit("文書のタイトルが設定されていません"))))
-    return facts.select("doc_id", "images", "without_alt", "scanned", issues.alias("issues")).withColumn(
+    return facts.select("doc_id", "images", "without_alt", "scanned", "scanned_pages", issues.alias("issues")).withColumn(
         "passed", F.size("issues") == 0)
 
 

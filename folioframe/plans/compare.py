@@ -220,16 +220,17 @@ def image_alt_texts(spark, folder):
 @query("accessibility_audit", sql(corpus.SPANS + "," + _DOC + "," + _IMAGES, """,
 pt AS (SELECT doc_id, page, CASE WHEN doc_id % 5 = 0 AND page % 2 = 1 THEN 0 ELSE sum(length(trim(text))) END AS chars FROM span GROUP BY 1, 2),
 so AS (SELECT DISTINCT i.doc_id, i.page FROM img i LEFT JOIN pt ON pt.doc_id = i.doc_id AND pt.page = i.page WHERE coalesce(chars, 0) = 0),
-fa AS (SELECT d.*, coalesce(n, 0) AS images, coalesce(w, 0) AS without_alt, coalesce(s, 0) AS scanned FROM doc d
+fa AS (SELECT d.*, coalesce(n, 0) AS images, coalesce(w, 0) AS without_alt, coalesce(s, 0) AS scanned, pg FROM doc d
    LEFT JOIN (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE coalesce(alt, '') = '') AS w FROM img GROUP BY 1) USING (doc_id)
-   LEFT JOIN (SELECT doc_id, count(*) AS s FROM so GROUP BY 1) USING (doc_id))
-SELECT doc_id, images, without_alt, scanned, array_to_string(list_filter([CASE WHEN NOT tagged THEN 'tags:high' END, CASE WHEN lang = '' THEN 'lang:medium' END,
+   LEFT JOIN (SELECT doc_id, count(*) AS s, array_to_string(list_sort(list(page + 1)), ',') AS pg FROM so GROUP BY 1) USING (doc_id))
+SELECT doc_id, images, without_alt, scanned, pg AS scanned_pages, array_to_string(list_filter([CASE WHEN NOT tagged THEN 'tags:high' END, CASE WHEN lang = '' THEN 'lang:medium' END,
   CASE WHEN without_alt > 0 THEN 'alt:high' END, CASE WHEN scanned > 0 THEN 'scanned:high' END, CASE WHEN trim(title) = '' THEN 'title:low' END], lambda x: x IS NOT NULL), ' ') AS issues,
   tagged AND lang <> '' AND without_alt = 0 AND scanned = 0 AND trim(title) <> '' AS passed FROM fa""").replace("\n,\npt", ",\npt"))
 def accessibility_audit(spark, folder):
     found = D.audit(_docs(spark, folder), page_chars(spark, folder), images(spark, folder))
     issues = F.array_join(F.transform("issues", lambda i: F.concat_ws(":", i["id"], i["severity"])), " ")
-    return found.withColumn("issues", issues)
+    pages = F.array_join(F.transform("scanned_pages", lambda p: p.cast("string")), ",")
+    return found.withColumns({"issues": issues, "scanned_pages": pages})
 
 
 @query("accessibility_pages", sql(corpus.SPANS + "," + _IMAGES, """,
