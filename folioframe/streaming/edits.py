@@ -188,5 +188,5 @@ def expired_drafts(drafts: DataFrame, days: int = 30, late: str = "1 hour") -> D
 
 
 def read_events(spark: SparkSession, folder: str, name: str, schema: str) -> DataFrame:
-    """A table of the given folder as a stream."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(folder)
+    """A table of the given folder as a stream, be it one file or a folder of files: a pattern may stand for either."""
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}}}.parquet")
