@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioframe.functions.labels import MEASURE_LABELS, lookup, measure_unit
-from folioframe.functions.text import csv_line
+from folioframe.functions.text import csv_line, number_text
 
 
 def _keep(items: DataFrame) -> DataFrame:
@@ -50,7 +50,7 @@ def panel_order(summary: DataFrame, keys: list[str] | None = None) -> DataFrame:
 
 def summary_csv(summary: DataFrame) -> DataFrame:
     pages = F.array_join(F.transform("pages", lambda p: p.cast("string")), " ")
-    return summary.select("*", csv_line(*[F.col(c) for c in ("label", "kind", "count", "total", "unit")], pages,
+    return summary.select("*", csv_line(*[F.col(c) for c in ("label", "kind", "count")], number_text(F.col("total")), F.col("unit"), pages,
                                         F.col("colour")).alias("line"))
 
 
@@ -60,7 +60,7 @@ def detail_csv(items: DataFrame) -> DataFrame:
     return _keep(items).select(
         "doc_id", "page", F.coalesce(F.col("rect")[1], F.lit(0.0)).alias("y"), "seq",
         csv_line(F.col("page") + 1, F.coalesce("subject", F.lit("")), F.coalesce(m["kind"], F.lit("count")),
-                 F.coalesce(m["value"], F.lit(1.0)), F.coalesce(m["unit"], F.lit("")), F.coalesce(m["label"], F.lit("")),
+                 number_text(F.coalesce(m["value"], F.lit(1.0))), F.coalesce(m["unit"], F.lit("")), F.coalesce(m["label"], F.lit("")),
                  F.coalesce("contents", F.lit(""))).alias("line"))
 
 
