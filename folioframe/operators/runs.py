@@ -1,4 +1,4 @@
-"""Runs of characters under boxes: boxes meet whole runs by page and band, and the edges of a run are found by halving.
+"""Runs of characters under boxes: boxes meet whole runs by page, and the edges of a run are found by halving.
 
 A run is a stretch of one line at one height: (doc_id, page, block, line, seq, text, cy, ...), ``seq`` the place of its first
 character in the line, ``cy`` the middle of its height, and the centres of its characters, ascending. These are a column or an
@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from folioframe.functions.text import let
-from folioframe.operators.scale import points_in_boxes
 
 
 def runs_of(chars: DataFrame) -> DataFrame:
@@ -43,9 +42,11 @@ def lower_bound(values: Column, x: Column) -> Column:
 
 def runs_in_boxes(runs: DataFrame, boxes: DataFrame, centres: Column | None = None) -> DataFrame:
     """Pairs of a run and a box (doc_id, page, bx0, by0, bx1, by1, more) whose heights meet, both half open: the columns of
-    both, and ``a`` and ``b``, the places in the run where the box begins and ends."""
+    both, and ``a`` and ``b``, the places in the run where the box begins and ends. They meet page by page."""
     level = (F.col("p.cy") >= F.col("b.by0")) & (F.col("p.cy") < F.col("b.by1"))
-    met = points_in_boxes(runs, boxes, ["doc_id", "page"], "cy", "cy", level)
+    keys = ["doc_id", "page"]
+    met = runs.alias("p").join(boxes.alias("b"), keys).where(level).select(
+        *[F.col(f"p.{c}") for c in runs.columns], *[F.col(f"b.{c}") for c in boxes.columns if c not in keys])
     edges = let(F.col("cxs") if centres is None else centres, lambda values: F.struct(
         lower_bound(values, F.col("bx0")).alias("a"), lower_bound(values, F.col("bx1")).alias("b")))
     return met.withColumn("_edges", edges).withColumns({"a": F.col("_edges.a"), "b": F.col("_edges.b")}).drop("_edges")

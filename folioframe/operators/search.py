@@ -127,9 +127,10 @@ def edited_lines(lines: DataFrame, hits: DataFrame, replacement: str) -> DataFra
 def exact_boxes(chars: DataFrame, lines: DataFrame, hits: DataFrame) -> DataFrame:
     """Boxes of exact hits, one for each line that a hit touches: (doc_id, page, hit, part, x0, y0, x1, y1)."""
     parts = line_parts(lines, hits)
-    return (parts.alias("p").join(chars.alias("c"), ["doc_id", "page", "line"])
-            .where((F.col("c.seq") >= F.col("p.a")) & (F.col("c.seq") < F.col("p.b")))
-            .groupBy("doc_id", "page", "hit", F.col("line").alias("part"))
+    # By page, not by line, so that characters put by page are not moved; the line is then a range of one.
+    held = F.col("c.line").between(F.col("p.line"), F.col("p.line")) & (F.col("c.seq") >= F.col("p.a")) & (F.col("c.seq") < F.col("p.b"))
+    return (parts.alias("p").join(chars.alias("c"), ["doc_id", "page"]).where(held)
+            .groupBy("doc_id", "page", "hit", F.col("p.line").alias("part"))
             .agg(F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1")))
 
 

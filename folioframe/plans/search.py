@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from folioframe.functions import text as T
 from folioframe.operators import search as S
 from folioframe.operators import documents as D
+from folioframe.operators.scale import by_key
 from folioframe.plans import corpus
 from folioframe.plans.registry import query, sql
 
@@ -42,7 +43,8 @@ loose AS (SELECT doc_id, page, hit, CAST(row_number() OVER (PARTITION BY doc_id,
 
 
 def _lines(spark, folder):
-    return corpus.spans(spark, folder)
+    """The visual lines, put by page once: whatever is made of them stays in the task of its page."""
+    return by_key(corpus.spans(spark, folder), "doc_id", "page")
 
 
 def _gated(spark, folder, needle):

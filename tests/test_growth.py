@@ -1,10 +1,12 @@
 """Steps whose work has to grow with their input, beside plain Python and under generous limits."""
 
+import re
 import time
 
 from pyspark.sql import functions as F
 
 from folioframe.operators import layout, tables
+from folioframe.plans import catalogue
 
 
 def _walked(blocks):
@@ -71,3 +73,21 @@ def test_the_nearest_cell_takes_what_lies_between(spark):
                                   "doc_id int, page int, block int, line int, span int, text string, x0 double, y0 double, x1 double, y1 double")
     assert {r["block"]: r["c0"] for r in tables.cell_spans(spans, cells, nearest=True).collect()} == {0: 0, 1: 0, 2: 1, 3: 1}
     assert {r["block"]: r["c0"] for r in tables.cell_spans(spans, cells).collect()} == {0: 0, 3: 1}
+
+
+def _plan(spark, frame):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        return frame()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_lines_are_moved_before_they_are_cut_into_words(spark, data):
+    plan = _plan(spark, lambda: catalogue.QUERIES["style_runs"](spark, data))
+    assert plan.split("Exchange hashpartitioning(doc_id")[0].count("Generate") == 2
+
+
+def test_characters_of_hits_stay_with_their_page(spark, data):
+    assert "hashpartitioning(doc_id" in (plan := _plan(spark, lambda: catalogue.QUERIES["search_hits"](spark, data)))
+    assert not re.search(r"hashpartitioning\(doc_id#\d+L?, page#\d+, line#", plan)
