@@ -91,3 +91,10 @@ def test_lines_are_moved_before_they_are_cut_into_words(spark, data):
 def test_characters_of_hits_stay_with_their_page(spark, data):
     assert "hashpartitioning(doc_id" in (plan := _plan(spark, lambda: catalogue.QUERIES["search_hits"](spark, data)))
     assert not re.search(r"hashpartitioning\(doc_id#\d+L?, page#\d+, line#", plan)
+
+
+def test_whole_pages_write_no_spans_down(spark, data, monkeypatch):
+    held = []
+    monkeypatch.setattr(tables, "cut_lineage", lambda df: held.append(df.columns) or df)
+    catalogue.QUERIES["whole_page_tables"](spark, data)
+    assert held and not [columns for columns in held if "pos" in columns]
