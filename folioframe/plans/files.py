@@ -142,7 +142,7 @@ def chart_series(spark, folder):
         F.struct(F.lit(-1).alias("pos"), F.lit('<c:chart xmlns:c="http://schemas.openxmlformats.org/drawingml/2006/chart">').alias("line")),
         F.struct(F.lit(99).alias("pos"), F.lit("</c:chart>").alias("line")))).alias("r")).select("doc_id", "r.pos", "r.line")
     path = scratch_folder(spark, "charts")
-    files.write_lines(lines.unionByName(root), path, ["pos"])
+    files.write_lines(lines.unionByName(root), path, ["pos"], whole=True)
     points = charts.read_series(spark, path)
     return points.select(F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint").alias("chart"), "series", "name", "idx", "cat", "val")
 

@@ -65,18 +65,19 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return read_binary(spark, path).select("path", decode_text(F.col("content")).alias("text"))
 
 
-def write_lines(lines: DataFrame, path: str, order: list[str], key: str = "doc_id", mark: bool = False) -> None:
+def write_lines(lines: DataFrame, path: str, order: list[str], key: str = "doc_id", mark: bool = False, whole: bool = False) -> None:
     """Write report lines as text files, one folder per document.
 
     The lines are range-partitioned by document and order: a long document becomes several part files whose
     names sort in the right order, and no task holds a whole one. ``mark`` puts a byte order mark in front of
-    the first line of every document, as spreadsheet programs want it.
+    the first line of every document, as spreadsheet programs want it. ``whole`` never cuts a document, for short
+    ones whose readers need all of it in one file, such as XML under its root.
     """
     if mark:
         first = lines.groupBy(key).agg(F.min(F.struct(*order)).alias("_first"))
         lines = lines.join(first, key).withColumn("line", F.when(
             F.struct(*order) == F.col("_first"), F.concat(F.lit("﻿"), "line")).otherwise(F.col("line")))
-    ranged = lines.repartitionByRange(key, *order).sortWithinPartitions(key, *order)
+    ranged = lines.repartitionByRange(key, *([] if whole else order)).sortWithinPartitions(key, *order)
     ranged.select(key, F.col("line").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
 
 

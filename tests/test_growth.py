@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folioframe.operators import layout, tables
 from folioframe.plans import catalogue
+from folioframe.plans import files as plan_files
 
 
 def _walked(blocks):
@@ -98,3 +99,17 @@ def test_whole_pages_write_no_spans_down(spark, data, monkeypatch):
     monkeypatch.setattr(tables, "cut_lineage", lambda df: held.append(df.columns) or df)
     catalogue.QUERIES["whole_page_tables"](spark, data)
     assert held and not [columns for columns in held if "pos" in columns]
+
+
+def test_charts_are_not_cut_between_files(spark, data, tmp_path, monkeypatch):
+    """Of two series in a file without the root, Spark's reader loses one; forty ranges would cut every chart."""
+    monkeypatch.setattr(plan_files, "scratch_folder", lambda spark, name: str(tmp_path / name))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        catalogue.QUERIES["chart_series"](spark, data)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    charts = [[p.read_text() for p in folder.glob("*.txt")] for folder in (tmp_path / "charts").glob("doc_id=*")]
+    assert charts and all(len(c) == 1 and c[0].startswith("<c:chart") and c[0].endswith("</c:chart>\n") for c in charts)
