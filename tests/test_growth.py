@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from folioframe.operators import layout, tables
 from folioframe.plans import catalogue
 from folioframe.plans import files as plan_files
+from folioframe.session import cut_lineage
 
 
 def _walked(blocks):
@@ -118,3 +119,10 @@ def test_charts_are_not_cut_between_files(spark, data, tmp_path, monkeypatch):
 def test_editable_lines_are_made_from_their_words_once(spark, data):
     plan = _plan(spark, lambda: catalogue.QUERIES["editable_lines"](spark, data))
     assert plan.count("Generate") == 2 and "Join" not in plan
+
+
+def test_outline_lines_are_put_together_once(spark, data, monkeypatch):
+    held = []
+    monkeypatch.setattr(layout, "cut_lineage", lambda df: held.append(df.columns) or cut_lineage(df))
+    catalogue.QUERIES["auto_outline"](spark, data)
+    assert "plausible" in held[0]
