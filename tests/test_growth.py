@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 
-from folioframe.operators import layout, tables
+from folioframe.operators import layout, scale, tables
 from folioframe.plans import catalogue
 from folioframe.plans import files as plan_files
 from folioframe.session import cut_lineage
@@ -116,6 +116,16 @@ def test_charts_are_not_cut_between_files(spark, data, tmp_path, monkeypatch):
     assert charts and all(len(c) == 1 and c[0].startswith("<c:chart") and c[0].endswith("</c:chart>\n") for c in charts)
 
 
+def test_pages_with_inserts_read_the_texts_once(spark, data):
+    for name in ("insert_page", "insert_document"):
+        assert "Generate" not in _plan(spark, lambda: catalogue.QUERIES[name](spark, data))  # noqa: B023
+
+
+def test_a_table_of_one_file_is_cut_into_several_parts_a_core(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert scale.spread(docs, "doc_id").rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 def test_editable_lines_are_made_from_their_words_once(spark, data):
     plan = _plan(spark, lambda: catalogue.QUERIES["editable_lines"](spark, data))
     assert plan.count("Generate") == 2 and "Join" not in plan
