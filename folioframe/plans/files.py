@@ -25,6 +25,11 @@ def _marks(spark, folder):
         "style": F.struct(F.col("stroke"), none.alias("fill"), F.lit(0.5).alias("opacity"), F.lit(2.0).alias("width"))})
 
 
+def _small_files(frame):
+    """Spark puts 32 small files into a task, and each task opens a file for every part of the next shuffle: 16 tasks become one."""
+    return frame.coalesce(max(4 * frame.sparkSession.sparkContext.defaultParallelism, frame.rdd.getNumPartitions() // 16))
+
+
 def _page_grid(marks):
     return marks.select("doc_id").distinct().withColumn("page", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("height", F.lit(842.0))
 
@@ -65,7 +70,7 @@ def xfdf_round_trip(spark, folder):
     """All marks written as XFDF files, one folder a document, and read back; the last pages do not exist any more."""
     path = scratch_folder(spark, "xfdf")
     files.write_lines(_xfdf(spark, folder), path, ["page", "y", "x", "id", "pos"])
-    nodes = xfdf.read_nodes(spark, path).withColumn("doc_id", F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint"))
+    nodes = _small_files(xfdf.read_nodes(spark, path)).withColumn("doc_id", F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint"))
     pages = _page_grid(corpus.annots(spark, folder)).where(F.col("page") < 25)
     r = F.col("rect")
     shaped = F.col("quads").isNotNull() | F.col("points").isNotNull() | (F.size("strokes") > 0)
@@ -86,7 +91,7 @@ def xfdf_rejects(spark, folder):
               .when(event == 1, F.regexp_replace("line", ' rect="[^,]*,', ' rect="'))
               .when(event == 2, F.regexp_replace("line", ' page="', ' page="p')).otherwise(F.col("line")))
     files.write_lines(_xfdf(spark, folder).withColumn("line", spoilt), path, ["page", "y", "x", "id", "pos"])
-    bad = xfdf.rejects(xfdf.read_nodes(spark, path)).withColumn("doc_id", F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint"))
+    bad = xfdf.rejects(_small_files(xfdf.read_nodes(spark, path))).withColumn("doc_id", F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("bigint"))
     return bad.groupBy("doc_id", "tag", "problem").agg(F.count("*").alias("elements"))
 
 

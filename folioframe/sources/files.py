@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import re
+import shutil
+import uuid
+from itertools import groupby
+
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -78,7 +87,62 @@ def write_lines(lines: DataFrame, path: str, order: list[str], key: str = "doc_i
         lines = lines.join(first, key).withColumn("line", F.when(
             F.struct(*order) == F.col("_first"), F.concat(F.lit("﻿"), "line")).otherwise(F.col("line")))
     ranged = lines.repartitionByRange(key, *([] if whole else order)).sortWithinPartitions(key, *order)
-    ranged.select(key, F.col("line").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+    folder = _local_folder(lines.sparkSession, path)
+    if folder:
+        _write_local(ranged, folder, key)
+    else:
+        ranged.select(key, F.col("line").alias("value")).write.mode("overwrite").partitionBy(key).text(path)
+
+
+def _local_folder(spark: SparkSession, path: str) -> str | None:
+    """The folder of a path in a file system that all machines have mounted; null for any other store."""
+    home = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    found = re.fullmatch(r"(?:file:(?://[^/]*)?)?(/.*)", path, re.DOTALL)
+    return found[1].rstrip("/") if found and (path.startswith("file:") or home.startswith("file:")) else None
+
+
+def _write_local(ranged: DataFrame, folder: str, key: str) -> None:
+    """The layout of Spark's own writer, ``<key>=<value>/part-<range>.txt``, with one folder and one file made a document.
+
+    Hadoop's local file system starts a process ``chmod`` for each folder, file and checksum file. Here the tasks write their
+    sorted rows to files themselves, beside the folder; it gets its name when all tasks are done. A task that runs again
+    writes the same files anew.
+    """
+    making = f"{folder}.{uuid.uuid4().hex[:12]}.making"
+
+    def write(batches):
+        task, files = TaskContext.get(), 0
+
+        def folder_of(value):
+            return f"{key}=" + re.sub(r"[\x01-\x1f\"#%'*/:=?\\\x7f{\[\]^]", lambda c: f"%{ord(c[0]):02X}", value or "__HIVE_DEFAULT_PARTITION__")
+
+        def runs():
+            for batch in batches:
+                start, encoded = 0, pc.run_end_encode(batch.column(0))
+                for value, end in zip(encoded.values.to_pylist(), encoded.run_ends.to_pylist()):
+                    yield folder_of(value), batch.column(1).slice(start, end - start).to_pylist()
+                    start = end
+
+        for name, held in groupby(runs(), lambda run: run[0]):
+            own = f"{making}/{name}"
+            os.makedirs(own, exist_ok=True)
+            with open(f"{own}/.{task.taskAttemptId()}", "wb") as out:
+                for _, texts in held:
+                    out.writelines(texts)
+            os.replace(out.name, f"{own}/part-{task.partitionId():05d}.txt")
+            files += 1
+        yield pa.RecordBatch.from_pydict({"files": pa.array([files], pa.int64())})
+
+    line = F.concat(F.coalesce("line", F.lit("")), F.lit("\n")).cast("binary")
+    os.makedirs(making)
+    try:
+        ranged.select(F.col(key).cast("string"), line).mapInArrow(write, "files bigint").agg(F.sum("files")).collect()
+        open(f"{making}/_SUCCESS", "w").close()
+        shutil.rmtree(folder, ignore_errors=True)
+        os.rename(making, folder)
+    except BaseException:
+        shutil.rmtree(making, ignore_errors=True)
+        raise
 
 
 def write_shards(lines: DataFrame, path: str, order: list[str], shards: int, key: str = "doc_id") -> DataFrame:

@@ -30,7 +30,8 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
     nodes = read_texts(spark, path).select("path", F.posexplode(F.regexp_extract_all(inner, F.lit(_ELEMENT), F.lit(0))).alias("seq", "xml"))
     options = {"attributePrefix": "_", "ignoreNamespace": "true", "ignoreSurroundingSpaces": "false",
                "columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}
-    parsed = nodes.withColumn("n", F.from_xml("xml", _NODE, options))
+    # Behind an explode an element is parsed once; otherwise a filter on what is in it would parse it a second time.
+    parsed = nodes.select("*", F.explode(F.array(F.from_xml("xml", _NODE, options))).alias("n"))
     return parsed.select("path", F.regexp_extract("xml", r"^<(\w+)", 1).alias("tag"), "seq", *[F.col(f"n.`_{a}`").alias(a) for a in _ATTRIBUTES],
                          F.col("n.contents").alias("contents"), "xml", F.when(F.col("n._corrupt").isNotNull(), "xml").alias("problem")).withColumn(
         "problem", F.coalesce("problem", _problem()))

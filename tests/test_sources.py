@@ -1,7 +1,10 @@
 """Files read and written."""
 
+import re
 import zipfile
+from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 from folioframe.sources import files, xfdf
@@ -82,3 +85,61 @@ def test_reports_in_shards_with_an_index(spark, tmp_path):
     for doc in range(7):
         found = [held[r["shard"]][0][r["first_line"]: r["first_line"] + r["lines"]] for r in sorted(index, key=lambda r: r["shard"]) if r["doc_id"] == doc]
         assert sum(found, []) == [f"{doc} {i}" for i in range(doc, 500, 7)]
+
+
+def test_local_files_start_no_process_each(spark, tmp_path):
+    """Hadoop's local file system starts three a document: 900 here; a folder is not listed in a task of its own either."""
+    def started():
+        return int(re.search(r"processes (\d+)", Path("/proc/stat").read_text())[1])
+
+    df = spark.range(3000).selectExpr("id % 300 AS doc_id", "id AS pos", "cast(id AS string) AS line").cache()
+    files.write_lines(df, str(tmp_path / "warm"), ["pos"])
+    before = started()
+    files.write_lines(df, f"file://{tmp_path}/out", ["pos"])
+    assert started() - before < 300
+    assert len(list((tmp_path / "out").glob("doc_id=*/part-*.txt"))) >= 300 and not list(tmp_path.rglob(".*")) and (tmp_path / "out" / "_SUCCESS").exists()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        assert spark.read.text(str(tmp_path / "out")).count() == 3000
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+        assert max(s.numTasks for s in stages) <= 128
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_local_files_are_those_of_sparks_writer(spark, tmp_path, monkeypatch):
+    keys = ["a/b=c", "100% [x] é:", "", None, "契約", "long"]
+    rows = [(k, i, None if i == 3 else f"{k} {i}\nä") for k in keys for i in range(40000 if k == "long" else 5)]
+    df = spark.createDataFrame(rows, "name string, pos int, line string").repartition(7)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # four ranges
+    try:
+        for way in ("ours", "theirs"):
+            if way == "theirs":
+                monkeypatch.setattr(files, "_local_folder", lambda spark, path: None)
+            for part in (df.where("name = 'long'"), df):  # the second writes over the first
+                files.write_lines(part, str(tmp_path / way), ["pos"], key="name")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    texts = {way: {f.name: "".join(p.read_text() for p in sorted(f.glob("part-*"))) for f in (tmp_path / way).glob("name=*")} for way in ("ours", "theirs")}
+    assert texts["ours"] == texts["theirs"] and len(texts["ours"]) == 5
+    assert len(list((tmp_path / "ours" / "name=long").glob("part-*"))) > 1
+    read = [sorted(map(tuple, spark.read.text(str(tmp_path / way)).select("name", "value").where("name is null or name <> 'long'").collect()), key=str)
+            for way in ("ours", "theirs")]
+    assert read[0] == read[1] and len(read[0]) == 5 * 9
+
+
+def test_a_failed_report_leaves_the_former_one(spark, tmp_path):
+    df = spark.range(20).selectExpr("id % 3 AS doc_id", "id AS pos", "cast(id AS string) AS line")
+    files.write_lines(df, str(tmp_path / "out"), ["pos"])
+    with pytest.raises(Exception, match="no line"):
+        files.write_lines(df.withColumn("line", F.when(F.col("pos") == 7, F.raise_error(F.lit("no line"))).otherwise(F.col("line"))), str(tmp_path / "out"), ["pos"])
+    assert spark.read.text(str(tmp_path / "out")).count() == 20 and [p.name for p in tmp_path.iterdir()] == ["out"]
+
+
+def test_an_element_is_parsed_once(spark, tmp_path):
+    (tmp_path / "a.xfdf").write_text('<xfdf><annots><text page="0"/></annots></xfdf>')
+    nodes = xfdf.read_nodes(spark, str(tmp_path)).withColumn("doc_id", F.lit(1).cast("bigint"))
+    pages = spark.createDataFrame([(1, 0, 100.0)], "doc_id bigint, page int, height double")
+    marks = xfdf.to_marks(nodes, pages)
+    assert marks._jdf.queryExecution().optimizedPlan().toString().count("from_xml(") == 1 and marks.count() == 1
