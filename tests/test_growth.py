@@ -116,6 +116,13 @@ def test_charts_are_not_cut_between_files(spark, data, tmp_path, monkeypatch):
     assert charts and all(len(c) == 1 and c[0].startswith("<c:chart") and c[0].endswith("</c:chart>\n") for c in charts)
 
 
+def test_reports_are_read_in_few_tasks_and_without_partition_values(spark, data):
+    plan = _plan(spark, lambda: catalogue.QUERIES["report_files"](spark, data))
+    assert "Coalesce" in plan and "FileScan text" in plan and "FileScan text [doc_id" not in plan
+    plan = _plan(spark, lambda: catalogue.QUERIES["xfdf_round_trip"](spark, data))
+    assert "Coalesce" in plan
+
+
 def test_pages_with_inserts_read_the_texts_once(spark, data):
     for name in ("insert_page", "insert_document"):
         assert "Generate" not in _plan(spark, lambda: catalogue.QUERIES[name](spark, data))  # noqa: B023
