@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioframe.operators import layout, tables
-from folioframe.plans import catalogue
+from folioframe.plans import catalogue, corpus
 
 SPAN = "doc_id int, page int, block int, line int, span int, text string, size double, x0 double, y0 double, x1 double, y1 double"
 
@@ -93,3 +93,13 @@ def test_lines_of_several_cells_and_pages_without_lines(spark):
     got = {(r["doc_id"], r["row"], r["col"]): (r["kind"], r["text"]) for r in tables.ruled_cells(boxes, spans).collect()}
     assert got == {(1, 0, 0): ("s", "ab"), (1, 0, 1): ("s", "cd"), (1, 1, 0): ("s", "top\nlow"), (1, 1, 1): ("e", ""),
                    **{(2, r, c): ("e", "") for r in (0, 1) for c in (0, 1)}}
+
+
+def test_documents_that_come_twice_share_their_blocks(spark, tmp_path):
+    """Words of both copies lie in one block, as they do where words are rows."""
+    text = " ".join(f"w{i}" for i in range(60)) + "\nshort line\n\n" + "x " * 50
+    rows = [(1, text, "en", "s", 1), (1, text, "en", "s", 1), (2, text[30:], "en", "s", 1)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
+    words = corpus.words(spark, str(tmp_path)).withColumns({"block": F.col("line") * 100 + F.floor(F.col("span") / 6), "line": F.col("span")})
+    rows = [sorted(map(repr, layout.merge_baselines(held).collect())) for held in (words, corpus.word_blocks(spark, str(tmp_path), 6))]
+    assert rows[0] == rows[1] and any("'w1'" in r for r in rows[0])
